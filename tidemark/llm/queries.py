@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup
+from . import bpe, exact_dedup, substring_dedup
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -19,7 +20,16 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_documents(table(spark, sf_dir, "documents"), TOKENIZER))
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op3_bpe": op3_bpe}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+QUERIES = {
+    "op2_exact_dedup": op2_exact_dedup,
+    "op3_bpe": op3_bpe,
+    "op10_substring_dedup": op10_substring_dedup,
+}
 
 ORACLE_SQL = {
     "op2_exact_dedup": """
