@@ -89,5 +89,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     met = marked.filter("again").select("doc_id", "text_sha256", "n_points")
     best = F.max(F.struct("n_points", (-F.col("doc_id")).alias("low")))
     groups = met.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("group_size"), (-best["low"]).alias("keep_id"))
-    met = met.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    # With a part of the key beside it, the join deals both sides anew, and a partition with a hot group can be split.
+    met, groups = (x.withColumn("lead", F.substring("text_sha256", 1, 8)) for x in (met, groups))
+    met = met.join(groups, ["lead", "text_sha256"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     return alone.unionByName(met)
