@@ -7,7 +7,6 @@ applied to its whole position list at once, and the lists of the pairs that this
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import json
 from collections.abc import Iterable, Iterator
@@ -17,13 +16,14 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import strings, text_or_empty
 
 #: The pretoken pattern of the byte-level pretokenizer. Fixed value.
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pretokens remembered between batches, and bytes of pretokens merged at once.
-REMEMBER, MERGE_BYTES = 400_000, 4 << 20
+REMEMBER, MERGE_BYTES = 200_000, 2 << 20
 
 
 def byte_letters() -> list[str]:
@@ -189,7 +189,7 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, texts_at_once: int = 400) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer: str, texts_at_once: int = 200) -> DataFrame:
     """doc_id, ids ARRAY<INT>, decoded: every whole text encoded and decoded again (null: empty text, no ids).
 
     tokenizer: path of a byte-level BPE file in the tokenizers format, readable on every worker. One narrow pass:
@@ -213,14 +213,5 @@ def encode_documents(docs: DataFrame, tokenizer: str, texts_at_once: int = 400)
 
 def digests(encoded: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of what encode_documents returns."""
-
-    def run(batches):
-        for batch in batches:
-            ids, decoded = batch.column("ids"), strings(batch.column("decoded"))
-            offsets = ids.offsets.to_numpy()
-            names = ids.values.to_numpy(zero_copy_only=False).astype("U6").tolist() if len(ids.values) else []
-            rows = [(offsets[k], offsets[k + 1]) for k in range(len(ids))]
-            sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([int(b - a) for a, b in rows], pa.int64()), pa.array([sha(",".join(names[a:b])) for a, b in rows], pa.string()), pa.array([sha(t) for t in decoded], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return encoded.mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
