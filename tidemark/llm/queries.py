@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, substring_dedup, suffix_dedup
+from . import bpe, exact_dedup, quality_rules, substring_dedup, suffix_dedup
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -25,6 +25,10 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -34,6 +38,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_bpe": op3_bpe,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op8_quality_rules": op8_quality_rules,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
@@ -49,4 +54,35 @@ ORACLE_SQL = {
         )
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t JOIN g USING (text_sha256)
     """,
+    "op8_quality_rules": """
+        WITH w AS (
+            SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words
+            FROM documents
+        ), c AS (
+            SELECT doc_id, text, words, len(words) AS n_words,
+                   coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS word_chars,
+                   len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+                   len(regexp_extract_all(text, '!')) AS n_marks,
+                   len(regexp_extract_all(text, '[A-Z]')) AS n_upper,
+                   len(regexp_extract_all(text, '[A-Za-z]')) AS n_letters,
+                   list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+            FROM w
+        ), g AS (
+            SELECT doc_id, unnest(range(1, len(words) - 3)) AS i, words FROM c WHERE len(words) >= 5
+        ), f AS (
+            SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i], words[i+1], words[i+2], words[i+3], words[i+4]) AS n FROM g
+        ), r AS (
+            SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM f, range(5) AS t(k) WHERE n > 1 GROUP BY doc_id
+        ), m AS (
+            SELECT c.doc_id, n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+                   coalesce(n_repeat_words, 0) AS n_repeat_words, n_marks, n_upper, n_letters, len(lines) AS n_lines
+            FROM c LEFT JOIN r ON c.doc_id = r.doc_id
+        ), b AS (
+            SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m
+        )
+        SELECT doc_id, n_words, word_chars::BIGINT AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT (base_failed OR 10 * n_symbols > n_words OR 5 * n_marks > n_words OR 2 * n_upper > n_letters
+                    OR 10 * n_dup_lines > 3 * n_lines OR 2 * word_chars < 5 * n_words OR word_chars > 12 * n_words) AS kept
+        FROM b
+    """,
 }
