@@ -37,7 +37,8 @@ RULES = (
     Rule("symbols", lambda d: 10 * d.n_symbols > d.n_words),
     Rule("exclamations", lambda d: 5 * d.n_marks > d.n_words),
     Rule("shouting", lambda d: 2 * d.n_upper > d.n_letters),
-    Rule("duplicate_lines", lambda d: 10 * d.n_dup_lines > 3 * d.n_lines),
+    Rule("stuttered_words", lambda d: 5 * d.n_stutters > d.n_words),
+    Rule("duplicate_lines", lambda d: 2 * d.n_dup_lines > d.n_lines),
     Rule("short_words", lambda d: 2 * d.word_chars < 5 * d.n_words),
     Rule("long_words", lambda d: d.word_chars > 12 * d.n_words),
 )

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, quality_rules, substring_dedup, suffix_dedup
+from . import bpe, exact_dedup, quality_classifier, quality_rules, substring_dedup, suffix_dedup
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -25,6 +25,10 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_bpe": op3_bpe,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op4_quality_classifier": op4_quality_classifier,
     "op8_quality_rules": op8_quality_rules,
     "op10_substring_dedup": op10_substring_dedup,
 }
@@ -75,14 +80,15 @@ ORACLE_SQL = {
             SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM f, range(5) AS t(k) WHERE n > 1 GROUP BY doc_id
         ), m AS (
             SELECT c.doc_id, n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
-                   coalesce(n_repeat_words, 0) AS n_repeat_words, n_marks, n_upper, n_letters, len(lines) AS n_lines
+                   coalesce(n_repeat_words, 0) AS n_repeat_words, n_marks, n_upper, n_letters, len(lines) AS n_lines,
+                   len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1])) AS n_stutters
             FROM c LEFT JOIN r ON c.doc_id = r.doc_id
         ), b AS (
             SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m
         )
         SELECT doc_id, n_words, word_chars::BIGINT AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
                NOT (base_failed OR 10 * n_symbols > n_words OR 5 * n_marks > n_words OR 2 * n_upper > n_letters
-                    OR 10 * n_dup_lines > 3 * n_lines OR 2 * word_chars < 5 * n_words OR word_chars > 12 * n_words) AS kept
+                    OR 5 * n_stutters > n_words OR 2 * n_dup_lines > n_lines OR 2 * word_chars < 5 * n_words OR word_chars > 12 * n_words) AS kept
         FROM b
     """,
 }

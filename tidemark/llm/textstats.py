@@ -123,6 +123,12 @@ class Stretch:
         doc = self._words[2]
         return self.n_words - self.each(doc[_again(self._codes, doc)[0]])
 
+    @cached_property
+    def n_stutters(self) -> np.ndarray:
+        """Words equal to the word before them."""
+        doc, code = self._words[2], self._codes
+        return self.each(doc[1:][(code[1:] == code[:-1]) & (doc[1:] == doc[:-1])])
+
     @cached_property
     def n_repeat_words(self) -> np.ndarray:
         return self.repeat_words(5)
