@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, quality_classifier, quality_rules, substring_dedup, suffix_dedup
+from . import bpe, exact_dedup, minhash, quality_classifier, quality_rules, substring_dedup, suffix_dedup
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -33,6 +33,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -44,6 +48,7 @@ QUERIES = {
     "op6_suffix_dedup": op6_suffix_dedup,
     "op4_quality_classifier": op4_quality_classifier,
     "op8_quality_rules": op8_quality_rules,
+    "op9_minhash": op9_minhash,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
