@@ -211,7 +211,8 @@ def encode_documents(docs: DataFrame, tokenizer: str, texts_at_once: int = 200)
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of what encode_documents returns."""
+def digests(encoded: DataFrame, keep_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, if asked for) of what encode_documents returns."""
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    found = [F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")]
+    return encoded.select("doc_id", *found, *(["ids"] if keep_ids else []))

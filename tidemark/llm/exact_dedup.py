@@ -13,9 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, Bloom, Scratch, only, strings
+from .anchored import numbered
+from .common import SPACE_BYTES, Bloom, Scratch, strings
 
-KEYED = "doc_id long, text_sha256 string, n_points long, h long"
+KEYED = "doc_id long, th long, text_sha256 string, n_points long, h long"
 
 
 def _keyed(batches):
@@ -26,7 +27,7 @@ def _keyed(batches):
             sha.append(digest.hex())
             points.append(len(text))
             keys.append(int.from_bytes(digest[:8], "little", signed=True))
-        yield pa.RecordBatch.from_pydict({"doc_id": ids.cast(pa.int64()), "text_sha256": pa.array(sha, pa.string()), "n_points": pa.array(points, pa.int64()), "h": pa.array(keys, pa.int64())})
+        yield pa.RecordBatch.from_pydict({"doc_id": ids, "th": batch.column("th"), "text_sha256": pa.array(sha, pa.string()), "n_points": pa.array(points, pa.int64()), "h": pa.array(keys, pa.int64())})
 
 
 def repeated_bits(hashes: DataFrame, log_bits: int) -> Bloom:
@@ -67,7 +68,7 @@ def repeated_bits(hashes: DataFrame, log_bits: int) -> Bloom:
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, and th, a hash of the original text.
 
     Texts are equal if they are the same bytes once `[\\x20\\x09-\\x0D]` is deleted; null counts as empty. The
     longest original text stays (code points), then the smallest doc_id; a null doc_id loses to any other. Of
@@ -76,20 +77,36 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact_dedup")
-    keyed = scratch.put("keyed", only(docs, "doc_id", "text").mapInArrow(_keyed, KEYED))
+    keyed = scratch.put("keyed", numbered(docs).mapInArrow(_keyed, KEYED))
     bloom = spark.sparkContext.broadcast(repeated_bits(keyed.select("h"), Bloom.log_bits(2 * keyed.count())))
 
     def mark(batches):
         for batch in batches:
             again = bloom.value.might_hold(batch.column("h").to_numpy(zero_copy_only=False).view(np.uint64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_sha256"), batch.column("n_points"), pa.array(again, pa.bool_())], ["doc_id", "text_sha256", "n_points", "again"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "th", "text_sha256", "n_points")), pa.array(again, pa.bool_())], ["doc_id", "th", "text_sha256", "n_points", "again"])
 
-    marked = keyed.mapInArrow(mark, "doc_id long, text_sha256 string, n_points long, again boolean")
-    alone = marked.filter("not again").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    met = marked.filter("again").select("doc_id", "text_sha256", "n_points")
+    marked = keyed.mapInArrow(mark, "doc_id long, th long, text_sha256 string, n_points long, again boolean")
+    alone = marked.filter("not again").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", "th")
+    met = marked.filter("again").select("doc_id", "th", "text_sha256", "n_points")
     best = F.max(F.struct("n_points", (-F.col("doc_id")).alias("low")))
     groups = met.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("group_size"), (-best["low"]).alias("keep_id"))
     # With a part of the key beside it, the join deals both sides anew, and a partition with a hot group can be split.
     met, groups = (x.withColumn("lead", F.substring("text_sha256", 1, 8)) for x in (met, groups))
-    met = met.join(groups, ["lead", "text_sha256"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    met = met.join(groups, ["lead", "text_sha256"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "th")
     return alone.unionByName(met)
+
+
+def keep_unique(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns as they are, that stay; of rows that agree in doc_id and text too, one."""
+    found = exact_dedup(docs)
+    return keep_marked(docs, found)
+
+
+def keep_marked(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs whose (doc_id, th) `found` has as kept, once each. Only doc_ids and hashes of rows that go are
+    dealt beside the texts; texts are compared only if a kept (doc_id, th) occurs twice."""
+    gone = found.filter("NOT kept").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
+    hashed = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]) & (hashed == gone["__th"]), "left_anti")
+    twice = found.filter("kept").groupBy("doc_id", "th").count().filter("count > 1 AND doc_id IS NOT NULL")
+    return left if twice.isEmpty() else left.dropDuplicates(["doc_id", "text"])

@@ -16,8 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bloom, Scratch, text_or_empty
+from .anchored import numbered
+from .common import Bloom, Scratch
 from .components import connected_components
+from .exact_dedup import keep_marked
 from .kernels import Prefix, chunks, mix, word_codes, words
 
 SHINGLE, BANDS, ROWS, BITS = 5, 30, 5, 2
@@ -104,7 +106,7 @@ def _sketch(width: int):
                     packed, keys = sketches(key, np.append(bounds[:-1][full], len(key)))
                     for k, row in enumerate(full.tolist()):
                         sig[row], bands[row] = packed[k].tobytes(), keys[k].view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, stop - first), pa.array(n, pa.int64()), pa.array(v.view(np.int64)), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n", "v", "sig", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, stop - first), batch.column("th").slice(first, stop - first), pa.array(n, pa.int64()), pa.array(v.view(np.int64)), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "th", "n", "v", "sig", "bands"])
 
     return run
 
@@ -200,7 +202,7 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = SHINGLE) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept.
+    """One row per row of docs: doc_id, n_shingles, component_id, kept, and th, a hash of the text.
 
     A document's set: distinct shingles of `width` words (A-Z lower-cased); of fewer words, the whole sequence as one.
     Documents with 100 * intersection >= percent * union are linked; component_id is the smallest doc_id that links
@@ -210,8 +212,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = SHINGLE) ->
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
-    rows = text_or_empty(docs, "doc_id").withColumn("doc_id", F.col("doc_id").cast("long"))
-    sketch = scratch.put("sketch", rows.mapInArrow(_sketch(width), "doc_id long, n long, v long, sig binary, bands array<long>"))
+    rows = numbered(docs)
+    sketch = scratch.put("sketch", rows.mapInArrow(_sketch(width), "doc_id long, th long, n long, v long, sig binary, bands array<long>"))
     lone = "doc_id IS NULL OR n = 0"
     classes = sketch.filter(f"NOT ({lone})").groupBy("v").agg(F.min("doc_id").alias("label"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     classes = scratch.put("classes", classes)
@@ -254,7 +256,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = SHINGLE) ->
     labels = classes.select("v", "label").join(member, "v", "left").withColumn("root", F.coalesce("root", "v"))
     least = labels.groupBy("root").agg(F.min("label").alias("component_id"))
     named = scratch.put("named", labels.join(least, "root").select("v", "component_id"))
-    linked = sketch.filter(f"NOT ({lone})").select("doc_id", "n", "v").join(named, "v").select("doc_id", "n", "component_id")
-    alone = sketch.filter(lone).select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    linked = sketch.filter(f"NOT ({lone})").select("doc_id", "th", "n", "v").join(named, "v").select("doc_id", "th", "n", "component_id")
+    alone = sketch.filter(lone).select("doc_id", "th", "n", F.col("doc_id").alias("component_id"))
     both = linked.unionByName(alone)
-    return both.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return both.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "th")
+
+
+def keep_representatives(docs: DataFrame, percent: int = 80, width: int = SHINGLE) -> DataFrame:
+    """The rows of docs, all columns as they are, that near_duplicates keeps; of equal rows, one."""
+    return keep_marked(docs, near_duplicates(docs, percent, width))
