@@ -9,10 +9,15 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: dict[str, tempfile.TemporaryDirectory] = {}
+#: Rows of an Arrow batch where the session leaves Spark's default: rows may hold texts of many kilobytes.
+ARROW, ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package to the Python workers of the session, once an application (as --py-files would)."""
+    """Prepares a session: sends this package to its Python workers, once an application (as --py-files would), and
+    sees to it that Arrow batches of long texts stay small."""
+    if spark.conf.get(ARROW) == "10000":
+        spark.conf.set(ARROW, ARROW_ROWS)
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         _shipped[app] = folder = tempfile.TemporaryDirectory(prefix="tidemark-code-")
