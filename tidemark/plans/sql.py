@@ -124,7 +124,7 @@ def _stamp(x: str, ms: bool = True) -> str:
 
 def _srt(x: str) -> str:
     x = f"greatest(0, {x})"
-    pad = lambda v, n: f"lpad(({v})::VARCHAR, greatest({n}, length(({v})::VARCHAR)), '0')"
+    pad = lambda v, n: f"lpad(({v})::VARCHAR, greatest({n}, length(({v})::VARCHAR))::INT, '0')"
     return f"{pad(f'{x} // 3600000000', 2)} || ':' || {pad(f'{x} // 60000000 % 60', 2)} || ':' || {pad(f'{x} // 1000000 % 60', 2)} || ',' || {pad(f'{x} // 1000 % 1000', 3)}"
 
 
