@@ -114,8 +114,7 @@ def material_similarity(a: Column, b: Column) -> Column:
 def escape_markdown(text: Column) -> Column:
     """Text that Markdown shows as it stands: inline marks everywhere, block marks at the start of a line."""
     inline = F.regexp_replace(text, INLINE, r"\\$1")
-    lead = F.regexp_replace(inline, r"(?m)^([^\S\n]*)([#\-+=])", r"$1\\$2")
-    return F.regexp_replace(lead, r"(?m)^([^\S\n]*\d+)([.)])", r"$1\\$2")
+    return F.regexp_replace(inline, r"(?m)^([^\S\n]*)([#\-+=]|\d+[.)])", r"$1\\$2")
 
 
 def fence(text: Column) -> Column:

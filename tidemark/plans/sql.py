@@ -275,7 +275,7 @@ BODY = {
         SELECT p_partkey, x0, y0, CASE WHEN x1 <= x0 THEN least(960, x0 + 1) ELSE x1 END AS x1, CASE WHEN y1 <= y0 THEN least(540, y0 + 1) ELSE y1 END AS y1 FROM q""",
     "tile_plan": """SELECT p_partkey, k * 902 AS y0, least(p_size * 100, k * 902 + 1100) AS y1 FROM part, range(0, 10) t(k)
         WHERE k = 0 OR (k - 1) * 902 + 1100 < p_size * 100""",
-    "md_escape": r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '([\\`*_\[\]<>|])', '\\\1', 'g'), '(?m)^([^\S\n]*)([#\-+=])', '\1\\\2', 'g'), '(?m)^([^\S\n]*\d+)([.)])', '\1\\\2', 'g')) AS escaped_sha,
+    "md_escape": r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '([\\`*_\[\]<>|])', '\\\1', 'g'), '(?m)^([^\S\n]*)([#\-+=]|\d+[.)])', '\1\\\2', 'g')) AS escaped_sha,
         repeat('`', greatest(3, coalesce(list_max(list_transform(regexp_extract_all(text, '`+'), lambda x: length(x))), 0) + 1)) AS fence FROM documents""",
     "patch_similarity": "SELECT frame_id, round(list_avg(list_transform(list_zip(pixels, after), lambda z: abs(z[1] - z[2]))), 6) AS difference FROM lagged WHERE after IS NOT NULL",
     "substring_counts": "SELECT utt_id, (length(lower(text)) - length(replace(lower(text), 'th', ''))) // 2 AS n FROM pj",
