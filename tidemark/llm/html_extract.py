@@ -109,10 +109,38 @@ def place_of(name: str, attributes: str, inside: int) -> int:
     return 1 if inside == 1 or name in ("article", "main") else 0
 
 
+class Open:
+    """The elements that are open, innermost last, and how many there are of each name."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int]] = []
+        self.count: dict[str, int] = {}
+
+    @property
+    def place(self) -> int:
+        return self.stack[-1][1] if self.stack else 0
+
+    def push(self, name: str, place: int) -> None:
+        self.stack.append((name, place))
+        self.count[name] = self.count.get(name, 0) + 1
+
+    def has(self, name: str) -> bool:
+        return self.count.get(name, 0) > 0
+
+    def pop(self) -> str:
+        name = self.stack.pop()[0]
+        self.count[name] -= 1
+        return name
+
+    def close(self, name: str) -> None:
+        """Closes the innermost element of the name, and all inside it."""
+        while self.has(name) and self.pop() != name:
+            pass
+
+
 def blocks_of(html: str) -> list[Block]:
     out: list[Block] = []
-    open_: list[tuple[str, int]] = []
-    links, heading = 0, 0
+    opened, links, heading = Open(), 0, 0
     held: list[str] = []
     linked: list[str] = []
 
@@ -120,7 +148,7 @@ def blocks_of(html: str) -> list[Block]:
         text = " ".join(unescape("".join(held)).split())
         if text:
             n = text.count(" ") + 1
-            out.append(Block(text, n, min(n, len(unescape(" ".join(linked)).split())), open_[-1][1] if open_ else 0, heading))
+            out.append(Block(text, n, min(n, len(unescape(" ".join(linked)).split())), opened.place, heading))
         held.clear()
         linked.clear()
 
@@ -136,26 +164,24 @@ def blocks_of(html: str) -> list[Block]:
                 continue
             elif name in BLOCKS:
                 flush()
-                if open_ and open_[-1][0] == "p":
-                    open_.pop()
+                if opened.stack and opened.stack[-1][0] == "p":
+                    opened.pop()
                 if name != "hr":
-                    open_.append((name, place_of(name, attributes, open_[-1][1] if open_ else 0)))
+                    opened.push(name, place_of(name, attributes, opened.place))
                 heading, links = int(name in HEADINGS), 0
             elif name == "a":
                 links = 1
             elif attributes and place_of(name, attributes, 0) < 0:  # an inline element that is not the article
                 flush()
-                open_.append((name, -1))
-            elif any(o[0] == name for o in open_):
-                open_.append((name, open_[-1][1]))
+                opened.push(name, -1)
+            elif opened.has(name):
+                opened.push(name, opened.place)
         elif name == "a":
             links = 0
-        elif name in BLOCKS or any(o[0] == name for o in open_):
+        elif name in BLOCKS or opened.has(name):
             flush()
             heading = 0
-            if any(o[0] == name for o in open_):
-                while open_.pop()[0] != name:
-                    pass
+            opened.close(name)
     flush()
     return out
 
@@ -187,6 +213,19 @@ LABELLED = (
     ((4, 0, 1, 0, 1),),
     ((4, 0, 0, 1, 1), (35, 0, 0, 0, 1), (3, 0, 0, 0, 0), (3, 3, 0, 0, 0)),
     ((75, 70, 0, 0, 0), (60, 52, 0, 0, 0), (40, 38, 1, 0, 0), (55, 0, 1, 0, 1)),
+    ((1, 1, 0, 0, 0), (3, 3, 0, 0, 0), (8, 0, 0, 1, 1), (14, 0, 0, 0, 1), (26, 3, 0, 0, 1), (13, 0, 0, 0, 1), (2, 2, 0, 0, 0), (2, 2, 0, 0, 0)),
+    ((2, 2, 0, 0, 0), (5, 0, 0, 1, 1), (22, 0, 0, 0, 1), (19, 4, 0, 0, 1), (11, 0, 0, 0, 1), (3, 3, 0, 0, 0), (1, 1, 0, 0, 0), (4, 0, 0, 0, 0), (2, 2, 0, 0, 0)),
+    ((4, 4, 0, 0, 0), (2, 0, 0, 0, 0), (6, 6, 0, 0, 0), (10, 0, 0, 1, 1), (37, 2, 0, 0, 1), (16, 0, 0, 0, 1), (24, 0, 0, 0, 1), (5, 5, 0, 0, 0)),
+    ((3, 3, 0, 0, 0), (17, 0, 0, 0, 1), (48, 0, 0, 0, 1), (9, 0, 0, 0, 1), (3, 3, 0, 0, 0)),
+    ((1, 0, 0, 0, 1),),
+    ((6, 0, 0, 0, 1), (1, 0, 0, 0, 1)),
+    ((2, 0, 0, 1, 1), (3, 0, 0, 0, 1), (1, 0, 0, 0, 1)),
+    ((2, 1, 0, 0, 0), (6, 2, 0, 0, 0), (3, 0, 0, 0, 0), (2, 2, 0, 0, 0), (3, 0, 0, 0, 0), (4, 4, 0, 0, 0)),
+    ((2, 0, -1, 0, 0), (1, 1, -1, 0, 0), (2, 2, -1, 0, 0), (4, 0, 1, 1, 1), (14, 0, 1, 0, 1), (13, 3, 1, 0, 1), (2, 0, 1, 0, 1), (14, 0, -1, 0, 0), (9, 0, -1, 0, 0)),
+    ((1, 1, -1, 0, 0), (3, 0, 1, 1, 1), (2, 0, 1, 0, 1), (1, 0, 1, 0, 1), (5, 0, 1, 0, 1), (3, 3, -1, 0, 0)),
+    ((3, 3, -1, 0, 0), (6, 0, 1, 0, 1), (1, 0, 1, 0, 1), (2, 2, -1, 0, 0)),
+    ((2, 2, -1, 0, 0), (1, 0, 1, 1, 1), (30, 0, 1, 0, 1), (1, 0, 1, 0, 1), (1, 1, -1, 0, 0)),
+    ((7, 7, -1, 0, 0), (9, 0, -1, 0, 0), (11, 0, 0, 1, 1), (12, 0, 0, 0, 1), (8, 0, 0, 0, 1), (30, 6, 0, 0, 1), (10, 0, 0, 0, 1), (14, 0, -1, 0, 0), (3, 3, -1, 0, 0)),
 )
 
 
@@ -209,7 +248,7 @@ class Tree:
         return self.value[node] > 0.5
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 1) -> Tree:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 9, least: int = 1) -> Tree:
     """Least Gini impurity, splits midway between values."""
     nodes: list[list] = []
 
