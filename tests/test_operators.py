@@ -215,3 +215,23 @@ def test_material(spark):
 def test_json_lines_keep_nulls(spark):
     occ, _, _ = scenario(spark)
     assert '"content_id":null' in render.json_lines(occ.filter("occ_id = 3")).first().value
+
+
+def test_small_changes_inherit(spark):
+    schema = "media_id long, occ_id long, start_us long, end_us long, content_id string, change_share double, area_before string, area_after string"
+    df = spark.createDataFrame([(1, 0, 0, 1, "a", None, None, None), (1, 1, 1, 2, "b", 0.1, "x", "x"), (1, 2, 2, 3, "c", 0.15, "y", "y"), (1, 3, 3, 4, "d", 0.1, "x", "z"), (1, 4, 4, 5, "e", 0.2, "x", "x")], schema)
+    assert rows(states.inherit_content(df), "occ_id", "content_id", "inherited") == [(0, "a", False), (1, "a", True), (2, "a", True), (3, "d", False), (4, "e", False)]
+
+
+def test_unextracted_blocks_merge(spark):
+    df = spark.createDataFrame([(1, 0, "single", 0, 1), (1, 1, "unextracted", 1, 2), (1, 2, "unextracted", 2, 5), (1, 3, "single", 5, 6), (1, 4, "single", 6, 7)], "media_id long, block_index int, kind string, start_us long, end_us long")
+    assert rows(states.merge_unextracted(df), "block_index", "start_us", "end_us", "blocks") == [(0, 0, 1, 1), (1, 1, 5, 2), (3, 5, 6, 1), (4, 6, 7, 1)]
+
+
+def test_outline_and_notes(spark):
+    occ, utt, bodies = scenario(spark)
+    index = spark.createDataFrame([("total", "total", 2, 1, 2_000_000)], "term string, surface string, shown long, said long, first_us long")
+    text = render.documents(render.outline_lines(index, states.versions(occ), bodies)).first().text
+    assert text.splitlines() == ["- 0:00:00.000 Lecture 1", "- 0:00:02.000 total.py", "- 0:00:04.500 total.py", "- 0:00:07.100 Lecture 1", "- total: 2 / 1 (0:00:02.000)"]
+    note = lambda n, g: render.structure_note(F.lit(n), F.lit("a"), F.lit("b"), F.lit("one_way"), F.array(*[F.lit(x) for x in g]))
+    assert tuple(spark.range(1).select(note("x", ["g", "h"]), note(" ", [])).first()) == ("> x\n> a → b\n> g, h", "")

@@ -86,4 +86,6 @@ def test_jobs():
     assert jobs.downstream("frame_scan") == ["vision", "screen_tracker", "align", "blocks", "export"] and jobs.downstream("export") == []
     assert [jobs.completion(*x) for x in ((False, 0), (True, 2), (True, 0))] == ["processing", "completed_with_review", "reviewed"]
     assert jobs.config_hash({"a": 1, "b": 2}, ["a"]) == jobs.config_hash({"b": 3, "a": 1}, ["a"])
+    told = jobs.manifest({"id": 1}, j, {"a": 1}, ["b", "a"], 0, {})
+    assert told == jobs.manifest({"id": 1}, j, {"a": 1}, ["a", "b"], 0, {}) and '"status":"processing"' in told
     assert jobs.selected(["export", "asr"]) == ["asr", "export"]

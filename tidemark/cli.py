@@ -42,7 +42,7 @@ def run_export(spark: SparkSession, folder: str, out: str) -> None:
         render.write_lines(rows, f"{out}/{name}.jsonl", order)
     contents.referenced(body, occ).write.mode("overwrite").json(f"{out}/screen_contents.jsonl")
     coded = body.withColumn("is_code", F.col("screen_kind") == "code")
-    for name, texts in (("transcript.srt", render.srt(utt)), ("lecture.md", render.documents(render.material_lines(members, occ, coded, utt, al)))):
+    for name, texts in (("transcript.srt", render.srt(utt)), ("reading.md", render.documents(render.material_lines(members, occ, coded, utt, al)))):
         texts.select("media_id", F.col("text").alias("value")).write.mode("overwrite").partitionBy("media_id").text(f"{out}/{name}")
 
 

@@ -82,3 +82,27 @@ def report_lines(title: str, sections: list[tuple[str, DataFrame]]) -> str:
         out += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows.limit(1000).collect()]
         out.append("")
     return "\n".join(out)
+
+
+def outline_lines(terms: DataFrame, versions: DataFrame, contents: DataFrame) -> DataFrame:
+    """Lines of a study outline per media: each content version with its time and title, then the term index (the same
+    in every media; at most as many as the index lists). Columns: media_id, ord, line."""
+    shown = versions.join(contents.select("content_id", "title"), "content_id", "left")
+    line = F.concat(F.lit("- "), format_timestamp("start_us"), F.lit(" "), escape_markdown(F.coalesce("title", F.lit(""))))
+    rows = shown.select("media_id", F.array(F.lit(0).cast("long"), F.col("start_us"), F.col("occ_id").cast("long")).alias("ord"), line.alias("line"))
+    w = Window.orderBy(F.desc(F.col("shown") + F.col("said")), "term")  # a bounded list
+    listed = terms.withColumn("n", F.row_number().over(w).cast("long"))
+    term = F.concat(F.lit("- "), escape_markdown(F.col("surface")), F.lit(": "), F.col("shown").cast("string"), F.lit(" / "), F.col("said").cast("string"), F.lit(" ("), format_timestamp("first_us"), F.lit(")"))
+    index = versions.select("media_id").distinct().crossJoin(F.broadcast(listed.select(F.array(F.lit(1).cast("long"), F.col("n"), F.lit(0).cast("long")).alias("ord"), term.alias("line"))))
+    return rows.unionByName(index)
+
+
+def structure_note(note: F.Column, source: F.Column, target: F.Column, direction: F.Column, group: F.Column) -> F.Column:
+    """A reading of a figure as quoted lines; '' where the note is blank."""
+    arrow = F.when(direction == "one_way", "→").when(direction == "two_way", "↔").when(direction == "none", "—").otherwise("-")
+    parts = F.array(
+        F.concat(F.lit("> "), escape_markdown(note)),
+        F.when((source != "") & (target != ""), F.concat(F.lit("> "), escape_markdown(source), F.lit(" "), arrow, F.lit(" "), escape_markdown(target))),
+        F.when(F.size(group) > 0, F.concat(F.lit("> "), escape_markdown(F.array_join(F.slice(group, 1, 8), ", ")))),
+    )
+    return F.when(F.trim(F.coalesce(note, F.lit(""))) == "", "").otherwise(F.array_join(F.filter(parts, lambda x: x.isNotNull()), "\n"))

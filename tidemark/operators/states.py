@@ -106,3 +106,24 @@ def flag_merge(a: Column, b: Column, dropped: str) -> Column:
 def coverage_state(content: Column, kind: Column, skipped: Column, failed: Column) -> Column:
     """How an interval counts in the coverage of the screen track."""
     return F.when(content.isNotNull(), "extracted").when(kind == "blank", "blank").when(skipped, "unextracted").when(failed, "failed").otherwise("unextracted")
+
+
+def inherit_content(states: DataFrame, share: float = 0.15) -> DataFrame:
+    """Lets a state keep the content of the one before it where only a small area has changed and that area reads the
+    same in both frames. states: media_id, start_us, end_us, occ_id, content_id, change_share, area_before, area_after.
+
+    Adds inherited. A chain of such states has the content of its first member."""
+    same = (F.col("change_share") <= share) & F.col("area_before").eqNullSafe(F.col("area_after")) & F.col("area_after").isNotNull()
+    chained = islands(states, ["media_id"], ORDER, ~same, "chain")
+    first = Window.partitionBy("media_id", "chain").orderBy(*ORDER)
+    place = F.row_number().over(first)
+    out = chained.withColumn("inherited", place > 1).withColumn("content_id", F.first("content_id").over(first))
+    return out.drop("chain")
+
+
+def merge_unextracted(blocks: DataFrame) -> DataFrame:
+    """Neighbouring unextracted blocks as one: media_id, block_index of the first, kind, start_us, end_us, blocks."""
+    w = Window.partitionBy("media_id").orderBy("block_index")
+    both = (F.col("kind") == "unextracted") & (F.lag("kind").over(w) == "unextracted")
+    runs = islands(blocks, ["media_id"], ["block_index"], ~both, "run")
+    return runs.groupBy("media_id", "run", "kind").agg(F.min("block_index").alias("block_index"), F.min("start_us").alias("start_us"), F.max_by("end_us", "block_index").alias("end_us"), F.count(F.lit(1)).alias("blocks")).drop("run")

@@ -113,3 +113,15 @@ def selected(only: Iterable[str] | None) -> list[str]:
     if unknown:
         raise ValueError(f"no such stage: {sorted(unknown)}")
     return [s for s in STAGES if s in set(only)]
+
+
+def manifest(media: dict, jobs: Jobs, config: dict, outputs: Iterable[str], reviews_open: int, versions: dict[str, str]) -> str:
+    """What a run was made from and with, as JSON. Paths are listed in order; nothing in it depends on the clock."""
+    return stable_json({
+        "media": media,
+        "stages": {s: asdict(j) for s, j in jobs.rows.items()},
+        "config_hash": config_hash(config),
+        "outputs": sorted(outputs),
+        "status": completion(jobs.all_done(), reviews_open),
+        "versions": versions,
+    })
