@@ -16,26 +16,31 @@ from tidemark.session import ship
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
+    ship(spark)
     return quality_rules.keep_good(docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
+    ship(spark)
     return exact_dedup.keep_unique(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    ship(spark)
     return minhash.keep_representatives(docs)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often, and with the words, as the mix of sources to their targets takes them."""
+    ship(spark)
     return mixing.mix_documents(docs)
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, ids of every document that the mix has."""
+    ship(spark)
     return bpe.digests(bpe.encode_documents(docs, TOKENIZER), keep_ids=True)
 
 

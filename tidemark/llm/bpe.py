@@ -19,11 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import strings, text_or_empty
+from .kernels import chunks
 
 #: The pretoken pattern of the byte-level pretokenizer. Fixed value.
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Bytes of text encoded at once.
+TEXT_BYTES = 2 << 20
 #: Pretokens remembered between batches, and bytes of pretokens merged at once.
-REMEMBER, MERGE_BYTES = 200_000, 2 << 20
+REMEMBER, MERGE_BYTES = 500_000, 1 << 20
 
 
 def byte_letters() -> list[str]:
@@ -189,7 +192,7 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, texts_at_once: int = 200) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer: str, text_bytes: int = TEXT_BYTES) -> DataFrame:
     """doc_id, ids ARRAY<INT>, decoded: every whole text encoded and decoded again (null: empty text, no ids).
 
     tokenizer: path of a byte-level BPE file in the tokenizers format, readable on every worker. One narrow pass:
@@ -199,8 +202,8 @@ def encode_documents(docs: DataFrame, tokenizer: str, texts_at_once: int = 200)
     def run(batches):
         own = codec(tokenizer)
         for batch in batches:
-            for start in range(0, batch.num_rows, texts_at_once):
-                part = batch.slice(start, texts_at_once)
+            for start, stop, _, _ in chunks(batch.column("text"), text_bytes):
+                part = batch.slice(start, stop - start)
                 ids = list(own.encode(strings(part.column("text"))))
                 decoded = [own.decode(x) for x in ids]
                 cuts = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
