@@ -177,7 +177,7 @@ def taken_pieces(placed: DataFrame, drawn: DataFrame, block: int) -> DataFrame:
     spread = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / block), F.floor((F.col("first") + F.col("size") - 1) / block))))
     start = F.greatest(F.col("first"), F.col("block") * block)
     spread = spread.select("doc_id", "th", "source", "s", "block", (start - F.col("first")).alias("at"), (F.least(F.col("first") + F.col("size"), (F.col("block") + 1) * block) - start).alias("n"), "first")
-    return spread.join(drawn, ["s", "block"])
+    return spread.join(drawn.hint("merge"), ["s", "block"])  # as many draws as blocks: never to be broadcast
 
 
 def mix_report(docs: DataFrame, seed: int = 1, block: int = BLOCK) -> DataFrame:
