@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 SPACE_BYTES = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _local_scratch: list[tempfile.TemporaryDirectory] = []
 
 
@@ -23,7 +26,8 @@ def scratch_root(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     if root := conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None):
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
     if not _local_scratch:
         _local_scratch.append(tempfile.TemporaryDirectory(prefix="tidemark-"))
@@ -38,11 +42,22 @@ class Scratch:
         self.spark, self.root, self.paths = spark, f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex[:12]}", {}
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        path, conf = f"{self.root}/{name}", self.spark.conf
+        was = conf.get(SHUFFLE_CLEANUP, "false")
+        conf.set(SHUFFLE_CLEANUP, "true")  # what was shuffled for this table is not needed once it is written
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            conf.set(SHUFFLE_CLEANUP, was)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def sweep(self) -> None:
+        """Lets Spark delete the shuffle files of lineage that a written table has cut; else they stay until the driver
+        happens to collect its garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
         for name in names:
@@ -90,6 +105,11 @@ class Bloom:
     def log_bits(cls, keys: int) -> int:
         return min(cls.MAX_LOG, max(cls.MIN_LOG, int(np.ceil(np.log2(max(1, keys) * 12)))))
 
+    @classmethod
+    def tasks(cls, log_bits: int) -> int:
+        """Partitions that build a filter: one for each 2**21 bits, one for each slice at most."""
+        return min(cls.SLICES, 1 << max(0, log_bits - 21))
+
     @staticmethod
     def _places(keys: np.ndarray, mask: np.uint64) -> tuple[np.ndarray, np.ndarray]:
         from .kernels import mix
@@ -100,7 +120,8 @@ class Bloom:
     @classmethod
     def build(cls, keys: DataFrame, count: int) -> "Bloom":
         """keys: one BIGINT column `key`; count: about how many."""
-        size, slices = (1 << cls.log_bits(count)) // cls.SLICES // 8, cls.SLICES
+        log_bits, slices = cls.log_bits(count), cls.SLICES
+        size = (1 << log_bits) // slices // 8
 
         def fill(batches):
             held: dict[int, np.ndarray] = {}
@@ -115,9 +136,9 @@ class Bloom:
             if held:
                 yield pa.RecordBatch.from_pydict({"slice": pa.array(list(held), pa.int32()), "bits": pa.array([b.tobytes() for b in held.values()], pa.binary())})
 
-        parts = keys.select("key", F.pmod("key", F.lit(slices)).alias("slice")).repartition(slices, "slice").select("key").mapInArrow(fill, "slice int, bits binary")
+        parts = keys.select("key", F.pmod("key", F.lit(slices)).alias("slice")).repartition(cls.tasks(log_bits), "slice").select("key").mapInArrow(fill, "slice int, bits binary")
         bits = np.zeros((slices, size), np.uint8)
-        for row in parts.toLocalIterator():
+        for row in parts.collect():  # at most 16 MB
             bits[row.slice] |= np.frombuffer(row.bits, np.uint8)
         return cls(bits)
 

@@ -60,9 +60,9 @@ def repeated_bits(hashes: DataFrame, log_bits: int) -> Bloom:
             yield pa.RecordBatch.from_pydict({"slice": pa.array(list(held), pa.int32()), "bits": pa.array([np.packbits(b, bitorder="little").tobytes() for _, b in held.values()], pa.binary())})
 
     keys = hashes.toDF("key").mapInArrow(distinct, "key long, twice boolean").withColumn("slice", F.pmod("key", F.lit(slices)))
-    rows = keys.repartition(slices, "slice").select("key", "twice").mapInArrow(fill, "slice int, bits binary")
+    rows = keys.repartition(Bloom.tasks(log_bits), "slice").select("key", "twice").mapInArrow(fill, "slice int, bits binary")
     bits = np.zeros((slices, size), np.uint8)
-    for row in rows.toLocalIterator():
+    for row in rows.collect():  # at most 16 MB
         bits[row.slice] |= np.frombuffer(row.bits, np.uint8)
     return Bloom(bits)
 
