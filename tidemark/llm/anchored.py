@@ -36,7 +36,8 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 def repeated_segments(scratch: Scratch, rows: DataFrame, cut: Cut) -> DataFrame:
     """Written table of all segments of `rows` (as numbered() gives them) whose anchor occurs at least twice,
-    and of a few more that the filter lets through."""
+    and of a few more that the filter lets through. payload is null where the segment has one further up in the same
+    stretch of text, so that a hot segment brings few."""
     spark = rows.sparkSession
     rows = rows.filter(F.col("text") != "")
 
@@ -50,6 +51,7 @@ def repeated_segments(scratch: Scratch, rows: DataFrame, cut: Cut) -> DataFrame:
     anchors = scratch.put("anchors", anchors)
     bloom = spark.sparkContext.broadcast(Bloom.build(anchors, anchors.count()))
     scratch.drop("anchors")
+    scratch.sweep()
 
     def let_out(batches):
         for batch in batches:
@@ -58,7 +60,11 @@ def repeated_segments(scratch: Scratch, rows: DataFrame, cut: Cut) -> DataFrame:
                 row, start, n, anchor, code, payload = cut(data, at)
                 keep = np.flatnonzero(bloom.value.might_hold(anchor))
                 take = pa.array(row[keep] + first)
-                yield pa.RecordBatch.from_arrays([ids.take(take), hashes.take(take), _signed(anchor[keep]), _signed(code[keep]), pa.array(start[keep], pa.int32()), pa.array(n[keep], pa.int32()), pa.array(payload(keep), pa.binary())], ["doc_id", "th", "a", "s", "start", "n", "payload"])
+                told = np.unique(code[keep], return_index=True)[1]  # the first of each segment here has its payload
+                held: list = [None] * len(keep)
+                for k, x in zip(told.tolist(), payload(keep[told]), strict=True):
+                    held[k] = x
+                yield pa.RecordBatch.from_arrays([ids.take(take), hashes.take(take), _signed(anchor[keep]), _signed(code[keep]), pa.array(start[keep], pa.int32()), pa.array(n[keep], pa.int32()), pa.array(held, pa.binary())], ["doc_id", "th", "a", "s", "start", "n", "payload"])
 
     return scratch.put("segments", rows.mapInArrow(let_out, SEGMENTS))
 

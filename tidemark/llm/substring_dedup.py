@@ -67,7 +67,7 @@ def duplicate_spans(scratch: Scratch, rows: DataFrame, window: int, gram: int) -
     found = repeated_segments(scratch, rows.filter("doc_id IS NOT NULL"), word_cutter(window, gram))
     keys = scratch.put("keys", segment_keys(found))
     several = keys.filter("several").select("a", "s", "owner")
-    blocks = found.select("a", "s", "payload").join(several, ["a", "s"]).groupBy("a", "s", "owner").agg(F.first("payload").alias("payload"))
+    blocks = found.filter("payload IS NOT NULL").select("a", "s", "payload").join(several, ["a", "s"]).groupBy("a", "s", "owner").agg(F.first("payload").alias("payload"))
     factors = blocks.repartition("a").sortWithinPartitions("a", "owner", "s").mapInArrow(factor_blocks, "a long, s long, off int, n int")
     factors = scratch.put("factors", factors)
     keyed = found.drop("payload").join(keys.select("a", "s", "owner"), ["a", "s"])
@@ -76,6 +76,7 @@ def duplicate_spans(scratch: Scratch, rows: DataFrame, window: int, gram: int) -
     owners = owners.select("doc_id", "th", (F.col("start") + F.col("off")).alias("start"), (F.col("n") + (window - 1)).alias("length"))
     spans = scratch.put("spans", spans_by_document(later.unionByName(owners)))
     scratch.drop("segments", "keys", "factors")
+    scratch.sweep()
     return spans
 
 

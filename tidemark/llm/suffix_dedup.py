@@ -69,7 +69,7 @@ def repeated_spans(scratch: Scratch, rows: DataFrame, width: int, gram: int, sha
     found = repeated_segments(scratch, rows, byte_cutter(width, gram))
     keys = scratch.put("keys", segment_keys(found).drop("owner"))
     several = keys.filter("several").select("a", "s")
-    blocks = found.select("a", "s", "payload").join(several, ["a", "s"]).groupBy("a", "s").agg(F.first("payload").alias("payload"))
+    blocks = found.filter("payload IS NOT NULL").select("a", "s", "payload").join(several, ["a", "s"]).groupBy("a", "s").agg(F.first("payload").alias("payload"))
     runs = blocks.repartition("a").sortWithinPartitions("a").mapInArrow(sort_shards(width, shard_bytes), "a long, s long, off int, n int")
     runs = scratch.put("runs", runs)
     keyed = found.drop("payload").join(keys, ["a", "s"])
@@ -78,6 +78,7 @@ def repeated_spans(scratch: Scratch, rows: DataFrame, width: int, gram: int, sha
     parts = parts.select("doc_id", "th", (F.col("start") + F.col("off")).alias("start"), (F.col("n") + (width - 1)).alias("length"))
     spans = scratch.put("spans", spans_by_document(whole.unionByName(parts)))
     scratch.drop("segments", "keys", "runs")
+    scratch.sweep()
     return spans
 
 
