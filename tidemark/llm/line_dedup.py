@@ -5,8 +5,9 @@ order is total and the same everywhere); only the rarest words of a line, its pr
 prefix word are held against the length filter, the positional filter and a bound from 128-bit word maps; what is
 left is verified on full sets. A line that matches an earlier one is removed.
 
-A later line needs one earlier match, so an index list gives one candidate per line and not all its pairs. Lines whose
-candidates fail though their list had more get all the rest in a second round.
+Index entries travel as packed arrays, one row per stretch of text and bucket of words; equal sets collapse in the
+stretch and again in the bucket. A later line needs one earlier match, so an index list gives one candidate per line and
+not all its pairs. Lines whose candidates fail though their list had more get all the rest in a second round.
 """
 
 from __future__ import annotations
@@ -22,8 +23,26 @@ from .kernels import chunks, mix, word_codes, words
 
 #: Slots of the word-count sketch: 4 MB of counts, whatever the corpus.
 LOG_SLOTS, SLICES = 20, 16
-#: Earlier members of an index list that a line is held against at a time.
-STEP = 256
+#: A line leaves an index list in the first round with this many candidates; one whose word map is at most half as far
+#: off as it may be counts as STRONG of them.
+TRIES, STRONG = 64, 32
+#: Bytes of index entries that are joined at once.
+BUCKET_BYTES = 16 << 20
+#: What an index entry is: word, set, place of the line, size of the set, rank of the word in it, word map.
+ENTRY = (("word", np.uint64), ("c", np.int64), ("doc", np.int64), ("line", np.int32), ("n", np.int32), ("pos", np.int32), ("m0", np.uint64), ("m1", np.uint64))
+ENTRY_BYTES = sum(np.dtype(t).itemsize for _, t in ENTRY)
+
+
+def sorted_within(line: np.ndarray, rank: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Order by line, then by rank (under 2**44), then by word: one sort of packed keys if that leaves no tie."""
+    if not len(line) or line[-1] < 1 << 20:
+        key = (line.astype(np.uint64) << np.uint64(44)) | rank
+        order = np.argsort(key)
+        key = key[order]
+        tied = np.flatnonzero(key[1:] == key[:-1])
+        if (word[order[tied]] == word[order[tied + 1]]).all():
+            return order
+    return np.lexsort((word, rank, line))
 
 
 class Lines:
@@ -38,12 +57,12 @@ class Lines:
         line = np.cumsum(fresh) - 1
         self.doc, self.number = doc[fresh], number[fresh]
         word = word_codes(data, begin, end)
-        order = np.lexsort((word, line))
+        order = sorted_within(line, word >> np.uint64(20), word)
         word, line = word[order], line[order]
         keep = np.ones(len(word), bool)
         keep[1:] = (word[1:] != word[:-1]) | (line[1:] != line[:-1])
         self.word, self.line = word[keep], line[keep]
-        self.bounds = np.searchsorted(self.line, np.arange(len(self.doc) + 1))
+        self.bounds = np.concatenate(([0], np.cumsum(np.bincount(self.line, minlength=len(self.doc)))))
         self.size = np.diff(self.bounds)
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(self.word ^ np.uint64(0x2545F4914F6CDD1D)))))
         self.code = mix(sums[self.bounds[1:]] - sums[self.bounds[:-1]] + self.size.astype(np.uint64))
@@ -58,15 +77,8 @@ def _slot(word: np.ndarray) -> np.ndarray:
     return (word >> np.uint64(64 - LOG_SLOTS)).astype(np.int64)
 
 
-def word_counts(rows: DataFrame) -> np.ndarray:
-    """Lines in which the words of each slot occur, over all rows."""
-
-    def count(batches):
-        held = np.zeros(1 << LOG_SLOTS, np.int64)
-        for batch in batches:
-            for _, _, data, at in chunks(batch.column("text")):
-                held += np.bincount(_slot(word_codes(data, *words(data, at)[:2])), minlength=len(held))
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in held.reshape(SLICES, -1)], pa.binary())], ["slice", "counts"])
+def word_counts(parts: DataFrame) -> np.ndarray:
+    """Lines in which the words of each slot occur, over all rows. parts: slice, counts, as _survey gives them."""
 
     def add(batches):
         held: dict[int, np.ndarray] = {}
@@ -75,9 +87,8 @@ def word_counts(rows: DataFrame) -> np.ndarray:
                 held[s] = held.get(s, 0) + np.frombuffer(counts, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["slice", "counts"])
 
-    kind = "slice int, counts binary"
     out = np.zeros((SLICES, (1 << LOG_SLOTS) // SLICES), np.int64)
-    for row in rows.select("text").mapInArrow(count, kind).repartition(SLICES, "slice").mapInArrow(add, kind).toLocalIterator():
+    for row in parts.repartition(SLICES, "slice").mapInArrow(add, "slice int, counts binary").collect():  # 8 MB
         out[row.slice] += np.frombuffer(row.counts, np.int64)
     return np.minimum(out.ravel(), 2**32 - 1).astype(np.uint32)
 
@@ -87,94 +98,134 @@ def overlap_needed(n, m, percent: int):
     return -(-(percent * (n + m)) // (100 + percent))
 
 
-def _index(counts, percent: int, least: int):
-    """All lines with their set; the first line of a set in a stretch also with its size, word map and prefix."""
+def prefix_entries(lines: Lines, first: np.ndarray, docs: np.ndarray, counts: np.ndarray, percent: int) -> dict[str, np.ndarray]:
+    """Index entries of the chosen lines, as arrays by name of ENTRY. docs: doc_id of each row of the stretch."""
+    chosen = np.zeros(len(lines.size), bool)
+    chosen[first] = True
+    inside = chosen[lines.line]
+    word, line = lines.word[inside], lines.line[inside]
+    rarity = np.minimum(counts[_slot(word)], (1 << 24) - 1).astype(np.uint64)
+    order = sorted_within(line, (rarity << np.uint64(20)) | (word >> np.uint64(44)), word)
+    word, line = word[order], line[order]
+    size, own = lines.size[line], lines.size[first]
+    rank = np.arange(len(line)) - np.repeat(np.cumsum(own) - own, own)
+    maps, bit = np.zeros((2, len(lines.size)), np.uint64), mix(word) & np.uint64(127)
+    for half in (0, 1):
+        mine = (bit >> np.uint64(6)) == half
+        np.bitwise_or.at(maps[half], line[mine], np.uint64(1) << (bit[mine] & np.uint64(63)))
+    head = rank < size - -(-percent * size // 100) + 1
+    line = line[head]
+    values = (word[head], lines.code[line].view(np.int64), docs[lines.doc[line]], lines.number[line], size[head], rank[head], maps[0][line], maps[1][line])
+    return {name: v.astype(t) for (name, t), v in zip(ENTRY, values, strict=True)}
+
+
+def _index(counts, percent: int, least: int, buckets: int):
+    """Packed index entries: a row per stretch of text and bucket."""
 
     def run(batches):
         for batch in batches:
-            for start, _, data, at in chunks(batch.column("text")):
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            for start, stop, data, at in chunks(batch.column("text")):
                 lines = Lines(data, at)
-                fit, first = np.flatnonzero(lines.size >= least), lines.firsts(least)
-                chosen = np.zeros(len(lines.size), bool)
-                chosen[first] = True
-                inside = chosen[lines.line]
-                word, line = lines.word[inside], lines.line[inside]
-                order = np.lexsort((word, counts.value[_slot(word)], line))
-                word, line = word[order], line[order]
-                rank = np.arange(len(line)) - np.searchsorted(line, line)
-                size = lines.size[line]
-                head = rank < size - -(-percent * size // 100) + 1
-                bounds = np.searchsorted(line[head], np.append(first, len(lines.size)))
-                prefix, maps = word[head].view(np.int64), np.zeros((2, len(lines.size)), np.uint64)
-                bit = mix(word) & np.uint64(127)
-                for half in (0, 1):
-                    mine = (bit >> np.uint64(6)) == half
-                    np.bitwise_or.at(maps[half], line[mine], np.uint64(1) << (bit[mine] & np.uint64(63)))
-                at_first = np.searchsorted(first, fit)
-                own = (at_first < len(first)) & (first[np.minimum(at_first, len(first) - 1)] == fit) if len(first) else np.zeros(len(fit), bool)
-                heads: list = [None] * len(fit)
-                for k, j in zip(np.flatnonzero(own).tolist(), at_first[own].tolist(), strict=True):
-                    heads[k] = prefix[bounds[j] : bounds[j + 1]]
-                take = pa.array(lines.doc[fit] + start)
-                mask = lambda x: pa.array(x, mask=~own)  # noqa: E731,B023
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(lines.number[fit].astype(np.int32)), pa.array(lines.code[fit].view(np.int64)), mask(lines.size[fit].astype(np.int32)), mask(maps[0][fit].view(np.int64)), mask(maps[1][fit].view(np.int64)), pa.array(heads, pa.list_(pa.int64()))], ["doc_id", "th", "line", "c", "n", "m0", "m1", "prefix"])
+                entry = prefix_entries(lines, lines.firsts(least), ids[start:stop], counts.value, percent)
+                bucket = (mix(entry["word"]) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                full = np.flatnonzero(np.diff(cuts))
+                entry = {k: v[order] for k, v in entry.items()}
+                packed = [b"".join(v[cuts[b] : cuts[b + 1]].tobytes() for v in entry.values()) for b in full.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(packed, pa.binary())], ["bucket", "entries"])
 
     return run
 
 
-def _candidates(percent: int, every: bool):
-    """Rows sorted by word, then by order of first lines; gives x (later), y (earlier), more (y was not the only one).
+def unpacked(rows: list[bytes]) -> dict[str, np.ndarray]:
+    out: dict[str, list[np.ndarray]] = {name: [] for name, _ in ENTRY}
+    for raw in rows:
+        n, at = len(raw) // ENTRY_BYTES, 0
+        for name, t in ENTRY:
+            out[name].append(np.frombuffer(raw, t, n, at))
+            at += n * np.dtype(t).itemsize
+    return {name: np.concatenate(parts) for name, parts in out.items()}
+
+
+def candidates(e: dict[str, np.ndarray], percent: int, probe=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """x (later), y (earlier), more: pairs of sets in one index list that the filters let through.
+
+    The nearest y of each x and list, two likely ones or up to TRIES, and whether the list has others before those; with
+    probe (a mask of sets by c), all y of the sets that it holds."""
+    order = np.lexsort((e["c"], e["line"], e["doc"], e["word"]))
+    same = mix(e["word"] ^ mix(e["c"].view(np.uint64)))[order]
+    order = order[np.sort(np.unique(same, return_index=True)[1])]  # the first line of each set in each list
+    e = {k: v[order] for k, v in e.items()}
+    fresh = np.concatenate(([True], e["word"][1:] != e["word"][:-1])) if len(order) else np.zeros(0, bool)
+    place = np.arange(len(order)) - np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0)) if len(order) else order
+    n, pos, m0, m1, c = e["n"].astype(np.int64), e["pos"].astype(np.int64), e["m0"], e["m1"], e["c"]
+    left, back, found = np.flatnonzero((place > 0) & (probe(c) if probe else True)), 1, []
+    tries = np.zeros(len(c), np.int16)
+    while len(left):
+        a, b = left, left - back
+        need = overlap_needed(n[a], n[b], percent)
+        fit = np.minimum(n[a], n[b]) >= need
+        fit &= np.minimum(pos[a], pos[b]) + 1 + np.minimum(n[a] - pos[a], n[b] - pos[b]) - 1 >= need
+        apart, room = np.bitwise_count(m0[a] ^ m0[b]).astype(np.int64) + np.bitwise_count(m1[a] ^ m1[b]), n[a] + n[b] - 2 * need
+        fit &= apart <= room
+        more = place[a] > back
+        found.append((c[a[fit]], c[b[fit]], more[fit]))
+        tries[a[fit]] += np.where(2 * apart[fit] <= room[fit], STRONG, 1).astype(np.int16)
+        left = left[more] if probe else left[more & (tries[a] < TRIES)]
+        back += 1
+    if not found:
+        return c[:0], c[:0], np.zeros(0, bool)
+    return tuple(np.concatenate(p) for p in zip(*found, strict=True))
+
+
+def _join(percent: int, open_=None):
+    """Rows of packed entries, those of one bucket in one partition; gives x, y, more. open_: a broadcast Bloom filter
+    of the sets to look at."""
 
-    every: all candidates of the rows marked `probe`, not just one of each."""
+    def run(batches):
+        held: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for b, raw in zip(batch.column("bucket").to_pylist(), batch.column("entries").to_pylist(), strict=True):
+                held.setdefault(b, []).append(raw)
+        while held:
+            x, y, more = candidates(unpacked(held.popitem()[1]), percent, (lambda c: open_.value.might_hold(c.view(np.uint64))) if open_ else None)
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(more)], ["x", "y", "more"])
 
-    def group(c, n, pos, m0, m1, probe, out):
-        for i in range(1, len(c)):
-            if not probe[i]:
-                continue
-            for a in range(0, i, STEP):
-                b = min(i, a + STEP)
-                need = overlap_needed(n[i], n[a:b], percent)
-                room = np.minimum(pos[i], pos[a:b]) + 1 + np.minimum(n[i] - pos[i] - 1, n[a:b] - pos[a:b] - 1)
-                apart = np.bitwise_count(m0[a:b] ^ m0[i]).astype(np.int64) + np.bitwise_count(m1[a:b] ^ m1[i])
-                fit = np.flatnonzero((room >= need) & (apart <= n[i] + n[a:b] - 2 * need) & (np.minimum(n[i], n[a:b]) >= need))
-                if every:
-                    out += [(c[i], y, False) for y in c[a:b][fit].tolist()]
-                elif len(fit):
-                    out.append((c[i], c[a + fit[apart[fit].argmin()]], len(fit) > 1 or b < i))
-                    break
+    return run
 
-    def run(batches):
-        held: list[np.ndarray] = []
-        names = ("word", "c", "n", "pos", "m0", "m1", "probe")
-
-        def flush(columns):
-            word, c, n, pos, m0, m1, probe = columns
-            m0, m1 = m0.view(np.uint64), m1.view(np.uint64)  # bits of a negative number are those of its absolute value
-            out: list[tuple] = []
-            cuts = np.concatenate(([0], np.flatnonzero(word[1:] != word[:-1]) + 1, [len(word)])) if len(word) else np.zeros(1, int)
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if b - a > 1:
-                    group(c[a:b], n[a:b], pos[a:b], m0[a:b], m1[a:b], probe[a:b], out)
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.bool_())], ["x", "y", "more"])
 
+SURVEY = "doc_id long, th long, line int, c long, slice int, counts binary"
+
+
+def _survey(least: int):
+    """One pass over the texts: doc_id, th, line, c of every line that is long enough, and slice, counts of words."""
+    names = [x.split()[0] for x in SURVEY.split(", ")]
+
+    def run(batches):
+        held = np.zeros(1 << LOG_SLOTS, np.int64)
         for batch in batches:
-            new = [batch.column(k).to_numpy(zero_copy_only=False) for k in names]
-            held = [np.concatenate(p) for p in zip(held, new, strict=True)] if held else new
-            if not len(held[0]):
-                continue
-            others = np.flatnonzero(held[0] != held[0][-1])
-            cut = int(others[-1]) + 1 if len(others) else 0
-            done, held = [x[:cut] for x in held], [x[cut:] for x in held]
-            yield flush(done)
-        if held:
-            yield flush(held)
+            for start, _, data, at in chunks(batch.column("text")):
+                lines = Lines(data, at)
+                held += np.bincount(_slot(lines.word), minlength=len(held))
+                fit = np.flatnonzero(lines.size >= least)
+                take = pa.array(lines.doc[fit] + start)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(lines.number[fit].astype(np.int32)), pa.array(lines.code[fit].view(np.int64)), pa.nulls(len(fit), pa.int32()), pa.nulls(len(fit), pa.binary())], names)
+        parts = held.reshape(SLICES, -1)
+        for k in range(SLICES):
+            if parts[k].any():
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64())), pa.array([k], pa.int32()), pa.array([parts[k].tobytes()], pa.binary())], names)
 
     return run
 
 
-def _sets(wanted, least: int):
+def _sets(wanted, standing, least: int):
+    """c, members of the wanted sets, from the documents in which such sets come first."""
+
     def run(batches):
         for batch in batches:
+            batch = batch.filter(pa.array(standing.value.might_hold(batch.column("of").to_numpy(zero_copy_only=False).view(np.uint64))))
             for _, _, data, at in chunks(batch.column("text")):
                 lines = Lines(data, at)
                 first = lines.firsts(least)
@@ -197,33 +248,40 @@ def _verify(percent: int):
     return run
 
 
-def matched_sets(scratch: Scratch, rows: DataFrame, classes: DataFrame, percent: int, least: int) -> DataFrame:
-    """x: every set that is similar to one that comes first earlier. classes: c, first (struct), n, m0, m1, prefix."""
+def matched_sets(scratch: Scratch, rows: DataFrame, told: np.ndarray, firsts: DataFrame, percent: int, least: int) -> DataFrame:
+    """x: the hash of every set that is similar to one that comes first earlier. told: word counts by slot. firsts: c,
+    first (doc_id, line, th)."""
     spark = rows.sparkSession
-    entries = classes.select(F.posexplode("prefix").alias("pos", "word"), "c", "n", "m0", "m1", "first")
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(told.sum(dtype=np.int64)) * 3 * ENTRY_BYTES // (10 * BUCKET_BYTES)))
+    counts = spark.sparkContext.broadcast(told)
+    # About three entries to ten words, so a bucket is about BUCKET_BYTES.
+    entries = rows.select("doc_id", "text").mapInArrow(_index(counts, percent, least, buckets), "bucket int, entries binary").repartition(buckets, "bucket")
     kept = "x long, y long, more boolean"
 
-    def candidates(entries: DataFrame, every: bool) -> DataFrame:
-        dealt = entries.repartition("word").sortWithinPartitions("word", "first", "c")
-        return dealt.select("word", "c", "n", "pos", "m0", "m1", "probe").mapInArrow(_candidates(percent, every), kept)
-
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        ends = pairs.select(F.col("x").alias("key")).union(pairs.select("y")).distinct()
-        ends = scratch.put(f"ends_{name}", ends)
-        bloom = spark.sparkContext.broadcast(Bloom.build(ends, ends.count()))
-        sets = rows.select("text").mapInArrow(_sets(bloom, least), "c long, members binary").join(ends.withColumnRenamed("key", "c"), "c", "left_semi").dropDuplicates(["c"])
+        ends = pairs.select(F.col("x").alias("c")).union(pairs.select("y")).distinct().join(firsts, "c")
+        ends = scratch.put(f"ends_{name}", ends.select("c", "first.doc_id", "first.th"))
+        n = ends.count()
+        blooms = [spark.sparkContext.broadcast(Bloom.build(keys.toDF("key"), n)) for keys in (ends.select("c"), ends.select(F.xxhash64("doc_id", "th")))]
+        sets = rows.select("text", F.xxhash64("doc_id", "th").alias("of")).mapInArrow(_sets(*blooms, least), "c long, members binary")
+        sets = sets.join(ends.select("c"), "c", "left_semi").dropDuplicates(["c"])
         sets = scratch.put(f"sets_{name}", sets)
         side = lambda c, m: sets.select(F.col("c").alias(c), F.col("members").alias(m))
-        return scratch.put(f"hits_{name}", pairs.join(side("x", "a"), "x").join(side("y", "b"), "y").mapInArrow(_verify(percent), "x long").distinct())
+        hits = scratch.put(f"hits_{name}", pairs.join(side("x", "a"), "x").join(side("y", "b"), "y").mapInArrow(_verify(percent), "x long").distinct())
+        scratch.drop(f"ends_{name}", f"sets_{name}")
+        scratch.sweep()
+        return hits
 
-    tried = candidates(entries.withColumn("probe", F.lit(True)), False).groupBy("x", "y").agg(F.max("more").alias("more"))
+    tried = entries.mapInArrow(_join(percent), kept).groupBy("x", "y").agg(F.max("more").alias("more"))
     tried = scratch.put("tried", tried)
+    scratch.sweep()
     hits = verified(tried.select("x", "y"), "one")
     open_ = scratch.put("open", tried.filter("more").select("x").distinct().join(hits, "x", "left_anti"))
     if not open_.isEmpty():
-        marked = entries.join(open_.select(F.col("x").alias("c"), F.lit(True).alias("probe")), "c", "left").withColumn("probe", F.coalesce("probe", F.lit(False)))
-        rest = candidates(marked, True).select("x", "y").distinct().join(tried.select("x", "y"), ["x", "y"], "left_anti")
-        rest = scratch.put("rest", rest)
+        bloom = spark.sparkContext.broadcast(Bloom.build(open_.select(F.col("x").alias("key")), open_.count()))
+        rest = entries.mapInArrow(_join(percent, bloom), kept).select("x", "y").distinct().join(open_, "x", "left_semi")
+        rest = scratch.put("rest", rest.join(tried.select("x", "y"), ["x", "y"], "left_anti"))
+        scratch.sweep()
         hits = hits.union(verified(rest, "two")).distinct()
     return hits
 
@@ -237,21 +295,21 @@ def line_dedup(docs: DataFrame, percent: int = 80, least: int = 5) -> DataFrame:
     stay. Null text counts as empty; rows with a null doc_id stay whole and remove nothing; of rows that share a
     doc_id, those of equal text are one. An empty table gives no rows; extra columns are not read.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "line_dedup")
+    scratch = Scratch(docs.sparkSession, "line_dedup")
     every = numbered(docs)
     rows = every.filter("doc_id IS NOT NULL AND text <> ''")
-    counts = spark.sparkContext.broadcast(word_counts(rows))
-    lines = rows.mapInArrow(_index(counts, percent, least), "doc_id long, th long, line int, c long, n int, m0 long, m1 long, prefix array<long>")
-    lines = scratch.put("lines", lines)
-    order = F.struct("doc_id", "th", "line")
-    classes = lines.filter("n IS NOT NULL").groupBy("c").agg(F.min(order).alias("first"), *(F.first(x).alias(x) for x in ("n", "m0", "m1", "prefix")))
-    classes = scratch.put("classes", classes)
-    hits = matched_sets(scratch, rows, classes, percent, least)
-    told = classes.select("c", "first").join(hits.select(F.col("x").alias("c"), F.lit(True).alias("hit")), "c", "left")
-    gone = lines.select("doc_id", "th", "line", "c").join(scratch.put("told", told), "c").filter(F.coalesce("hit", F.lit(False)) | (order != F.col("first")))
+    survey = scratch.put("lines", rows.mapInArrow(_survey(least), SURVEY))
+    lines = survey.filter("slice IS NULL").select("doc_id", "th", "line", "c")
+    counts = word_counts(survey.filter("slice IS NOT NULL").select("slice", "counts"))
+    order = F.struct("doc_id", "line", "th")
+    firsts = scratch.put("firsts", lines.groupBy("c").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("size")))
+    hits = scratch.put("hits", matched_sets(scratch, rows, counts, firsts.select("c", "first"), percent, least))
+    told = firsts.join(hits.select(F.col("x").alias("c"), F.lit(True).alias("hit")), "c", "left").filter("hit OR size > 1")
+    told = scratch.put("told", told)
+    gone = lines.join(told, "c").filter(F.coalesce("hit", F.lit(False)) | (order != F.col("first")))
     spans = scratch.put("spans", spans_by_document(gone.select("doc_id", "th", F.col("line").alias("start"), F.lit(1).alias("length"))))
-    scratch.drop("lines", "classes", "told")
+    scratch.drop("lines", "firsts", "told", "hits")
+    scratch.sweep()
 
     def keep(batches):
         for batch in batches:
