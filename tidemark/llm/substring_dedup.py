@@ -69,10 +69,12 @@ def duplicate_spans(scratch: Scratch, rows: DataFrame, window: int, gram: int) -
     several = keys.filter("several").select("a", "s", "owner")
     blocks = found.filter("payload IS NOT NULL").select("a", "s", "payload").join(several, ["a", "s"]).groupBy("a", "s", "owner").agg(F.first("payload").alias("payload"))
     factors = blocks.repartition("a").sortWithinPartitions("a", "owner", "s").mapInArrow(factor_blocks, "a long, s long, off int, n int")
-    factors = scratch.put("factors", factors)
-    keyed = found.drop("payload").join(keys.select("a", "s", "owner"), ["a", "s"])
-    later = keyed.filter("doc_id > owner").select("doc_id", "th", "start", (F.col("n") + (window - 1)).alias("length"))
-    owners = keyed.filter("doc_id = owner").drop("n").join(factors, ["a", "s"])
+    factors = scratch.put("factors", factors.join(several, ["a", "s"]))
+    # Each is one join of two tables that are dealt for it, so that partitions with a hot segment can be split.
+    places = found.drop("payload")
+    later = places.join(keys.select("a", "s", "owner"), ["a", "s"]).filter("doc_id > owner")
+    later = later.select("doc_id", "th", "start", (F.col("n") + (window - 1)).alias("length"))
+    owners = places.drop("n").join(factors, ["a", "s"]).filter("doc_id = owner")
     owners = owners.select("doc_id", "th", (F.col("start") + F.col("off")).alias("start"), (F.col("n") + (window - 1)).alias("length"))
     spans = scratch.put("spans", spans_by_document(later.unionByName(owners)))
     scratch.drop("segments", "keys", "factors")

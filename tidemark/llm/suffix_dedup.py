@@ -71,10 +71,13 @@ def repeated_spans(scratch: Scratch, rows: DataFrame, width: int, gram: int, sha
     several = keys.filter("several").select("a", "s")
     blocks = found.filter("payload IS NOT NULL").select("a", "s", "payload").join(several, ["a", "s"]).groupBy("a", "s").agg(F.first("payload").alias("payload"))
     runs = blocks.repartition("a").sortWithinPartitions("a").mapInArrow(sort_shards(width, shard_bytes), "a long, s long, off int, n int")
-    runs = scratch.put("runs", runs)
-    keyed = found.drop("payload").join(keys, ["a", "s"])
-    whole = keyed.filter("c > 1").select("doc_id", "th", "start", (F.col("n") + (width - 1)).alias("length"))
-    parts = keyed.filter("c = 1 AND several").drop("n").join(runs, ["a", "s"])
+    once = keys.filter("c = 1 AND several").select("a", "s")
+    runs = scratch.put("runs", runs.join(once, ["a", "s"]))
+    # Each is one join of two tables that are dealt for it, so that partitions with a hot segment can be split.
+    places = found.drop("payload")
+    whole = places.join(keys.filter("c > 1").select("a", "s"), ["a", "s"])
+    whole = whole.select("doc_id", "th", "start", (F.col("n") + (width - 1)).alias("length"))
+    parts = places.drop("n").join(runs, ["a", "s"])
     parts = parts.select("doc_id", "th", (F.col("start") + F.col("off")).alias("start"), (F.col("n") + (width - 1)).alias("length"))
     spans = scratch.put("spans", spans_by_document(whole.unionByName(parts)))
     scratch.drop("segments", "keys", "runs")
