@@ -219,12 +219,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = SHINGLE) ->
     classes = scratch.put("classes", classes)
 
     # Buckets of two or more classes, and in each the member that shares most.
+    # With a part of the key beside it, a join deals both sides anew, and a partition with a hot bucket can be split.
+    lead = F.pmod("band", F.lit(1024)).alias("lead")
     spread = classes.select("v", F.explode("bands").alias("band"))
     shared = spread.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    crowd = scratch.put("crowd", spread.join(shared, "band"))
+    crowd = spread.select("v", "band", lead).join(shared.select("band", "size", lead), ["band", "lead"]).drop("lead")
+    crowd = scratch.put("crowd", crowd)
     weight = crowd.groupBy("v").agg(F.sum("size").alias("weight"))
-    hub = crowd.join(weight, "v").groupBy("band").agg(F.max(F.struct("weight", "v")).alias("best")).select("band", F.col("best.v").alias("w"))
-    stars = crowd.select("band", F.col("v").alias("u")).join(hub, "band").filter("u <> w").select("u", "w").distinct()
+    hub = crowd.join(weight, "v").groupBy("band").agg(F.max(F.struct("weight", "v")).alias("best")).select("band", lead, F.col("best.v").alias("w"))
+    stars = crowd.select("band", lead, F.col("v").alias("u")).join(hub, ["band", "lead"]).filter("u <> w").select("u", "w").distinct()
     side = lambda c: classes.select(F.col("v").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
     stars = stars.join(side("u"), "u").join(side("w"), "w").mapInArrow(_likely(percent), "u long, w long")
     stars = scratch.put("stars", stars)
@@ -238,6 +241,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = SHINGLE) ->
     part = lambda c, x: sets.select(F.col("v").alias(c), F.col("members").alias(x))
     links = scratch.put("links", stars.join(part("u", "a"), "u").join(part("w", "b"), "w").mapInArrow(_confirm(percent), "u long, w long"))
     scratch.drop("met", "stars")
+    scratch.sweep()
 
     # Buckets that are still in several components, compared across them.
     member = connected_components(scratch, links, "first")
@@ -252,6 +256,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = SHINGLE) ->
     if not more.isEmpty():
         member = connected_components(scratch, links.union(more), "second")
     scratch.drop("crowd", "sets", "links", "more")
+    scratch.sweep()
 
     labels = classes.select("v", "label").join(member, "v", "left").withColumn("root", F.coalesce("root", "v"))
     least = labels.groupBy("root").agg(F.min("label").alias("component_id"))
