@@ -5,7 +5,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tidemark.llm import bpe, exact_dedup, line_dedup, minhash, mixing, quality_classifier, quality_rules, substring_dedup, suffix_dedup, suffix_sort
+from tidemark.llm import bpe, exact_dedup, line_dedup, minhash, mixing, quality_classifier, quality_rules, queries, substring_dedup, suffix_dedup, suffix_sort
 from tidemark.llm.kernels import Prefix, segments
 
 from . import brute
@@ -122,6 +122,16 @@ def test_line_dedup_second_round(spark):
     assert rows(out, "doc_id", "n_lines", "n_removed", "kept_text") == sorted(brute.lines(rows_, 60), key=repr)
 
 
+def test_line_dedup_query_takes_lines_of_any_length(spark, tmp_path):
+    """Copies of short lines and of lines without spaces, and four words of five."""
+    texts = ["All rights reserved.\nintro", "x\nAll rights reserved.", "日本語の長い一行です。\nintro", "日本語の長い一行です。\n\n \nx x", "p q r s\np q r", "p q r s t\nr q p\np q z", "p q r s"]
+    rows_ = [(k, t) for k, t in enumerate(texts)] + [(100 + r[0], r[1]) for r in ROWS if r[0] is not None]
+    spark.createDataFrame(rows_, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = [(d, n, gone, hashlib.sha256(kept.encode()).hexdigest()) for d, n, gone, kept in brute.lines(rows_, least=1)]
+    assert sum(w[2] for w in want if w[0] < 100) == 7
+    assert rows(queries.op7_line_dedup(spark, str(tmp_path)), "doc_id", "n_lines", "n_removed", "kept_sha256") == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize("percent", [80, 85])
 def test_near_duplicates(docs, nothing, percent):
     out = minhash.near_duplicates(docs, percent)

@@ -8,6 +8,8 @@ left is verified on full sets. A line that matches an earlier one is removed.
 Index entries travel as packed arrays, one row per stretch of text and bucket of words; equal sets collapse in the
 stretch and again in the bucket. A later line needs one earlier match, so an index list gives one candidate per line and
 not all its pairs. Lines whose candidates fail though their list had more get all the rest in a second round.
+
+Sets so small that they can be similar only to an equal set are not indexed: the grouping by set hash settles them.
 """
 
 from __future__ import annotations
@@ -98,6 +100,11 @@ def overlap_needed(n, m, percent: int):
     return -(-(percent * (n + m)) // (100 + percent))
 
 
+def least_indexed(percent: int, least: int) -> int:
+    """Least size of a set that can be similar to a different one: n of n + 1 words must be enough."""
+    return max(least, -(-percent // (100 - percent)) if percent < 100 else 2**31 - 1)
+
+
 def prefix_entries(lines: Lines, first: np.ndarray, docs: np.ndarray, counts: np.ndarray, percent: int) -> dict[str, np.ndarray]:
     """Index entries of the chosen lines, as arrays by name of ENTRY. docs: doc_id of each row of the stretch."""
     chosen = np.zeros(len(lines.size), bool)
@@ -251,7 +258,7 @@ def _verify(percent: int):
 def matched_sets(scratch: Scratch, rows: DataFrame, told: np.ndarray, firsts: DataFrame, percent: int, least: int) -> DataFrame:
     """x: the hash of every set that is similar to one that comes first earlier. told: word counts by slot. firsts: c,
     first (doc_id, line, th)."""
-    spark = rows.sparkSession
+    spark, least = rows.sparkSession, least_indexed(percent, least)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(told.sum(dtype=np.int64)) * 3 * ENTRY_BYTES // (10 * BUCKET_BYTES)))
     counts = spark.sparkContext.broadcast(told)
     # About three entries to ten words, so a bucket is about BUCKET_BYTES.

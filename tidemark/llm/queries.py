@@ -38,7 +38,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    kept = line_dedup.line_dedup(table(spark, sf_dir, "documents"), least=1)
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
