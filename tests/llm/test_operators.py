@@ -79,6 +79,28 @@ def test_suffix_dedup(docs, nothing):
     assert suffix_dedup.suffix_dedup(nothing).count() == 0
 
 
+def hot_rows(glue):
+    """One phrase in many different contexts, some of them copied in part."""
+    rng = np.random.default_rng(8)
+    some = lambda k: glue.join(f"{x:05x}" for x in rng.integers(0, 1 << 20, k))
+    phrase, tail = "the very long common phrase of them all", some(40)
+    texts = [glue.join((some(30), phrase, tail if k % 3 == 0 else some(40))) for k in range(60)]
+    texts += [texts[5], texts[7][40:], texts[5][:330]]
+    return [(k * 37 % 64, t) for k, t in enumerate(texts)]
+
+
+def test_suffix_dedup_of_an_anchor_too_large_for_a_shard(spark, docs, monkeypatch):
+    """Segments of an anchor beyond the bound of a shard never reach the sorting of one task."""
+    sizes, whole = [], suffix_dedup.dealt_windows
+    monkeypatch.setattr(suffix_dedup, "dealt_windows", lambda blocks, width: sizes.append(blocks.count()) or whole(blocks, width))
+    for rows_, df in ((hot_rows("-"), None), (ROWS, docs)):
+        df = df or spark.createDataFrame(rows_, "doc_id long, text string")
+        for most in (500, 10**8):
+            out = suffix_dedup.suffix_dedup(df, shard_bytes=most)
+            assert rows(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept") == sorted(brute.strings200(rows_), key=repr)
+    assert len(sizes) == 2 and min(sizes) > 1
+
+
 def test_suffix_order_and_its_queue_on_disk(monkeypatch):
     rng = np.random.default_rng(1)
     for k in range(120):

@@ -69,11 +69,28 @@ def repeated_segments(scratch: Scratch, rows: DataFrame, cut: Cut) -> DataFrame:
     return scratch.put("segments", rows.mapInArrow(let_out, SEGMENTS))
 
 
-def segment_keys(segments: DataFrame) -> DataFrame:
-    """Per distinct segment: occurrences, smallest doc_id, and whether its anchor has other segments too."""
-    keys = segments.groupBy("a", "s").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("owner"))
-    anchors = keys.groupBy("a").agg((F.count(F.lit(1)) > 1).alias("several"), F.sum("c").alias("total")).filter("total > 1").select("a", "several")
-    return keys.join(anchors, "a")
+def segment_keys(segments: DataFrame, most: int, extra: int = 0) -> DataFrame:
+    """Per distinct segment: occurrences, smallest doc_id, windows, whether its anchor has other segments too (several),
+    and whether those are too many for one task (hot): more than `most` windows, with `extra` more a segment."""
+    keys = segments.groupBy("a", "s").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("owner"), F.first("n").alias("n"))
+    several, hot = F.count(F.lit(1)) > 1, F.sum(F.col("n") + extra) > most
+    anchors = keys.groupBy("a").agg(several.alias("several"), (several & hot).alias("hot"), F.sum("c").alias("total")).filter("total > 1").select("a", "several", "hot")
+    return keys.join(anchors, "a")  # with n, so that both sides are one exchange
+
+
+def runs_of(windows: DataFrame) -> DataFrame:
+    """windows: a, s, off. a, s, off, n: runs of neighbours (a segment has as many windows as its width at most)."""
+
+    def run(batches):
+        for batch in batches:
+            out: list[tuple[int, int, int, int]] = []
+            for a, s, offs in zip(*(batch.column(c).to_pylist() for c in ("a", "s", "offs")), strict=True):
+                at = np.sort(np.array(offs, np.int64))
+                first = np.flatnonzero(np.diff(at, prepend=at[0] - 2) != 1)
+                out += [(a, s, int(at[k]), int(n)) for k, n in zip(first, np.diff(np.append(first, len(at))), strict=True)]
+            yield pa.RecordBatch.from_pydict({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate((("a", pa.int64()), ("s", pa.int64()), ("off", pa.int32()), ("n", pa.int32())))})
+
+    return windows.groupBy("a", "s").agg(F.collect_set("off").alias("offs")).mapInArrow(run, "a long, s long, off int, n int")
 
 
 def spans_by_document(spans: DataFrame) -> DataFrame:

@@ -65,7 +65,7 @@ def factor_blocks(batches):
 
 def duplicate_spans(scratch: Scratch, rows: DataFrame, window: int, gram: int) -> DataFrame:
     found = repeated_segments(scratch, rows.filter("doc_id IS NOT NULL"), word_cutter(window, gram))
-    keys = scratch.put("keys", segment_keys(found))
+    keys = scratch.put("keys", segment_keys(found, 2**62))
     several = keys.filter("several").select("a", "s", "owner")
     blocks = found.filter("payload IS NOT NULL").select("a", "s", "payload").join(several, ["a", "s"]).groupBy("a", "s", "owner").agg(F.first("payload").alias("payload"))
     factors = blocks.repartition("a").sortWithinPartitions("a", "owner", "s").mapInArrow(factor_blocks, "a long, s long, off int, n int")

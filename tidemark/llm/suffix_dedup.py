@@ -3,6 +3,9 @@
 Repeated strings meet through content-anchored segments. A segment that occurs again as a whole needs no sorting. The
 distinct segments of anchors that have several are laid out in shards (a shard holds whole anchors), each shard's
 suffixes are sorted by induction, and neighbours with a common prefix of the full width are repeated strings.
+
+An anchor with more segments than a shard holds is not sorted: its windows are dealt out by 128-bit hashes of their own,
+and those that meet again are repeated strings.
 """
 
 from __future__ import annotations
@@ -12,13 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchored import numbered, repeated_segments, segment_keys, spans_by_document, unpack
+from .anchored import numbered, repeated_segments, runs_of, segment_keys, spans_by_document, unpack
 from .common import Scratch, strings
-from .kernels import BYTE_CODE, Prefix, covered, segments
+from .kernels import BYTE_CODE, Prefix, covered, mix, segments
 from .suffix_sort import repeated_starts
 
 WIDTH, GRAM = 200, 32
-#: Bytes of segments sorted at once; a shard is larger only where one anchor has more.
+#: Bytes of segments at which a shard ends; an anchor that has more is not sorted, so a shard is twice this at most.
 SHARD_BYTES = 4 << 20
 
 
@@ -65,14 +68,42 @@ def sort_shards(width: int, shard_bytes: int):
     return run
 
 
+#: Of one byte, for the second half of a window's hash.
+OTHER_CODE = mix(BYTE_CODE)
+
+
+def dealt_windows(blocks: DataFrame, width: int) -> DataFrame:
+    """a, s, off, n: runs of starts of strings that occur again in the segments of one anchor, by hashes of each string."""
+
+    def each(batches):
+        for batch in batches:
+            raw = batch.column("payload").to_pylist()
+            size = np.array([len(x) for x in raw], np.int64) - (width - 1)
+            data = np.frombuffer(b"".join(raw), np.uint8)
+            base = np.cumsum(size + width - 1) - (size + width - 1)
+            take, off = np.repeat(np.arange(len(size)), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            at = base[take] + off
+            h, g = (pa.array(mix(Prefix(code[data]).stretch(at, at + width)).view(np.int64)) for code in (BYTE_CODE, OTHER_CODE))
+            take = pa.array(take)
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(take), batch.column("s").take(take), pa.array(off.astype(np.int32)), h, g], ["a", "s", "off", "h", "g"])
+
+    windows = blocks.select("a", "s", "payload").mapInArrow(each, "a long, s long, off int, h long, g long")
+    again = windows.groupBy("a", "h", "g").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("a", "h", "g")
+    # A join of its own, so that partitions with a hot window can be split.
+    return runs_of(windows.join(again.hint("merge"), ["a", "h", "g"]).select("a", "s", "off"))
+
+
 def repeated_spans(scratch: Scratch, rows: DataFrame, width: int, gram: int, shard_bytes: int) -> DataFrame:
     found = repeated_segments(scratch, rows, byte_cutter(width, gram))
-    keys = scratch.put("keys", segment_keys(found).drop("owner"))
-    several = keys.filter("several").select("a", "s")
-    blocks = found.filter("payload IS NOT NULL").select("a", "s", "payload").join(several, ["a", "s"]).groupBy("a", "s").agg(F.first("payload").alias("payload"))
-    runs = blocks.repartition("a").sortWithinPartitions("a").mapInArrow(sort_shards(width, shard_bytes), "a long, s long, off int, n int")
+    keys = scratch.put("keys", segment_keys(found, shard_bytes, width - 1).drop("owner"))
+    several = keys.filter("several").select("a", "s", "hot")
+    blocks = found.filter("payload IS NOT NULL").select("a", "s", "payload").join(several, ["a", "s"]).groupBy("a", "s", "hot").agg(F.first("payload").alias("payload"))
+    runs = blocks.filter("not hot").drop("hot").repartition("a").sortWithinPartitions("a").mapInArrow(sort_shards(width, shard_bytes), "a long, s long, off int, n int")
+    if not keys.filter("hot").isEmpty():
+        runs = runs.unionByName(dealt_windows(scratch.put("hot", blocks.filter("hot")), width))
     once = keys.filter("c = 1 AND several").select("a", "s")
     runs = scratch.put("runs", runs.join(once, ["a", "s"]))
+    scratch.drop(*{"hot"} & set(scratch.paths))
     # Each is one join of two tables that are dealt for it, so that partitions with a hot segment can be split.
     places = found.drop("payload")
     whole = places.join(keys.filter("c > 1").select("a", "s"), ["a", "s"])
