@@ -89,6 +89,18 @@ def hot_rows(glue):
     return [(k * 37 % 64, t) for k, t in enumerate(texts)]
 
 
+def test_substring_dedup_of_an_anchor_too_large_for_a_task(spark, docs, monkeypatch):
+    """Windows of an anchor beyond the bound never reach the index of one task."""
+    sizes, whole = [], substring_dedup.dealt_windows
+    monkeypatch.setattr(substring_dedup, "dealt_windows", lambda blocks: sizes.append(blocks.count()) or whole(blocks))
+    for rows_, df in ((hot_rows(" "), None), (ROWS, docs)):
+        df = df or spark.createDataFrame(rows_, "doc_id long, text string")
+        for most in (20, 10**6):
+            out = substring_dedup.substring_dedup(df, anchor_windows=most)
+            assert rows(out, "doc_id", "n_words", "n_removed", "kept_text") == sorted(brute.windows13(rows_), key=repr)
+    assert len(sizes) == 2 and min(sizes) > 1
+
+
 def test_suffix_dedup_of_an_anchor_too_large_for_a_shard(spark, docs, monkeypatch):
     """Segments of an anchor beyond the bound of a shard never reach the sorting of one task."""
     sizes, whole = [], suffix_dedup.dealt_windows

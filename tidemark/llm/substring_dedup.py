@@ -4,6 +4,9 @@ Reference blocks are the distinct content-anchored segments of the corpus, owned
 anchor has several blocks, each block is factored greedily, in order of owner, against the index of every earlier
 block with that anchor; factors of at least one whole window are duplicates, and the window at each factor boundary
 is looked up again. A block that occurs again in a later document is one factor as a whole.
+
+The index of one anchor holds a bounded number of windows. Where an anchor has more, its windows are dealt out anew by
+their own hashes, and each is held against its least owner.
 """
 
 from __future__ import annotations
@@ -13,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchored import numbered, repeated_segments, segment_keys, spans_by_document, unpack
+from .anchored import numbered, repeated_segments, runs_of, segment_keys, spans_by_document, unpack
 from .common import Scratch, strings
 from .kernels import Prefix, covered, mix, segments, word_codes, words
 
 WINDOW, GRAM = 13, 4
+#: Windows of an anchor that one task indexes, at some 250 bytes each.
+ANCHOR_WINDOWS = 1 << 17
 
 
 def word_cutter(window: int = WINDOW, gram: int = GRAM):
@@ -63,13 +68,32 @@ def factor_blocks(batches):
         yield pa.RecordBatch.from_pydict({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate((("a", pa.int64()), ("s", pa.int64()), ("off", pa.int32()), ("n", pa.int32())))})
 
 
-def duplicate_spans(scratch: Scratch, rows: DataFrame, window: int, gram: int) -> DataFrame:
+def dealt_windows(blocks: DataFrame) -> DataFrame:
+    """As factor_blocks, with no order and no index: each window by its own hash, against its least owner."""
+
+    def each(batches):
+        for batch in batches:
+            owns = [np.frombuffer(x, np.int64) for x in batch.column("payload").to_pylist()]
+            size = np.array([len(x) for x in owns], np.int64)
+            take, off = pa.array(np.repeat(np.arange(len(size)), size)), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("a", "s", "owner")), pa.array(off.astype(np.int32)), pa.array(np.concatenate(owns) if owns else off)], ["a", "s", "owner", "off", "w"])
+
+    windows = blocks.select("a", "s", "owner", "payload").mapInArrow(each, "a long, s long, owner long, off int, w long")
+    least = windows.groupBy("a", "w").agg(F.min("owner").alias("least"), F.max("owner").alias("last")).filter("least < last").select("a", "w", "least")
+    # A join of its own, so that partitions with a hot window can be split.
+    return runs_of(windows.join(least.hint("merge"), ["a", "w"]).filter("owner > least").select("a", "s", "off"))
+
+
+def duplicate_spans(scratch: Scratch, rows: DataFrame, window: int, gram: int, anchor_windows: int) -> DataFrame:
     found = repeated_segments(scratch, rows.filter("doc_id IS NOT NULL"), word_cutter(window, gram))
-    keys = scratch.put("keys", segment_keys(found, 2**62))
-    several = keys.filter("several").select("a", "s", "owner")
-    blocks = found.filter("payload IS NOT NULL").select("a", "s", "payload").join(several, ["a", "s"]).groupBy("a", "s", "owner").agg(F.first("payload").alias("payload"))
-    factors = blocks.repartition("a").sortWithinPartitions("a", "owner", "s").mapInArrow(factor_blocks, "a long, s long, off int, n int")
-    factors = scratch.put("factors", factors.join(several, ["a", "s"]))
+    keys = scratch.put("keys", segment_keys(found, anchor_windows))
+    several = keys.filter("several").select("a", "s", "owner", "hot")
+    blocks = found.filter("payload IS NOT NULL").select("a", "s", "payload").join(several, ["a", "s"]).groupBy("a", "s", "owner", "hot").agg(F.first("payload").alias("payload"))
+    factors = blocks.filter("not hot").drop("hot").repartition("a").sortWithinPartitions("a", "owner", "s").mapInArrow(factor_blocks, "a long, s long, off int, n int")
+    if not keys.filter("hot").isEmpty():
+        factors = factors.unionByName(dealt_windows(scratch.put("hot", blocks.filter("hot"))))
+    factors = scratch.put("factors", factors.join(several.drop("hot"), ["a", "s"]))
+    scratch.drop(*{"hot"} & set(scratch.paths))
     # Each is one join of two tables that are dealt for it, so that partitions with a hot segment can be split.
     places = found.drop("payload")
     later = places.join(keys.select("a", "s", "owner"), ["a", "s"]).filter("doc_id > owner")
@@ -82,7 +106,7 @@ def duplicate_spans(scratch: Scratch, rows: DataFrame, window: int, gram: int) -
     return spans
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, anchor_windows: int = ANCHOR_WINDOWS) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_text (kept words joined by one space).
 
     Removes every word of a window of `window` words whose sequence also starts in a document of smaller doc_id.
@@ -91,7 +115,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     columns are not read.
     """
     rows = numbered(docs)
-    spans = duplicate_spans(Scratch(docs.sparkSession, "substring_dedup"), rows, window, gram)
+    spans = duplicate_spans(Scratch(docs.sparkSession, "substring_dedup"), rows, window, gram, anchor_windows)
 
     def keep(batches):
         for batch in batches:
