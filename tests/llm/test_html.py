@@ -23,6 +23,19 @@ def test_article_in_its_shell(shell, wrap):
     assert main_text(wrap.format(SHELLS[shell] % ARTICLE)) == TEXT
 
 
+@pytest.mark.parametrize(("wrap", "plain"), [("<div class='layout has-sidebar'>{}</div>", "{}"), ("<form action='x'>{}</form>", "{}"), ("<main><form>{}</form></main>", "<main>{}</main>"), ("<form><div class='with-sidebar'><div id='page-menu'>{}</div></div></form>", "{}")])
+@pytest.mark.parametrize("inner", ["<article>{}</article>", "<div>{}</div>"])
+def test_article_in_a_wrapper_that_holds_the_page(wrap, plain, inner):
+    """As if the wrapper were not there."""
+    page = lambda w: f"<nav>{MENU}</nav>" + w.format(inner.format(ARTICLE) + f"<div class='sidebar'>{MENU}</div>") + "<footer><p>End</p></footer>"
+    assert T2 in main_text(page(wrap)) and main_text(page(wrap)) == main_text(page(plain))
+
+
+def test_comments_longer_than_the_article_stay_outside():
+    comments = "<div class='comments'>" + f"<article><p>{P1}</p></article>" * 9 + "</div>"
+    assert main_text(f"<article>{ARTICLE}</article>{comments}") == main_text(f"<article>{ARTICLE}{comments}</article>") == TEXT
+
+
 def test_page_without_article_element():
     page = f"<div>{MENU}</div><div><h1>A title of it</h1><p>{P1}</p><p>{P2}</p><p>{P1}</p></div><div><a href=x>Next page</a></div><div>{MENU}</div>"
     assert main_text(page) == f"A title of it\n{T1}\n{T2}\n{T1}"

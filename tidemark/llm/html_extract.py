@@ -41,7 +41,7 @@ class Block:
     text: str
     words: int
     linked: int
-    place: int  # -1: outside the article by its element, 0: unknown, 1: in an article element
+    place: int  # -1: outside the article by its element, 0: unknown, 1: in an article element; until places() its element
     heading: int
 
 
@@ -90,38 +90,75 @@ def pieces(html: str):
             yield "open", name, attributes
 
 
-def place_of(name: str, attributes: str, inside: int) -> int:
-    """Place of an element's own blocks, given that of the element that holds it."""
-    if inside < 0 or name in OUTSIDE or name == "header" and inside < 1:
-        return -1
+#: Kinds of elements: never in the article, not unless in one, one itself, any other.
+HARD, HEADER, ARTICLE, PLAIN = range(4)
+
+
+def kind_of(name: str, attributes: str) -> tuple[int, int]:
+    """Kind of an element, and whether it is not the article unless it holds most of the page: 1 by its class or id, 2
+    as a form."""
+    kind = HARD if name in OUTSIDE and name != "form" else HEADER if name == "header" else ARTICLE if name in ("article", "main") else PLAIN
+    soft = 2 if name == "form" else 0
     if attributes:
         hints: set[str] = set()
         for key, value in NAMED.findall(attributes):
             key, value = key.lower(), value.strip("\"'")
             if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and HIDDEN.search(value):
-                return -1
-            if key == "role" and value.lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "form", "alert"):
-                return -1
+                return HARD, 0
+            if key == "role" and value.lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert"):
+                return HARD, 0
+            if key == "role" and value.lower() == "form":
+                soft = 2
             if key in ("class", "id"):
                 hints |= {w.lower() for w in WORDS.findall(value)}
-        if hints & HINTS and not (name in ("body", "html", "article", "main") or hints & HINTS <= {"tags", "legal"} and hints & GOOD):
-            return -1
-    return 1 if inside == 1 or name in ("article", "main") else 0
+        if not soft and hints & HINTS and not (name in ("body", "html", "article", "main") or hints & HINTS <= {"tags", "legal"} and hints & GOOD):
+            soft = 1
+    return kind, soft
+
+
+def places(elements: list[tuple[int, int, int]], blocks: list[Block]) -> None:
+    """Turns the place of blocks from a row of elements into what it is. elements: parent (further up), kind, soft.
+
+    A form with most of the page's words is as any element; so is one of hinting class or id, if no block is in an
+    article without it."""
+    words = [0] * len(elements)
+    for b in blocks:
+        words[b.place] += b.words
+    total = sum(words)
+    for e in range(len(elements) - 1, 0, -1):
+        words[elements[e][0]] += words[e]
+
+    def told(most: int) -> list[int]:
+        place = [0] * len(elements)
+        for e in range(1, len(elements)):
+            parent, kind, soft = elements[e]
+            inside = place[parent]
+            out = inside < 0 or kind == HARD or kind == HEADER and inside < 1 or soft and not (soft >= most and 2 * words[e] > total)
+            place[e] = -1 if out else 1 if inside == 1 or kind == ARTICLE else 0
+        return place
+
+    place = told(2)
+    if all(place[b.place] < 1 for b in blocks):
+        place = told(1)
+    for b in blocks:
+        b.place = place[b.place]
 
 
 class Open:
-    """The elements that are open, innermost last, and how many there are of each name."""
+    """The elements that are open, innermost last, how many there are of each name, and all that ever were."""
 
     def __init__(self) -> None:
         self.stack: list[tuple[str, int]] = []
         self.count: dict[str, int] = {}
+        self.elements: list[tuple[int, int, int]] = [(0, PLAIN, 0)]
 
     @property
-    def place(self) -> int:
+    def element(self) -> int:
         return self.stack[-1][1] if self.stack else 0
 
-    def push(self, name: str, place: int) -> None:
-        self.stack.append((name, place))
+    def push(self, name: str, kind: int = PLAIN, soft: int = 0) -> None:
+        self.elements.append((self.element, kind, soft))
+        self.stack.append((name, len(self.elements) - 1))
         self.count[name] = self.count.get(name, 0) + 1
 
     def has(self, name: str) -> bool:
@@ -148,7 +185,7 @@ def blocks_of(html: str) -> list[Block]:
         text = " ".join(unescape("".join(held)).split())
         if text:
             n = text.count(" ") + 1
-            out.append(Block(text, n, min(n, len(unescape(" ".join(linked)).split())), opened.place, heading))
+            out.append(Block(text, n, min(n, len(unescape(" ".join(linked)).split())), opened.element, heading))
         held.clear()
         linked.clear()
 
@@ -167,15 +204,15 @@ def blocks_of(html: str) -> list[Block]:
                 if opened.stack and opened.stack[-1][0] == "p":
                     opened.pop()
                 if name != "hr":
-                    opened.push(name, place_of(name, attributes, opened.place))
+                    opened.push(name, *kind_of(name, attributes))
                 heading, links = int(name in HEADINGS), 0
             elif name == "a":
                 links = 1
-            elif attributes and place_of(name, attributes, 0) < 0:  # an inline element that is not the article
+            elif attributes and (kind := kind_of(name, attributes)) != (PLAIN, 0):  # an inline element that is not the article
                 flush()
-                opened.push(name, -1)
+                opened.push(name, *kind)
             elif opened.has(name):
-                opened.push(name, opened.place)
+                opened.push(name)
         elif name == "a":
             links = 0
         elif name in BLOCKS or opened.has(name):
@@ -183,6 +220,7 @@ def blocks_of(html: str) -> list[Block]:
             heading = 0
             opened.close(name)
     flush()
+    places(opened.elements, out)
     return out
 
 
