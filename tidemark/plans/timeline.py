@@ -579,8 +579,14 @@ def utterance_rows(spark, sf):
 # --- folds: no SQL, tests hold them against plain versions -----------------------------------------------------------
 
 
+def _block_shows(spark, sf):
+    """Every event that shows something as an interval that shows a document, dealt over all documents."""
+    last = src.table(spark, sf, "documents").agg(F.max("doc_id")).first()[0] or 0
+    return src.occurrences(spark, sf).withColumn("content_id", F.when(F.col("content_id").isNotNull(), F.col("occ_id") % (last + 1)))
+
+
 def _block_members(spark, sf):
-    occ = src.occurrences(spark, sf).withColumn("content_id", F.when(F.col("content_id").isNotNull(), F.col("occ_id") % 1000))
+    occ = _block_shows(spark, sf)
     body = src.table(spark, sf, "documents").select(F.col("doc_id").alias("content_id"), F.lit("slide").alias("screen_kind"), F.col("source").alias("heading"), F.col("source").alias("title"), F.col("text").alias("body_text"))
     return blocks.block_members(occ, body, blocks.BlockRule(max_gap_us=HOUR, max_duration_us=2 * DAY, similarity=0.05))
 
