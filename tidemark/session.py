@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 _shipped: dict[str, tempfile.TemporaryDirectory] = {}
 #: Rows of an Arrow batch where the session leaves Spark's default: rows may hold texts of many kilobytes.
 ARROW, ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20)
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -18,6 +19,7 @@ def ship(spark: SparkSession) -> SparkSession:
     sees to it that Arrow batches of long texts stay small."""
     if spark.conf.get(ARROW) == "10000":
         spark.conf.set(ARROW, ARROW_ROWS)
+        spark.conf.set(*ARROW_BYTES)
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         _shipped[app] = folder = tempfile.TemporaryDirectory(prefix="tidemark-code-")
