@@ -6,7 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tidemark.llm import bpe, exact_dedup, line_dedup, minhash, mixing, quality_classifier, quality_rules, queries, substring_dedup, suffix_dedup, suffix_sort
-from tidemark.llm.kernels import Prefix, segments
+from tidemark.llm.kernels import Prefix, segments, stretch_codes
 
 from . import brute
 
@@ -74,7 +74,7 @@ def test_substring_dedup(docs, nothing):
 
 
 def test_suffix_dedup(docs, nothing):
-    out = suffix_dedup.suffix_dedup(docs, shard_bytes=3000)
+    out = suffix_dedup.suffix_dedup(docs, shard_bytes=3000, store_bytes=1000)
     assert rows(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept") == sorted(brute.strings200(ROWS), key=repr)
     assert suffix_dedup.suffix_dedup(nothing).count() == 0
 
@@ -108,25 +108,50 @@ def test_suffix_dedup_of_an_anchor_too_large_for_a_shard(spark, docs, monkeypatc
     for rows_, df in ((hot_rows("-"), None), (ROWS, docs)):
         df = df or spark.createDataFrame(rows_, "doc_id long, text string")
         for most in (500, 10**8):
-            out = suffix_dedup.suffix_dedup(df, shard_bytes=most)
+            out = suffix_dedup.suffix_dedup(df, anchor_bytes=most)
             assert rows(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept") == sorted(brute.strings200(rows_), key=repr)
     assert len(sizes) == 2 and min(sizes) > 1
 
 
-def test_suffix_order_and_its_queue_on_disk(monkeypatch):
+def common(a, b):
+    return next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+@pytest.mark.parametrize("scan", [suffix_sort.SCAN, 3])
+def test_suffix_order_and_common_prefixes(monkeypatch, scan):
+    monkeypatch.setattr(suffix_sort, "SCAN", scan)
     rng = np.random.default_rng(1)
-    for k in range(120):
-        text = rng.integers(0, rng.integers(1, 5), rng.integers(1, 90)).astype(np.uint16)
-        monkeypatch.setattr(suffix_sort.BucketQueue.__init__, "__defaults__", (16 if k % 2 else 1 << 20,))
-        got = suffix_sort.suffix_order(text, 6, 10**6).tolist()
-        assert got == sorted(range(len(text)), key=lambda i: text[i:].tolist())
+    for k in range(40):
+        text = rng.integers(0, rng.integers(1, 5), rng.integers(1, 60)).astype(np.uint16)
+        text = np.tile(text[:20], 4) if k % 3 == 0 else text
+        cap, got, shared, t = (5, 200)[k % 2], [], [], text.tolist()
+        suffix_sort.suffixes(text, 6, cap, suffix_sort.Store(0 if k % 5 else 1 << 20), lambda p, c: (got.extend(p.tolist()), shared.extend(c.tolist())))  # noqa: B023
+        heads = [t[i : i + cap] for i in got]
+        assert sorted(got) == list(range(len(t))) and heads == sorted(heads, reverse=True)
+        assert shared[1:] == [common(a, b) for a, b in zip(heads, heads[1:], strict=False)]
+
+
+def test_suffix_sort_of_a_shard_far_larger_than_its_memory():
+    """The store has a twentieth of the shard; nearly all of the tuples, text and tables go through files."""
+    rng = np.random.default_rng(4)
+    letters = rng.integers(97, 101, 20_000).astype(np.uint8).tobytes()
+    blocks = [letters[a : a + 300] for a in range(0, 19_000, 290)] + [letters[a : a + 260] for a in range(37, 19_000, 1900)]
+    size = sum(map(len, blocks))
+    store = suffix_sort.Store(size // 20)
+    block, off = suffix_sort.repeated_starts(blocks, 200, store)
+    assert store.spilled > 20 * size and store.held <= size // 20
+    seen = {}
+    for k, b in enumerate(blocks):
+        for i in range(len(b) - 199):
+            seen.setdefault(b[i : i + 200], []).append((k, i))
+    assert list(zip(block.tolist(), off.tolist(), strict=True)) == sorted(x for xs in seen.values() if len(xs) > 1 for x in xs)
 
 
 def test_equal_windows_lie_in_segments_of_equal_anchor():
     rng = np.random.default_rng(2)
     code = rng.integers(0, 3, 4000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     doc = np.repeat(np.arange(40), 100)
-    first, last, _, anchor, _ = segments(Prefix(code), doc, 9, 3)
+    first, last, anchor, _ = segments(Prefix(code), doc, 9, 3)
     of = {i: anchor[k] for k in range(len(first)) for i in range(first[k], last[k] + 1)}
     seen = {}
     for i in range(len(code) - 8):
@@ -135,6 +160,36 @@ def test_equal_windows_lie_in_segments_of_equal_anchor():
     assert len(of) == 40 * 92
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(k).count("1") & 1] for k in range(n))
+
+
+def test_texts_that_collide_under_polynomial_hashes(spark):
+    """Words and lines of Thue-Morse sequences and of their complements: equal under any polynomial modulo 2**64."""
+    one = thue_morse(4096)
+    other = one.translate(str.maketrans("ab", "ba"))
+    tail = " ".join(f"w{k}" for k in range(30))
+    rows_ = [(1, f"{one} {tail[:60]}"), (2, f"{other} {tail[:60]}"), (3, f"{one}\n{other}\n{tail}"), (4, " ".join([one, other] * 9)), (5, " ".join([other, one] * 9))]
+    df = spark.createDataFrame(rows_, "doc_id long, text string")
+    assert rows(quality_rules.quality_rules(df), "doc_id", *quality_rules.MEASURES, "base_failed", "kept") == sorted((d, *brute.rules(t)) for d, t in rows_)
+    assert rows(substring_dedup.substring_dedup(df), "doc_id", "n_words", "n_removed", "kept_text") == sorted(brute.windows13(rows_))
+    assert rows(minhash.near_duplicates(df), "doc_id", "n_shingles", "component_id", "kept") == sorted(brute.near(rows_))
+    assert rows(line_dedup.line_dedup(df, least=1), "doc_id", "n_lines", "n_removed", "kept_text") == sorted(brute.lines(rows_, least=1))
+    assert rows(suffix_dedup.suffix_dedup(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept") == sorted(brute.strings200(rows_))
+
+
+def test_stretches_have_codes_of_their_own():
+    rng = np.random.default_rng(6)
+    data = np.frombuffer(rng.integers(0, 3, 5000).astype(np.uint8).tobytes(), np.uint8)
+    start = np.sort(rng.choice(5000, 900, replace=False))
+    end = np.append(start[1:], 5000)
+    code = stretch_codes(data, start, end).tolist()
+    told = {}
+    for c, a, b in zip(code, start.tolist(), end.tolist(), strict=True):
+        assert told.setdefault(data[a:b].tobytes(), c) == c
+    assert len(set(told.values())) == len(told)
+
+
 def test_line_dedup(docs, nothing):
     out = line_dedup.line_dedup(docs)
     assert rows(out, "doc_id", "n_lines", "n_removed", "kept_text") == sorted(brute.lines(ROWS), key=repr)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import Bloom, Scratch
 from .kernels import chunks
 
-#: cut(data, at) -> row, start, windows, anchor, code of each segment and payload(mask) -> list of bytes.
+#: cut(data, at) -> row, start, windows, anchor of each segment and told(which) -> codes, payload(which) -> list of bytes.
 Cut = Callable[[np.ndarray, np.ndarray], tuple]
 
 SEGMENTS = "doc_id long, th long, a long, s long, start int, n int, payload binary"
@@ -57,14 +57,15 @@ def repeated_segments(scratch: Scratch, rows: DataFrame, cut: Cut) -> DataFrame:
         for batch in batches:
             ids, hashes = batch.column("doc_id"), batch.column("th")
             for first, _, data, at in chunks(batch.column("text")):
-                row, start, n, anchor, code, payload = cut(data, at)
+                row, start, n, anchor, told_of = cut(data, at)
                 keep = np.flatnonzero(bloom.value.might_hold(anchor))
                 take = pa.array(row[keep] + first)
-                told = np.unique(code[keep], return_index=True)[1]  # the first of each segment here has its payload
+                code, payload = told_of(keep)
+                told = np.unique(code, return_index=True)[1]  # the first of each segment here has its payload
                 held: list = [None] * len(keep)
                 for k, x in zip(told.tolist(), payload(keep[told]), strict=True):
                     held[k] = x
-                yield pa.RecordBatch.from_arrays([ids.take(take), hashes.take(take), _signed(anchor[keep]), _signed(code[keep]), pa.array(start[keep], pa.int32()), pa.array(n[keep], pa.int32()), pa.array(held, pa.binary())], ["doc_id", "th", "a", "s", "start", "n", "payload"])
+                yield pa.RecordBatch.from_arrays([ids.take(take), hashes.take(take), _signed(anchor[keep]), _signed(code), pa.array(start[keep], pa.int32()), pa.array(n[keep], pa.int32()), pa.array(held, pa.binary())], ["doc_id", "th", "a", "s", "start", "n", "payload"])
 
     return scratch.put("segments", rows.mapInArrow(let_out, SEGMENTS))
 

@@ -20,7 +20,7 @@ from .anchored import numbered
 from .common import Bloom, Scratch
 from .components import connected_components
 from .exact_dedup import keep_marked
-from .kernels import Prefix, chunks, mix, word_codes, words
+from .kernels import chunks, mix, run_codes, window_codes, word_codes, words
 
 SHINGLE, BANDS, ROWS, BITS = 5, 30, 5, 2
 #: How far below the threshold an estimate may lie before a pair is discarded: five standard deviations.
@@ -39,13 +39,12 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarr
     """Distinct shingle hashes, sorted within each document, and the bounds of each document's own."""
     data = _lower[data]
     begin, end, doc = words(data, at)
-    codes = word_codes(data, begin, end)
-    prefix, n = Prefix(codes), len(at) - 1
-    sliding = prefix.sliding(width)
+    codes, n = word_codes(data, begin, end), len(at) - 1
+    sliding = window_codes(codes, width)
     whole = np.flatnonzero(doc[: len(sliding)] == doc[width - 1 :]) if len(sliding) else np.zeros(0, np.int64)
     first = np.searchsorted(doc, np.arange(n + 1))
     short = np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < width))
-    key = np.concatenate((mix(sliding[whole]), mix(prefix.stretch(first[short], first[short + 1]) + np.diff(first)[short].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))))
+    key = np.concatenate((sliding[whole], run_codes(codes, first[short], first[short + 1] - 1)))
     own = np.concatenate((doc[whole], short))
     order = np.lexsort((key, own))
     key, own = key[order], own[order]

@@ -136,14 +136,17 @@ def _slots(plan: Plan):
     return run
 
 
-def mixed(docs: DataFrame, scratch: Scratch, seed: int = 1, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """doc_id, th, source, s, size, source_size, target, first (word of its source), of every row, and the blocks drawn
-    as a second table: s, block, times."""
-    spark = docs.sparkSession
+def sizes_of(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Written table of doc_id, source, th (a hash of the text) and size of every row."""
     text = F.coalesce(docs["text"], F.lit(""))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), F.xxhash64(text).alias("th"), text.alias("text"))
-    sized = scratch.put("sized", rows.mapInArrow(_sizes, "doc_id long, source string, th long, size long"))
+    return scratch.put("sized", rows.mapInArrow(_sizes, "doc_id long, source string, th long, size long"))
 
+
+def mixed(sized: DataFrame, scratch: Scratch, seed: int = 1, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """doc_id, th, source, s, size, source_size, target, first (word of its source), of every row that sizes_of gives, and
+    the blocks drawn as a second table: s, block, times."""
+    spark = sized.sparkSession
     order = [F.col("source").asc_nulls_last(), "doc_id", "th"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = scratch.put("dealt", sized.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
@@ -190,7 +193,7 @@ def mix_report(docs: DataFrame, seed: int = 1, block: int = BLOCK) -> DataFrame:
     text. The same input and seed give the same draws. An empty table gives no rows; extra columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    placed, drawn = mixed(docs, scratch, seed, block)
+    placed, drawn = mixed(sizes_of(docs, scratch), scratch, seed, block)
     pieces = taken_pieces(placed, drawn, block)
     taken = pieces.groupBy("s", "first").agg(F.sum(F.col("n") * F.col("times")).alias("taken"))
     out = placed.join(taken, ["s", "first"], "left")
@@ -200,16 +203,25 @@ def mix_report(docs: DataFrame, seed: int = 1, block: int = BLOCK) -> DataFrame:
 def mix_documents(docs: DataFrame, seed: int = 1, block: int = BLOCK) -> DataFrame:
     """The mix as rows with the columns of docs: copy k of a document (0, 1, 2) has its words whose block is drawn more
     than k times, with n_chars (where docs has it) set anew. A document whose words are all drawn stays as it is; a
-    copy without words gives no row. Rows equal in source, doc_id and text count as one.
+    copy without words gives no row. Rows equal in source, doc_id and text count as one, whatever else they hold; null
+    doc_ids and sources are values like any other, null or empty texts give no row, and an empty table gives none. Extra
+    columns go along as they are; those that begin with __ must not be there. Texts are dealt once, to their pieces;
+    what repeats is found on keys and hashes alone.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    text = F.coalesce(docs["text"], F.lit(""))
-    keyed = docs.withColumn("__th", F.xxhash64(text)).dropDuplicates(["doc_id", "source", "__th"])
-    placed, drawn = mixed(keyed, scratch, seed, block)
+    key = ["doc_id", "source", "th"]
+    once = scratch.put("once", sizes_of(docs, scratch).groupBy(*key).agg(F.first("size").alias("size"), F.count(F.lit(1)).alias("copies")))
+    repeated = once.filter("copies > 1").select(*(F.col(c).alias(f"__{c}") for c in key))
+    keyed = docs.withColumn("__h", F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
+    if not repeated.isEmpty():
+        same = keyed["doc_id"].eqNullSafe(repeated["__doc_id"]) & keyed["source"].eqNullSafe(repeated["__source"]) & (keyed["__h"] == repeated["__th"])
+        single = keyed.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "source", "__h"])
+        keyed = keyed.join(repeated, same, "left_anti").unionByName(single)
+    placed, drawn = mixed(once.drop("copies"), scratch, seed, block)
     piece = F.struct("at", "n", "times")
     pieces = taken_pieces(placed, drawn, block).groupBy("doc_id", "th", "source").agg(F.sort_array(F.collect_list(piece)).alias("__pieces"))
     pieces = scratch.put("pieces", pieces)
-    met = keyed.join(pieces, keyed["doc_id"].eqNullSafe(pieces["doc_id"]) & keyed["source"].eqNullSafe(pieces["source"]) & (keyed["__th"] == pieces["th"]))
+    met = keyed.join(pieces, keyed["doc_id"].eqNullSafe(pieces["doc_id"]) & keyed["source"].eqNullSafe(pieces["source"]) & (keyed["__h"] == pieces["th"]))
     met = met.select(*(keyed[c] for c in docs.columns), "__pieces")
     names, schema = docs.columns, docs.schema
 

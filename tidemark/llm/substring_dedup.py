@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .anchored import numbered, repeated_segments, runs_of, segment_keys, spans_by_document, unpack
 from .common import Scratch, strings
-from .kernels import Prefix, covered, mix, segments, word_codes, words
+from .kernels import Prefix, covered, run_codes, segments, window_codes, word_codes, words
 
 WINDOW, GRAM = 13, 4
 #: Windows of an anchor that one task indexes, at some 250 bytes each.
@@ -28,17 +28,21 @@ ANCHOR_WINDOWS = 1 << 17
 def word_cutter(window: int = WINDOW, gram: int = GRAM):
     def cut(data: np.ndarray, at: np.ndarray):
         begin, end, doc = words(data, at)
-        unit = Prefix(word_codes(data, begin, end))
+        codes = word_codes(data, begin, end)
         letters = np.concatenate(([0], np.cumsum(end - begin)))
         size = letters[gram:] - letters[:-gram] if len(begin) >= gram else np.zeros(0, np.int64)
-        first, last, _, anchor, code = segments(unit, doc, window, gram, 63 - np.minimum(63, size))  # long grams are rare ones
+        first, last, anchor, _ = segments(Prefix(codes), doc, window, gram, 63 - np.minimum(63, size))  # long grams are rare ones
         origin = np.searchsorted(doc, doc[first]) if len(first) else first
-        whole = mix(unit.sliding(window))
 
-        def payload(keep: np.ndarray) -> list[bytes]:
-            return [whole[a : b + 1].tobytes() for a, b in zip(first[keep].tolist(), last[keep].tolist(), strict=True)]
+        def told(keep: np.ndarray):
+            whole = window_codes(codes, window)
 
-        return doc[first] if len(first) else first, first - origin, last - first + 1, anchor, code, payload
+            def payload(some: np.ndarray) -> list[bytes]:
+                return [whole[a : b + 1].tobytes() for a, b in zip(first[some].tolist(), last[some].tolist(), strict=True)]
+
+            return run_codes(whole, first[keep], last[keep]), payload
+
+        return doc[first] if len(first) else first, first - origin, last - first + 1, anchor, told
 
     return cut
 

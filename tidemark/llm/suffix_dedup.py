@@ -1,11 +1,12 @@
-"""Suffix-array deduplication on bytes by induced suffix sorting.
+"""Suffix-array deduplication on bytes by external induced sorting.
 
-Repeated strings meet through content-anchored segments. A segment that occurs again as a whole needs no sorting. The
-distinct segments of anchors that have several are laid out in shards (a shard holds whole anchors), each shard's
-suffixes are sorted by induction, and neighbours with a common prefix of the full width are repeated strings.
+Repeated strings meet through content-anchored segments: equal strings of the full width lie in segments of one anchor.
+Copies of a segment collapse before they travel. The distinct segments of anchors that have several are laid out in
+shards (a shard holds whole anchors), each shard's suffixes are sorted by induction with their common prefixes
+(suffix_sort), and a suffix whose common prefix with a neighbour is the full width starts a repeated string.
 
-An anchor with more segments than a shard holds is not sorted: its windows are dealt out by 128-bit hashes of their own,
-and those that meet again are repeated strings.
+A shard may be far larger than the memory that its sort is given. Yet no task takes an unbounded group: an anchor with
+more than `anchor_bytes` of different segments is not sorted; its windows are dealt out by hashes of their own.
 """
 
 from __future__ import annotations
@@ -14,37 +15,57 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from .anchored import numbered, repeated_segments, runs_of, segment_keys, spans_by_document, unpack
 from .common import Scratch, strings
-from .kernels import BYTE_CODE, Prefix, covered, mix, segments
-from .suffix_sort import repeated_starts
+from .kernels import BYTE_CODE, Prefix, covered, mix, segments, window_codes
+from .suffix_sort import STORE_BYTES, Store, repeated_starts
 
 WIDTH, GRAM = 200, 32
-#: Bytes of segments at which a shard ends; an anchor that has more is not sorted, so a shard is twice this at most.
-SHARD_BYTES = 4 << 20
+#: Bytes of segments at which a shard ends, and of one anchor that a task sorts at most.
+SHARD_BYTES, ANCHOR_BYTES = 16 << 20, 64 << 20
 
 
 def byte_cutter(width: int = WIDTH, gram: int = GRAM):
     def cut(data: np.ndarray, at: np.ndarray):
-        doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-        first, last, _, anchor, code = segments(Prefix(BYTE_CODE[data]), doc, width, gram)
-        row = doc[first] if len(first) else first
+        doc = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
+        first, last, anchor, place = segments(Prefix(BYTE_CODE[data]), doc, width, gram)
+        row = doc[first].astype(np.int64) if len(first) else first
 
-        def payload(keep: np.ndarray) -> list[bytes]:
+        def told(keep: np.ndarray):
             raw = data.tobytes()
-            return [raw[a : b + width] for a, b in zip(first[keep].tolist(), last[keep].tolist(), strict=True)]
 
-        return row, first - at[row] if len(first) else first, last - first + 1, anchor, code, payload
+            def payload(some: np.ndarray) -> list[bytes]:
+                """Two bytes for the place of the anchor, then the segment."""
+                return [(p - a).to_bytes(2, "little") + raw[a : b + width] for a, b, p in zip(first[some].tolist(), last[some].tolist(), place[some].tolist(), strict=True)]
+
+            return np.array([xxh3_64_intdigest(raw[a : b + width]) for a, b in zip(first[keep].tolist(), last[keep].tolist(), strict=True)], np.uint64), payload
+
+        return row, first - at[row] if len(first) else first, last - first + 1, anchor, told
 
     return cut
 
 
-def sort_shards(width: int, shard_bytes: int):
+def likely(blocks: list[tuple[int, bytes]], width: int, gram: int) -> list[int]:
+    """Which segments of one anchor (its place in each, the bytes) can share a string of the full width with another.
+
+    The string holds the anchor, and at least half of what is not the anchor on one side of it: so much is compared."""
+    half = (width - gram + 1) // 2
+    sides = [((0, raw[at - half : at + gram] if at >= half else b""), (1, raw[at : at + gram + half] if at + gram + half <= len(raw) else b"")) for at, raw in blocks]
+    seen: dict[tuple[int, bytes], int] = {}
+    for pair in sides:
+        for key in pair:
+            if key[1]:
+                seen[key] = seen.get(key, 0) + 1
+    return [k for k, pair in enumerate(sides) if any(seen.get(key, 0) > 1 for key in pair)]
+
+
+def sort_shards(width: int, gram: int, shard_bytes: int, store_bytes: int):
     """Rows a, s, payload with equal a together; gives a, s, off, n: runs of starts of strings that occur again."""
 
     def runs(keys: list[tuple[int, int]], blocks: list[bytes]) -> pa.RecordBatch:
-        block, at = repeated_starts(blocks, width)
+        block, at = repeated_starts(blocks, width, Store(store_bytes))
         fresh = np.ones(len(at), bool)
         fresh[1:] = (block[1:] != block[:-1]) | (at[1:] != at[:-1] + 1)
         first = np.flatnonzero(fresh)
@@ -54,14 +75,24 @@ def sort_shards(width: int, shard_bytes: int):
 
     def run(batches):
         keys, blocks, size = [], [], 0
+        anchor, group = None, []
+
+        def take() -> int:
+            mine = likely([(at, raw) for _, at, raw in group], width, gram)
+            keys.extend((anchor, group[k][0]) for k in mine)
+            blocks.extend(group[k][2] for k in mine)
+            return sum(len(group[k][2]) for k in mine)
+
         for batch in batches:
             for a, s, payload in zip(*(batch.column(c).to_pylist() for c in ("a", "s", "payload")), strict=True):
-                if size >= shard_bytes and a != keys[-1][0]:
-                    yield runs(keys, blocks)
-                    keys, blocks, size = [], [], 0
-                keys.append((a, s))
-                blocks.append(payload)
-                size += len(payload)
+                if a != anchor:
+                    size += take()
+                    if size >= shard_bytes:
+                        yield runs(keys, blocks)
+                        keys, blocks, size = [], [], 0
+                    anchor, group = a, []
+                group.append((s, int.from_bytes(payload[:2], "little"), payload[2:]))
+        take()
         if blocks:
             yield runs(keys, blocks)
 
@@ -77,13 +108,13 @@ def dealt_windows(blocks: DataFrame, width: int) -> DataFrame:
 
     def each(batches):
         for batch in batches:
-            raw = batch.column("payload").to_pylist()
+            raw = [x[2:] for x in batch.column("payload").to_pylist()]
             size = np.array([len(x) for x in raw], np.int64) - (width - 1)
             data = np.frombuffer(b"".join(raw), np.uint8)
             base = np.cumsum(size + width - 1) - (size + width - 1)
             take, off = np.repeat(np.arange(len(size)), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             at = base[take] + off
-            h, g = (pa.array(mix(Prefix(code[data]).stretch(at, at + width)).view(np.int64)) for code in (BYTE_CODE, OTHER_CODE))
+            h, g = (pa.array(window_codes(code[data], width)[at].view(np.int64)) for code in (BYTE_CODE, OTHER_CODE))
             take = pa.array(take)
             yield pa.RecordBatch.from_arrays([batch.column("a").take(take), batch.column("s").take(take), pa.array(off.astype(np.int32)), h, g], ["a", "s", "off", "h", "g"])
 
@@ -93,12 +124,12 @@ def dealt_windows(blocks: DataFrame, width: int) -> DataFrame:
     return runs_of(windows.join(again.hint("merge"), ["a", "h", "g"]).select("a", "s", "off"))
 
 
-def repeated_spans(scratch: Scratch, rows: DataFrame, width: int, gram: int, shard_bytes: int) -> DataFrame:
+def repeated_spans(scratch: Scratch, rows: DataFrame, width: int, gram: int, shard_bytes: int, store_bytes: int, anchor_bytes: int) -> DataFrame:
     found = repeated_segments(scratch, rows, byte_cutter(width, gram))
-    keys = scratch.put("keys", segment_keys(found, shard_bytes, width - 1).drop("owner"))
+    keys = scratch.put("keys", segment_keys(found, anchor_bytes, width - 1).drop("owner"))
     several = keys.filter("several").select("a", "s", "hot")
     blocks = found.filter("payload IS NOT NULL").select("a", "s", "payload").join(several, ["a", "s"]).groupBy("a", "s", "hot").agg(F.first("payload").alias("payload"))
-    runs = blocks.filter("not hot").drop("hot").repartition("a").sortWithinPartitions("a").mapInArrow(sort_shards(width, shard_bytes), "a long, s long, off int, n int")
+    runs = blocks.filter("not hot").drop("hot").repartition("a").sortWithinPartitions("a").mapInArrow(sort_shards(width, gram, shard_bytes, store_bytes), "a long, s long, off int, n int")
     if not keys.filter("hot").isEmpty():
         runs = runs.unionByName(dealt_windows(scratch.put("hot", blocks.filter("hot")), width))
     once = keys.filter("c = 1 AND several").select("a", "s")
@@ -116,7 +147,7 @@ def repeated_spans(scratch: Scratch, rows: DataFrame, width: int, gram: int, sha
     return spans
 
 
-def suffix_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def suffix_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, store_bytes: int = STORE_BYTES, anchor_bytes: int = ANCHOR_BYTES) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept (BINARY, may not be valid UTF-8).
 
     Removes every byte covered by a string of `width` bytes that also starts anywhere else, in the same or another
@@ -124,7 +155,7 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_by
     as they are; null doc_ids are rows like any other. An empty table gives no rows; extra columns are not read.
     """
     rows = numbered(docs)
-    spans = repeated_spans(Scratch(docs.sparkSession, "suffix_dedup"), rows, width, gram, shard_bytes)
+    spans = repeated_spans(Scratch(docs.sparkSession, "suffix_dedup"), rows, width, gram, shard_bytes, store_bytes, anchor_bytes)
 
     def keep(batches):
         for batch in batches:

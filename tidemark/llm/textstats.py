@@ -6,7 +6,7 @@ from functools import cached_property
 
 import numpy as np
 
-from .kernels import BYTE_CODE, IS_WORD, Prefix, mix, word_codes, words
+from .kernels import IS_WORD, mix, stretch_codes, window_codes, word_codes, words
 
 
 def _lut(values: bytes) -> np.ndarray:
@@ -115,8 +115,7 @@ class Stretch:
     @cached_property
     def n_dup_lines(self) -> np.ndarray:
         start, end, doc = self._lines
-        code = mix(Prefix(BYTE_CODE[self.data]).stretch(start, end) + (end - start).astype(np.uint64))
-        return self.each(doc[_again(code, doc)[0]])
+        return self.each(doc[_again(stretch_codes(self.data, start, end), doc)[0]])
 
     @cached_property
     def n_distinct(self) -> np.ndarray:
@@ -138,9 +137,9 @@ class Stretch:
         doc = self._words[2]
         if len(doc) < width:
             return np.zeros(self.n, np.int64)
-        codes = Prefix(self._codes).sliding(width)
+        codes = window_codes(self._codes, width)
         whole = np.flatnonzero(doc[: len(codes)] == doc[width - 1 :])
-        _, every = _again(mix(codes[whole]), doc[whole])
+        _, every = _again(codes[whole], doc[whole])
         first, delta = whole[every], np.zeros(len(doc) + 1, np.int64)
         np.add.at(delta, first, 1)
         np.add.at(delta, first + width, -1)
