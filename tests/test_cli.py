@@ -15,6 +15,7 @@ def test_commands(spark, tmp_path, capsys):
     body.write.parquet(f"{folder}/contents")
     spark.createDataFrame([(1, 10_000_000)], "media_id long, duration_us long").write.parquet(f"{folder}/media")
     spark.createDataFrame([("r1", "3", "vision:extraction_failed", "open")], "review_id string, target_ref string, reason string, review_status string").write.parquet(f"{folder}/reviews")
+    spark.createDataFrame([("s11", 0, "heading", "material_body", "Agenda")], "content_id string, reading_order int, kind string, role string, text string").write.parquet(f"{folder}/regions")
     assert main(["gaps", folder, "--min-duration", "0", "--jsonl", str(tmp_path / "gaps")], spark) == 0
     row = json.loads(capsys.readouterr().out)
     assert (row["reason"], row["start"], row["end"], row["score"]) == ("failed", "0:00:07.000", "0:00:07.100", 5.01)
@@ -26,3 +27,12 @@ def test_commands(spark, tmp_path, capsys):
     assert "| occurrences | 5 |" in capsys.readouterr().out
     assert main(["resolve", folder, "r1", str(tmp_path / "reviews")], spark) == 0
     assert spark.read.parquet(str(tmp_path / "reviews")).first().review_status == "resolved"
+    capsys.readouterr()
+    assert main(["status", folder], spark) == 0
+    assert json.loads(capsys.readouterr().out) == {"occurrences": 5, "extracted": 4, "utterances": 5, "open_reviews": 1}
+    assert main(["review", folder, "--reason", "vision:"], spark) == 0
+    assert json.loads(capsys.readouterr().out)["review_id"] == "r1"
+    assert main(["correct", folder, "s11", "0", "The agenda", str(tmp_path / "fixed")], spark) == 0
+    assert spark.read.parquet(str(tmp_path / "fixed/bodies")).first().body_text == "The agenda"
+    text = "".join(p.read_text() for p in (tmp_path / "out/lecture.md/media_id=1").glob("part-*"))
+    assert text.startswith("## Block 1 — Lecture 1") and "### Agenda" in text

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import alignment, audio, blocks, contents, gaps, intervals, quality, regions, render, states, store, terms
+from tidemark.operators import alignment, audio, blocks, contents, gaps, intervals, lecture, quality, regions, render, states, store, terms
 
 OCC = "media_id long, occ_id long, start_us long, end_us long, content_id string, state_kind string"
 UTT = "media_id long, utt_id long, start_us long, end_us long, text string"
@@ -30,7 +30,7 @@ def random_intervals(rng, n, prefix):
     return out
 
 
-@pytest.mark.parametrize("bucket", [None, 7, 64])
+@pytest.mark.parametrize("bucket", [None, 0, 7, 64])
 def test_overlap_join_is_the_theta_join(spark, bucket):
     rng = random.Random(5)
     left, right = random_intervals(rng, 60, "l"), random_intervals(rng, 60, "r")
@@ -39,6 +39,19 @@ def test_overlap_join_is_the_theta_join(spark, bucket):
     want = sorted((p[1], q[1], min(p[3], q[3]) - max(p[2], q[2])) for p in left for q in right if p[0] == q[0] and min(p[3], q[3]) > max(p[2], q[2]))
     got = intervals.overlap_join(a, b, bucket_us=bucket)
     assert rows(got, "occ_id", "utt_id", "overlap_us") == sorted(want, key=repr)
+    left_too = intervals.overlap_join(a, b, "left", bucket_us=bucket)
+    met = {w[0] for w in want}
+    assert rows(left_too, "occ_id", "utt_id", "overlap_us") == sorted([*want, *((p[1], None, None) for p in left if p[1] not in met)], key=repr)
+
+
+@pytest.mark.parametrize("bucket", [None, 7])
+def test_containment_join(spark, bucket):
+    rng = random.Random(6)
+    left, right = random_intervals(rng, 60, "l"), random_intervals(rng, 60, "r")
+    a = spark.createDataFrame(left, "media_id long, occ_id long, start_us long, end_us long, x string")
+    b = spark.createDataFrame(right, "media_id long, utt_id long, start_us long, end_us long, y string")
+    want = sorted((p[1], q[1]) for p in left for q in right if p[0] == q[0] and q[2] >= p[2] and q[3] <= p[3])
+    assert rows(intervals.containment_join(a, b, bucket_us=bucket), "occ_id", "utt_id") == sorted(want, key=repr)
 
 
 def test_alignment_of_the_scenario(spark):
@@ -205,11 +218,72 @@ def test_subtitles(spark):
     assert render.srt(utt).first().text == "1\n00:00:00,000 --> 00:00:00,001\na b\n\n2\n00:00:05,000 --> 00:00:06,000\nc\n"
 
 
-def test_material(spark):
+def documents_of(spark, occ, utt, bodies, **more):
+    members, al = blocks.block_members(occ, bodies), alignment.align(occ, utt)
+    media = spark.createDataFrame([(1, 12_000_000)], "media_id long, duration_us long")
+    region = spark.createDataFrame([("s11", 0, "heading", "material_body", "Agenda"), ("s11", 1, "bullet", "material_body", "one\ntwo"), ("s11", 2, "text", "application_ui", "File  Edit"), ("s11", 3, "text", "material_context", "Week 1"), ("c12", 0, "code", "material_body", "x = 1"), ("c13", 0, "code", "material_body", "x = `2`")], "content_id string, reading_order int, kind string, role string, text string")
+    coded = bodies.withColumn("is_code", F.col("screen_kind") == "code")
+    return render.documents(lecture.material_lines(members, occ, coded, utt, al)).first().text, render.documents(lecture.lecture_lines(members, occ, bodies, region, utt, al, media)).first().text
+
+
+def test_documents(spark):
     occ, utt, bodies = scenario(spark)
-    members = blocks.block_members(occ, bodies)
-    text = render.documents(render.material_lines(members, occ, bodies.withColumn("is_code", F.col("screen_kind") == "code"), utt, alignment.align(occ, utt))).first().text
-    assert text.startswith("## Lecture 1 (0:00:00.000 - 0:00:02.000)\nAgenda\none\ntwo\n- 0:00:00.500 a\n## total.py") and "```\ndef total" in text
+    utt = utt.union(spark.createDataFrame([(1, 9, 11_000_000, 11_500_000, "too late")], UTT))
+    material, record = documents_of(spark, occ, utt, bodies)
+    assert material.startswith("## 0:00:00.000 – 0:00:02.000 Lecture 1\n\nAgenda\none\ntwo\n\n**Speech**\n- `0:00:00.500 – 0:00:01.800` a\n")
+    assert "```\ndef total" in material and material.rstrip().endswith("## Speech outside all units\n\n- `0:00:11.000 – 0:00:11.500` too late <!-- 9 -->")
+    assert "### Agenda" in record and "- one\n- two" in record and "- Context: Week 1" in record and "```\nx = `2`\n```" in record
+    assert "**Speech that goes on elsewhere**" in record and "- No screen: 0:00:09.100 – 0:00:12.000" in record
+    assert record.rstrip().endswith("File  Edit") and "## Appendix" in record
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_every_utterance_is_in_both_documents(spark, seed):
+    """Whatever the screens: units without text, gaps, zero lengths, several displays of one utterance."""
+    rng = random.Random(seed)
+    occ, at = [], 0
+    for k in range(25):
+        start = at + rng.choice([0, 0, 500_000])
+        at = start + rng.choice([0, 100_000, 1_000_000, 3_000_000])
+        occ.append((1, k, start, at, rng.choice(["s11", "c12", "c13", None, None]), rng.choice(["stable", "short"])))
+    utt = [(1, k, s := rng.randint(0, at + 2_000_000), s + rng.choice([0, 1, 700_000, 4_000_000]), f"said{k}x") for k in range(40)]
+    _, _, bodies = scenario(spark)
+    for text in documents_of(spark, spark.createDataFrame(occ, OCC), spark.createDataFrame(utt, UTT), bodies):
+        assert all(f"said{k}x" in text for k in range(40))
+
+
+def test_report_has_every_row(spark):
+    table = spark.range(1500).selectExpr("id", "cast(null as string) as none")
+    lines = [r.line for r in render.report_lines("T", [("A", table), ("B", table.limit(1))]).collect()]
+    assert lines[0] == "# T" and lines[1].startswith("\n## A") and len(lines) == 1504 and "| 1499 |  |" in lines and lines[-1] == "| 0 |  |"
+
+
+def test_measures_and_sizes(spark):
+    from tidemark.functions import geometry
+
+    log = store.append_metric(store.append_metric(spark.createDataFrame([], "stage string, name string, value double, unit string"), "scan", "rate", 85.5, "fps"), "scan", "states", 39)
+    assert rows(store.shown_metrics(log), "shown") == [("39",), ("85.500fps",)]
+    occ, utt, _ = scenario(spark)
+    reviews = spark.createDataFrame([("a", "open"), ("b", "resolved")], "reason string, review_status string")
+    assert tuple(store.status_counts(occ, utt, reviews).first()) == (5, 4, 5, 1)
+    flags = spark.createDataFrame([(["x", "change:repeat"], "c"), ([], None), (None, "c")], "flags array<string>, content_id string")
+    assert [r[0] for r in flags.select(states.change_kind(F.col("flags"), F.col("content_id"))).collect()] == ["repeat", "unextracted", "first"]
+    one = spark.range(1)
+    size = lambda w, h: tuple(one.select(geometry.full_image_size(F.lit(w), F.lit(h), 2048)).first()[0])
+    assert size(4096, 1000) == (2048, 500, 0.5) and size(100, 50) == (100, 50, 1.0)
+    factor = lambda w, h: one.select(geometry.upscale_factor(F.lit(w), F.lit(h), 100_000)).first()[0]
+    assert (factor(50, 20), factor(50, 48), factor(500, 200)) == (3.0, 2.0, 1.0) and round(factor(1000, 90), 3) == 1.054
+    told = lambda *x: tuple(one.select(audio.audio_mismatch(*[F.lit(v).cast("long") for v in x])).first()[0])
+    assert told(1_000_000, 1_300_000, 0, 0) == (1_300_000, -300_000, True) and told(1_000_000, None, 1_250_000, 100_000) == (1_150_000, -150_000, False) and told(5, None, None, 0) == (None, None, False)
+
+
+def test_repair_of_repeated_regions(spark):
+    long = "a region with quite some words in it that was read twice by the model"
+    df = spark.createDataFrame([("c", 0, long, ["x"]), ("c", 1, long, []), ("d", 0, "short", [])], "content_id string, reading_order int, text string, flags array<string>")
+    same, told = store.repaired(df, dry_run=True)
+    assert same is df and rows(told, "content_id", "regions_before", "regions_after") == [("c", 2, 1)]
+    fixed, _ = store.repaired(df)
+    assert fixed.count() == 2 and fixed.filter("array_contains(flags, 'duplicate_regions_removed')").count() == 1
 
 
 def test_json_lines_keep_nulls(spark):

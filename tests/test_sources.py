@@ -89,3 +89,38 @@ def test_jobs():
     told = jobs.manifest({"id": 1}, j, {"a": 1}, ["b", "a"], 0, {})
     assert told == jobs.manifest({"id": 1}, j, {"a": 1}, ["a", "b"], 0, {}) and '"status":"processing"' in told
     assert jobs.selected(["export", "asr"]) == ["asr", "export"]
+
+
+def test_wav_facts(spark):
+    import io
+    import wave
+
+    from tidemark.sources import readers
+
+    def made(channels, width, n):
+        held = io.BytesIO()
+        with wave.open(held, "wb") as w:
+            w.setnchannels(channels)
+            w.setsampwidth(width)
+            w.setframerate(16_000)
+            w.writeframes(bytes(channels * width * n))
+        return held.getvalue()
+
+    df = spark.createDataFrame([(1, made(1, 2, 24_000)), (2, made(2, 2, 10)), (3, b"RIFF"), (4, None)], "k int, content binary")
+    got = [tuple(r) for r in readers.wav_facts(df).select("k", "rate", "samples", "duration_us").orderBy("k").collect()]
+    assert got == [(1, 16_000, 24_000, 1_500_000), (2, None, None, None), (3, None, None, None), (4, None, None, None)]
+
+
+def test_config_sections(tmp_path):
+    import pytest
+
+    from tidemark.plans import jobs
+
+    config = jobs.merged_config({"scan": {"interval_us": 1}})
+    jobs.save_config(config, str(tmp_path / "c.json"))
+    assert jobs.load_config(str(tmp_path / "c.json")) == config and config["scan"]["small_width"] == 960
+    assert jobs.stage_hash("export", config) == jobs.stage_hash("export", jobs.merged_config({})) != jobs.stage_hash("frame_scan", config)
+    assert jobs.stage_hash("frame_scan", config) != jobs.stage_hash("frame_scan", jobs.merged_config({}))
+    with pytest.raises(ValueError):
+        jobs.merged_config({"scan": {"intervall": 1}})
+    assert jobs.quick_hash(3, b"a", b"b") != jobs.quick_hash(4, b"a", b"b") and jobs.input_hash(["a", "b"]) != jobs.input_hash(["ab"])

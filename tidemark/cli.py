@@ -1,16 +1,18 @@
-"""Commands over a folder of Parquet tables (occurrences, utterances, media, contents, reviews; see README)."""
+"""Commands over a folder of Parquet tables (occurrences, utterances, media, contents, reviews, regions; see README)."""
 
 from __future__ import annotations
 
 import argparse
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.timecode import format_timestamp
-from .operators import alignment, blocks, contents, gaps, intervals, quality, render, states, store
+from .operators import alignment, blocks, contents, gaps, intervals, lecture, quality, render, states, store
 from .session import ship
+from .sources import readers
 
 
 def tables(spark: SparkSession, folder: str, *names: str) -> list[DataFrame]:
@@ -29,7 +31,7 @@ def run_gaps(spark: SparkSession, folder: str, top: int, least_s: float, out: st
 
 def run_export(spark: SparkSession, folder: str, out: str) -> None:
     """blocks, contents, occurrences, utterances, alignment as JSON lines; subtitles and reading documents as text."""
-    occ, utt, body = tables(spark, folder, "occurrences", "utterances", "contents")
+    occ, utt, body, media, region = tables(spark, folder, "occurrences", "utterances", "contents", "media", "regions")
     al = alignment.align(occ, utt)
     members = blocks.block_members(occ, body)
     block_rows = blocks.blocks(members).join(blocks.block_refs(members, al, occ), ["media_id", "block_index"], "left")
@@ -42,23 +44,39 @@ def run_export(spark: SparkSession, folder: str, out: str) -> None:
         render.write_lines(rows, f"{out}/{name}.jsonl", order)
     contents.referenced(body, occ).write.mode("overwrite").json(f"{out}/screen_contents.jsonl")
     coded = body.withColumn("is_code", F.col("screen_kind") == "code")
-    for name, texts in (("transcript.srt", render.srt(utt)), ("reading.md", render.documents(render.material_lines(members, occ, coded, utt, al)))):
+    record = lecture.lecture_lines(members, occ, body, region, utt, al, media)
+    for name, texts in (("transcript.srt", render.srt(utt)), ("material.md", render.documents(lecture.material_lines(members, occ, coded, utt, al))), ("lecture.md", render.documents(record))):
         texts.select("media_id", F.col("text").alias("value")).write.mode("overwrite").partitionBy("media_id").text(f"{out}/{name}")
 
 
-def run_report(spark: SparkSession, folder: str) -> str:
-    occ, utt, media, body, reviews = tables(spark, folder, "occurrences", "utterances", "media", "contents", "reviews")
+def run_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of the quality report: counts, coverage, reviews, what lies outside its media, unextracted states, measures."""
+    occ, utt, media, body, reviews, region = tables(spark, folder, "occurrences", "utterances", "media", "contents", "reviews", "regions")
     al = alignment.align(occ, utt)
     spans = occ.select("media_id", "start_us", "end_us", F.when(F.col("content_id").isNotNull(), "extracted").otherwise("unextracted").alias("state"))
     coverage = quality.coverage_by_state(intervals.filled(spans, media).withColumn("track", F.lit("screen")))
     sections = [
-        ("Counts", quality.scorecard(occ, utt, al, body, reviews)),
-        ("Coverage", coverage.orderBy("track", "state")),
-        ("Reviews", quality.reviews_by_reason(reviews).orderBy(F.desc("n"), "reason")),
-        ("Time anomalies", quality.time_anomalies(occ, utt, media).orderBy("kind", "id")),
-        ("Unextracted states", states.run_kinds(occ).orderBy("media_id", "state_kind")),
+        ("Counts", quality.scorecard(occ, utt, al, body, reviews, region)),
+        ("Coverage", coverage.select("track", "state", "covered_us")),
+        ("Reviews", quality.reviews_by_reason(reviews).select("reason", "n")),
+        ("Time anomalies", quality.time_anomalies(occ, utt, media)),
+        ("Unextracted states", states.run_kinds(occ)),
     ]
-    return render.report_lines("Quality report", sections)
+    try:
+        (metrics,) = tables(spark, folder, "metrics")
+    except AnalysisException:
+        return render.report_lines("Quality report", sections)
+    return render.report_lines("Quality report", [*sections, ("Measures", store.shown_metrics(metrics))])
+
+
+def run_correct(spark: SparkSession, folder: str, content_id: str, reading_order: int, text: str, out: str) -> None:
+    """The corrected regions, the bodies that follow from them, and the log of corrections, as new tables under out."""
+    (region,) = tables(spark, folder, "regions")
+    log = spark.createDataFrame([], "content_id string, reading_order int, original string, corrected string")
+    region = region.withColumn("flags", F.coalesce("flags", F.array().cast("array<string>"))) if "flags" in region.columns else region.withColumn("flags", F.array().cast("array<string>"))
+    fixed, log = store.correct_region(region, log, content_id, reading_order, text)
+    for name, df in (("regions", fixed), ("bodies", contents.bodies(fixed)), ("corrections", log)):
+        df.write.mode("overwrite").parquet(f"{out}/{name}")
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -79,6 +97,24 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     p.add_argument("review_id")
     p.add_argument("out")
     p.add_argument("--status", default="resolved", choices=["open", "resolved", "wontfix"])
+    p = commands.add_parser("status", help="counts of a run")
+    p.add_argument("folder")
+    p = commands.add_parser("review", help="open reviews, by the start of their reason")
+    p.add_argument("folder")
+    p.add_argument("--reason", default="")
+    p = commands.add_parser("correct", help="correct the text of a region; writes new tables")
+    p.add_argument("folder")
+    p.add_argument("content_id")
+    p.add_argument("reading_order", type=int)
+    p.add_argument("text")
+    p.add_argument("out")
+    p = commands.add_parser("cache", help="frames to delete, cheapest first, to free so many bytes of each media; writes a table")
+    p.add_argument("folder")
+    p.add_argument("excess", type=int)
+    p.add_argument("out")
+    p = commands.add_parser("probe", help="facts of media from a table of probe documents (column probe_json); writes a table")
+    p.add_argument("folder")
+    p.add_argument("out")
     a = top.parse_args(argv)
     spark = ship(spark or SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate())
     if a.command == "gaps":
@@ -87,7 +123,22 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif a.command == "export":
         run_export(spark, a.folder, a.out)
     elif a.command == "report":
-        print(run_report(spark, a.folder))
+        for row in run_report(spark, a.folder).toLocalIterator():
+            print(row.line)
+    elif a.command == "status":
+        print(json.dumps(store.status_counts(*tables(spark, a.folder, "occurrences", "utterances", "reviews")).first().asDict()))
+    elif a.command == "review":
+        (reviews,) = tables(spark, a.folder, "reviews")
+        for row in reviews.filter((F.col("review_status") == "open") & F.col("reason").startswith(a.reason)).orderBy("reason", "review_id").toLocalIterator():
+            print(json.dumps(row.asDict(), ensure_ascii=False))
+    elif a.command == "correct":
+        run_correct(spark, a.folder, a.content_id, a.reading_order, a.text, a.out)
+    elif a.command == "cache":
+        (frames,) = tables(spark, a.folder, "frames")
+        quality.evict(frames, a.excess).write.mode("overwrite").parquet(a.out)
+    elif a.command == "probe":
+        (documents,) = tables(spark, a.folder, "probes")
+        readers.probe(documents).write.mode("overwrite").parquet(a.out)
     else:
         (reviews,) = tables(spark, a.folder, "reviews")
         store.resolve_review(reviews, a.review_id, a.status).write.mode("overwrite").parquet(a.out)

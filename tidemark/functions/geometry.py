@@ -62,3 +62,23 @@ def changed(a: Column, b: Column, delta: int = 18) -> Column:
 def mean_difference(a: Column, b: Column) -> Column:
     """Mean absolute difference of two equal-sized patches."""
     return mean(F.zip_with(a, b, lambda x, y: F.abs(x - y)))
+
+
+def full_image_size(width: Column, height: Column, limit: int) -> Column:
+    """width, height, scale of a whole image whose long side is cut to limit (0: any size)."""
+    long_side = F.greatest(width, height)
+    scale = F.when(F.lit(limit <= 0) | (long_side <= limit), F.lit(1.0)).otherwise(F.lit(float(limit)) / long_side)
+    return F.struct((width * scale).cast("int").alias("width"), (height * scale).cast("int").alias("height"), scale.alias("scale"))
+
+
+def small_size(width: Column, height: Column, most: int = 960) -> Column:
+    """width, height of the small gray frame that frames are compared in: `most` wide at most."""
+    scale = F.least(F.lit(1.0), F.lit(float(most)) / width)
+    return F.struct(F.greatest(F.lit(1), (width * scale).cast("int")).alias("width"), F.greatest(F.lit(1), (height * scale).cast("int")).alias("height"))
+
+
+def upscale_factor(width: Column, height: Column, most_pixels: int, least_height: int = 96) -> Column:
+    """By how much a crop lower than least_height is enlarged: three times at most, and never beyond most_pixels; else 1."""
+    wanted = F.when(height < least_height, F.least(F.lit(3.0), F.lit(float(least_height)) / F.greatest(F.lit(1), height))).otherwise(F.lit(1.0))
+    fits = F.when(width * height * wanted * wanted > most_pixels, F.greatest(F.lit(1.0), F.sqrt(F.lit(float(most_pixels)) / (width * height)))).otherwise(wanted)
+    return F.when(fits <= 1.001, F.lit(1.0)).otherwise(fits)

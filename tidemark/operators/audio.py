@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import utterance_key
@@ -83,3 +83,16 @@ def dedup_across_chunks(utterances: DataFrame, look_back: int = LOOK_BACK) -> Da
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return dealt.mapInArrow(run, dealt.schema).drop("key")
+
+
+#: Difference of audio lengths that is a mismatch. Fixed value.
+MISMATCH_US = 200_000
+
+
+def audio_mismatch(produced_us: Column, audio_us: Column, duration_us: Column, offset_us: Column) -> Column:
+    """expected_us, diff_us, mismatch: what was written against the container's audio length (or, without one, its
+    duration from the audio's offset on)."""
+    known = lambda x: F.when(x != 0, x)
+    expected = F.coalesce(known(audio_us), known(duration_us) - offset_us)
+    diff = produced_us - expected
+    return F.struct(expected.alias("expected_us"), diff.alias("diff_us"), F.coalesce(F.abs(diff) > MISMATCH_US, F.lit(False)).alias("mismatch"))

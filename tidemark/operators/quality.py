@@ -21,8 +21,9 @@ def time_anomalies(occurrences: DataFrame, utterances: DataFrame, media: DataFra
     return check(occurrences, "occurrence", "occ_id", 0).unionByName(check(utterances, "utterance", "utt_id", slack_us))
 
 
-def scorecard(occurrences: DataFrame, utterances: DataFrame, alignment: DataFrame, contents: DataFrame, reviews: DataFrame) -> DataFrame:
-    """measure, value: the counts of a quality report, one row each."""
+def scorecard(occurrences: DataFrame, utterances: DataFrame, alignment: DataFrame, contents: DataFrame, reviews: DataFrame, regions: DataFrame | None = None) -> DataFrame:
+    """measure, value: the counts of a quality report, one row each. With regions (content_id, and flags or unreadable if there
+    are such), those that cannot be read are counted; with flags in contents, those that were cut."""
     n = F.count(F.lit(1))
     short = F.col("state_kind").isin("short", "transition")
     parts = (
@@ -34,6 +35,12 @@ def scorecard(occurrences: DataFrame, utterances: DataFrame, alignment: DataFram
         alignment.agg(n.alias("alignments")),
         reviews.agg(n.alias("reviews_total"), F.count_if(F.col("review_status") == "open").alias("reviews_open")),
     )
+    if regions is not None:
+        signs = [F.coalesce(F.array_contains("flags", "unreadable"), F.lit(False))] if "flags" in regions.columns else []
+        signs += [F.coalesce(F.size("unreadable") > 0, F.lit(False))] if "unreadable" in regions.columns else []
+        parts += (regions.agg(F.count_if(F.greatest(F.lit(False), F.lit(False), *signs)).alias("unreadable_regions")),)
+    if "flags" in contents.columns:
+        parts += (contents.agg(F.count_if(F.coalesce(F.array_contains("flags", "truncated"), F.lit(False))).alias("truncated_contents")),)
     out = None
     for part in parts:
         rows = part.select(F.explode(F.create_map(*[x for c in part.columns for x in (F.lit(c), F.col(c).cast("long"))])).alias("measure", "value"))

@@ -58,42 +58,31 @@ def review_items(occurrences: DataFrame, utterances: DataFrame, media: DataFrame
     return late.union(unread).union(empty)
 
 
-def material_lines(members: DataFrame, occurrences: DataFrame, contents: DataFrame, utterances: DataFrame, alignment: DataFrame) -> DataFrame:
-    """Lines of a reading document: per block a heading with its time, the body of its last content (code fenced), its
-    speech. members: as blocks.block_members gives them; contents: content_id, body_text, is_code."""
-    key = ["media_id", "block_index"]
-    at = lambda part, line, df, *more: df.select("media_id", F.array(F.col("block_index").cast("long"), F.lit(part).cast("long"), *more, *[F.lit(0).cast("long")] * (2 - len(more))).alias("ord"), line.alias("line"))
-    heads = members.groupBy(*key, "kind", "title").agg(F.min("start_us").alias("start_us"), F.max_by("end_us", "place").alias("end_us"))
-    title = F.when(F.col("title") != "", escape_markdown(F.col("title"))).otherwise(F.col("kind"))
-    head = at(0, F.concat(F.lit("## "), title, F.lit(" ("), format_timestamp("start_us"), F.lit(" - "), format_timestamp("end_us"), F.lit(")")), heads)
-    last = members.join(occurrences.select("occ_id", "content_id"), "occ_id").filter("content_id IS NOT NULL").groupBy(*key).agg(F.max_by("content_id", "place").alias("content_id"))
-    body = last.join(contents, "content_id")
-    shown = F.when(F.col("is_code"), F.concat(fence(F.col("body_text")), F.lit("\n"), F.col("body_text"), F.lit("\n"), fence(F.col("body_text")))).otherwise(escape_markdown(F.col("body_text")))
-    said = members.join(alignment.filter("is_primary").select("occ_id", "utt_id"), "occ_id").join(utterances.select("utt_id", F.col("start_us").alias("said_us"), "text"), "utt_id")
-    speech = at(2, F.concat(F.lit("- "), format_timestamp("said_us"), F.lit(" "), escape_markdown(F.col("text"))), said, F.col("said_us"))
-    return head.unionByName(at(1, shown, body)).unionByName(speech)
-
-
-def report_lines(title: str, sections: list[tuple[str, DataFrame]]) -> str:
-    """A small Markdown report of small tables (each of a bounded number of rows)."""
-    out = [f"# {title}", ""]
-    for name, rows in sections:
-        out += [f"## {name}", "", "| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
-        out += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows.limit(1000).collect()]
-        out.append("")
-    return "\n".join(out)
+def report_lines(title: str, sections: list[tuple[str, DataFrame]]) -> DataFrame:
+    """ord, line: a Markdown report of whole tables, one row a line; written in order, none is left out. Rows of a table are
+    in the order of its columns."""
+    spark = sections[0][1].sparkSession
+    out = spark.createDataFrame([([0, 0], f"# {title}", [""])], "ord array<bigint>, line string, row array<string>")
+    for k, (name, rows) in enumerate(sections):
+        head = f"\n## {name}\n\n| " + " | ".join(rows.columns) + " |\n|" + "---|" * len(rows.columns)
+        cells = F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns])
+        table = rows.select(F.array(F.lit(k + 1), F.lit(1)).cast("array<bigint>").alias("ord"), F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |")).alias("line"), cells.alias("row"))
+        out = out.unionByName(spark.createDataFrame([([k + 1, 0], head, [""])], out.schema)).unionByName(table)
+    return out.orderBy("ord", "row").select("ord", "line")
 
 
 def outline_lines(terms: DataFrame, versions: DataFrame, contents: DataFrame) -> DataFrame:
-    """Lines of a study outline per media: each content version with its time and title, then the term index (the same
-    in every media; at most as many as the index lists). Columns: media_id, ord, line."""
+    """Lines of a study outline per media: each content version with its time and title, then the index of its own terms.
+    Columns: media_id, ord, line. terms: as terms.index gives them; with a media_id, each media has its own."""
     shown = versions.join(contents.select("content_id", "title"), "content_id", "left")
     line = F.concat(F.lit("- "), format_timestamp("start_us"), F.lit(" "), escape_markdown(F.coalesce("title", F.lit(""))))
     rows = shown.select("media_id", F.array(F.lit(0).cast("long"), F.col("start_us"), F.col("occ_id").cast("long")).alias("ord"), line.alias("line"))
-    w = Window.orderBy(F.desc(F.col("shown") + F.col("said")), "term")  # a bounded list
-    listed = terms.withColumn("n", F.row_number().over(w).cast("long"))
+    own = "media_id" in terms.columns
+    w = Window.partitionBy(*["media_id"] * own).orderBy(F.desc(F.col("shown") + F.col("said")), "term")  # without media, a bounded list
     term = F.concat(F.lit("- "), escape_markdown(F.col("surface")), F.lit(": "), F.col("shown").cast("string"), F.lit(" / "), F.col("said").cast("string"), F.lit(" ("), format_timestamp("first_us"), F.lit(")"))
-    index = versions.select("media_id").distinct().crossJoin(F.broadcast(listed.select(F.array(F.lit(1).cast("long"), F.col("n"), F.lit(0).cast("long")).alias("ord"), term.alias("line"))))
+    index = terms.withColumn("n", F.row_number().over(w).cast("long")).select(*["media_id"] * own, F.array(F.lit(1).cast("long"), F.col("n"), F.lit(0).cast("long")).alias("ord"), term.alias("line"))
+    if not own:
+        index = versions.select("media_id").distinct().crossJoin(F.broadcast(index))
     return rows.unionByName(index)
 
 

@@ -127,3 +127,9 @@ def merge_unextracted(blocks: DataFrame) -> DataFrame:
     both = (F.col("kind") == "unextracted") & (F.lag("kind").over(w) == "unextracted")
     runs = islands(blocks, ["media_id"], ["block_index"], ~both, "run")
     return runs.groupBy("media_id", "run", "kind").agg(F.min("block_index").alias("block_index"), F.min("start_us").alias("start_us"), F.max_by("end_us", "block_index").alias("end_us"), F.count(F.lit(1)).alias("blocks")).drop("run")
+
+
+def change_kind(flags: Column, content_id: Column) -> Column:
+    """What the first change:* flag of an interval says, else unextracted without a content and first with one."""
+    named = F.filter(F.coalesce(flags, F.array().cast("array<string>")), lambda x: x.startswith("change:"))
+    return F.coalesce(F.regexp_replace(F.try_element_at(named, F.lit(1)), "^change:", ""), F.when(content_id.isNull(), "unextracted").otherwise("first"))

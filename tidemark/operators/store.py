@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of old and new by key; a new row replaces the old one whole (of several new rows, the last by __seq, if
-    there is such a column)."""
+    """Rows of old and new by key; a new row replaces the old one whole. Of several new rows of a key, the one of the
+    largest __seq stays (if there is such a column), then that of the largest values as JSON text."""
     keys = list(keys)
     both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)), allowMissingColumns=True)
-    order = [F.desc("__new"), *([F.desc("__seq")] if "__seq" in both.columns else [])]
+    rest = [F.to_json(F.struct(*[c for c in both.columns if c not in ("__new", "__seq", *keys)])).desc_nulls_last()] if len(both.columns) > len(keys) + 1 else []
+    order = [F.desc("__new"), *([F.desc("__seq")] if "__seq" in both.columns else []), *rest]
     ranked = both.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return ranked.filter("__n = 1").drop("__n", "__new", "__seq")
 
@@ -56,6 +57,48 @@ def correct_region(regions: DataFrame, corrections: DataFrame, content_id, readi
     return fixed, corrections.unionByName(log)
 
 
+def repaired(regions: DataFrame, dry_run: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Takes regions out that repeat others of their content (regions: content_id, reading_order, text and more).
+
+    Gives the regions, those that stay flagged where one stands for another that went, and a summary per content that
+    changes: content_id, regions_before, regions_after, chars_before, chars_after. With dry_run, regions are as they were.
+    """
+    from .regions import drop_duplicates
+
+    stay = drop_duplicates(regions).select("content_id", "reading_order", F.col("stands").alias("__stands"))
+    told = regions.join(stay, ["content_id", "reading_order"], "left")
+    size = F.coalesce(F.length("text"), F.lit(0))
+    summary = told.groupBy("content_id").agg(F.count(F.lit(1)).alias("regions_before"), F.count("__stands").alias("regions_after"), F.sum(size).alias("chars_before"), F.sum(F.when(F.col("__stands").isNotNull(), size).otherwise(0)).alias("chars_after"))
+    summary = summary.filter("regions_after < regions_before")
+    if dry_run:
+        return regions, summary
+    kept = told.filter("__stands IS NOT NULL")
+    if "flags" in regions.columns:
+        flags = F.array_sort(F.array_union("flags", F.array(F.lit("duplicate_regions_removed"))))
+        kept = kept.withColumn("flags", F.when(F.col("__stands"), flags).otherwise(F.col("flags")))
+    return kept.drop("__stands"), summary
+
+
+def append_metric(metrics: DataFrame, stage: str, name: str, value: float, unit: str = "") -> DataFrame:
+    """The log of measures with one more row; earlier rows stay."""
+    row = metrics.sparkSession.createDataFrame([(stage, name, float(value), unit)], "stage string, name string, value double, unit string")
+    return metrics.unionByName(row, allowMissingColumns=True)
+
+
+def shown_metrics(metrics: DataFrame) -> DataFrame:
+    """stage, name, shown: values without decimals where they are whole, else with three, and the unit."""
+    whole = F.abs(F.col("value") - F.col("value").cast("long")) <= 1e-9
+    shown = F.when(whole, F.col("value").cast("long").cast("string")).otherwise(F.format_string("%.3f", "value"))
+    return metrics.select("stage", "name", F.concat(shown, F.coalesce("unit", F.lit(""))).alias("shown"))
+
+
+def status_counts(occurrences: DataFrame, utterances: DataFrame, reviews: DataFrame) -> DataFrame:
+    """One row: occurrences, extracted, utterances, open_reviews."""
+    n = F.count(F.lit(1))
+    parts = (occurrences.agg(n.alias("occurrences"), F.count("content_id").alias("extracted")), utterances.agg(n.alias("utterances")), reviews.agg(F.count_if(F.col("review_status") == "open").alias("open_reviews")))
+    return parts[0].crossJoin(parts[1]).crossJoin(parts[2])  # three tables of one row
+
+
 def checks(df: DataFrame, **rules: str) -> DataFrame:
     """rule, violations: rows of df for which each rule (SQL) does not hold."""
     return df.agg(*[F.count_if(~F.expr(rule)).alias(name) for name, rule in rules.items()]).select(F.explode(F.create_map(*[x for n in rules for x in (F.lit(n), F.col(n))])).alias("rule", "violations"))

@@ -41,6 +41,53 @@ def config_hash(config: dict, keys: Iterable[str] | None = None) -> str:
     return hashlib.sha256(stable_json(own).encode()).hexdigest()
 
 
+#: Sections of a run's settings and what each holds if it is not set.
+DEFAULTS = {
+    "range": {"start_us": None, "end_us": None},
+    "scan": {"interval_us": 200_000, "stable_us": 700_000, "small_width": 960},
+    "audio": {"channel": "mix", "chunk_us": 600_000_000, "chunk_overlap_us": 2_000_000},
+    "speech": {"language": "auto", "beam": 5},
+    "vision": {"max_image_long_side": 2048, "crop_max_pixels": 1_500_000},
+    "blocks": {"max_gap_us": 30_000_000},
+    "export": {"video_link": True, "structure_notes": True, "appendix": True},
+}
+#: Sections that each stage reads; the range counts for all.
+SECTIONS = {"frame_scan": ("scan",), "audio_prepare": ("audio",), "asr": ("audio", "speech"), "vision": ("vision",), "blocks": ("blocks",), "export": ("export",)}
+
+
+def load_config(path: str) -> dict[str, dict]:
+    """Settings from a JSON file: known sections over their defaults; an unknown section or setting is refused."""
+    with open(path, encoding="utf-8") as f:
+        return merged_config(json.load(f))
+
+
+def merged_config(given: dict) -> dict[str, dict]:
+    unknown = [s for s in given if s not in DEFAULTS] + [f"{s}.{k}" for s, own in given.items() if s in DEFAULTS for k in own if k not in DEFAULTS[s]]
+    if unknown:
+        raise ValueError(f"no such setting: {sorted(unknown)}")
+    return {s: own | given.get(s, {}) for s, own in DEFAULTS.items()}
+
+
+def save_config(config: dict, path: str) -> None:
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(config, f, ensure_ascii=False, indent=2, sort_keys=True)
+
+
+def stage_hash(stage: str, config: dict[str, dict]) -> str:
+    """Hash of what a stage reads of the settings."""
+    return config_hash({"stage": stage, "range": config["range"], "own": {s: config[s] for s in SECTIONS.get(stage, ())}})
+
+
+def quick_hash(size: int, head: bytes, tail: bytes) -> str:
+    """Tells a large file apart by its size and both ends."""
+    return hashlib.sha256(b"%d\0" % size + head + b"\0" + tail).hexdigest()
+
+
+def input_hash(parts: Iterable[str]) -> str:
+    """Hash of the hashes of what a stage reads, in their order."""
+    return hashlib.sha256("\x1f".join(parts).encode()).hexdigest()
+
+
 @dataclass
 class Job:
     stage: str

@@ -53,7 +53,7 @@ CTE = {
         SELECT o.media_id, occ_id, utt_id, least(o.end_us, u.end_us) - greatest(o.start_us, u.start_us) AS overlap_us, o.start_us AS os, o.end_us AS oe
         FROM pa o JOIN pb u ON o.media_id = u.media_id AND least(o.end_us, u.end_us) - greatest(o.start_us, u.start_us) > 0""",
     "al": "SELECT *, row_number() OVER (PARTITION BY utt_id ORDER BY overlap_us DESC, os, oe, occ_id) = 1 AS is_primary FROM pairs",
-    "shows": "SELECT * EXCLUDE (content_id), CASE WHEN content_id IS NOT NULL THEN occ_id % 1500 END AS content_id FROM pa",
+    "shows": "SELECT * EXCLUDE (content_id), CASE WHEN content_id IS NOT NULL THEN occ_id % (SELECT max(doc_id) + 1 FROM documents) END AS content_id FROM pa",
     "runs": """
         SELECT media_id, min(start_us) AS start_us, arg_max(end_us, o) AS end_us, count(*) AS members, isl,
                row_number() OVER (PARTITION BY media_id ORDER BY isl) AS run,
@@ -89,7 +89,7 @@ CTE = {
         UNION ALL
         SELECT pc.media_id, greatest(0, coalesce(e, 0)), duration_us FROM pc LEFT JOIN (SELECT media_id, max(end_us) AS e FROM pa GROUP BY 1) USING (media_id) WHERE duration_us > coalesce(e, 0)""",
     "body": "SELECT item_id AS content_id, text AS body_text FROM benchmark",
-    "tocc": "SELECT * EXCLUDE (content_id), content_id % 40 AS content_id FROM shows",
+    "tocc": "SELECT * EXCLUDE (content_id), content_id % (SELECT max(item_id) + 1 FROM benchmark) AS content_id FROM shows",
     "talk": f"""
         SELECT conv_id % 97 AS media_id, conv_id || '-' || turn AS utt_id, (conv_id * 37 + turn) % 700 * {H} AS start_us,
                (conv_id * 37 + turn) % 700 * {H} + {12 * S} AS end_us, text FROM conversations""",
@@ -136,7 +136,7 @@ BODY = {
     "scan_occurrences": "SELECT media_id, occ_id, start_us, end_us, content_id, state_kind FROM pa",
     "scan_utterances": "SELECT * FROM pb",
     "scan_coverage_track": "SELECT media_id, start_us, end_us, state FROM spans WHERE state = 'extracted'",
-    "lookup_by_key": "SELECT media_id, occ_id, start_us FROM pa WHERE media_id = 7 AND occ_id < 5000",
+    "lookup_by_key": "SELECT media_id, occ_id, start_us FROM pa WHERE media_id = 7",
     "oldest_media": "SELECT media_id, min(start_us) AS first_us FROM pa GROUP BY 1 ORDER BY 2, 1 LIMIT 1",
     "range_clip": f"SELECT media_id, {5 * D} AS range_start_us, least(duration_us, {40 * D}) AS range_end_us FROM pc WHERE duration_us > {5 * D}",
     "state_kind": "SELECT occ_id, state_kind AS kind FROM pa",
@@ -289,6 +289,27 @@ BODY = {
         FROM documents JOIN labels USING (doc_id)) WHERE flag <> 'duplicate_regions_removed' GROUP BY ALL""",
     "utterance_rows": f"""SELECT pb.utt_id, {_stamp('start_us')} AS start, {_stamp('end_us')} AS end, any_value(text) AS text, coalesce(string_agg(occ_id, ',' ORDER BY occ_id), '') AS occ_ids
         FROM pb LEFT JOIN al USING (utt_id) GROUP BY pb.utt_id, start_us, end_us""",
+    "upserted_rows": """SELECT occ_id, CASE WHEN state_kind = 'short' THEN 'transition' ELSE state_kind END AS state_kind FROM pa
+        UNION ALL SELECT -occ_id - 1, 'new' FROM pa WHERE state_kind = 'blank'""",
+    "replaced_scopes": f"""SELECT media_id, start_us, end_us, state FROM spans WHERE media_id NOT IN (SELECT media_id FROM pa WHERE state_kind = 'blank')
+        UNION ALL SELECT DISTINCT media_id, 0, {D}, 'unextracted' FROM pa WHERE state_kind = 'blank'""",
+    "cascaded_rows": "SELECT target_ref, reason, review_status FROM ph WHERE target_ref IN (SELECT occ_id FROM pa WHERE content_id IS NOT NULL)",
+    "orphan_references": "SELECT DISTINCT target_ref FROM ph WHERE target_ref NOT IN (SELECT occ_id FROM pa WHERE content_id IS NOT NULL)",
+    "cleared_reviews": "SELECT target_ref, reason, review_status FROM ph WHERE NOT (starts_with(reason, 'vision:') AND review_status = 'open')",
+    "constraint_checks": f"""SELECT 'ordered' AS rule, count(*) FILTER (end_us < start_us) AS violations FROM pa UNION ALL SELECT 'later', count(*) FILTER (start_us <= {D}) FROM pa
+        UNION ALL SELECT 'shown', count(*) FILTER (content_id IS NULL) FROM pa""",
+    "status_counts": """SELECT (SELECT count(*) FROM pa) AS occurrences, (SELECT count(content_id) FROM pa) AS extracted, (SELECT count(*) FROM pb) AS utterances,
+        (SELECT count(*) FROM ph WHERE review_status = 'open') AS open_reviews""",
+    "full_image_sizes": """
+        WITH p AS (SELECT p_partkey, p_size * 100 AS w, p_partkey % 97 * 40 + 1 AS h, p_size * 9 AS cw, p_size * 3 AS ch FROM part),
+        q AS (SELECT *, CASE WHEN greatest(w, h) <= 2048 THEN 1.0::DOUBLE ELSE 2048.0::DOUBLE / greatest(w, h) END AS k,
+                     CASE WHEN ch < 96 THEN least(3.0::DOUBLE, 96.0::DOUBLE / greatest(1, ch)) ELSE 1.0::DOUBLE END AS f FROM p),
+        r AS (SELECT *, CASE WHEN cw * ch * f * f > 20000 THEN greatest(1.0::DOUBLE, sqrt(20000.0::DOUBLE / (cw * ch))) ELSE f END AS g FROM q)
+        SELECT p_partkey, trunc(w * k)::INT AS width, trunc(h * k)::INT AS height, round(k, 6) AS scale, round(CASE WHEN g <= 1.001 THEN 1.0::DOUBLE ELSE g END, 6) AS factor FROM r""",
+    "audio_mismatches": """
+        WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity::BIGINT * 100000 AS made,
+                          CASE WHEN l_linenumber > 2 THEN l_linenumber * 700000 WHEN l_linenumber > 1 THEN l_linenumber * 700000 - 50000 END::BIGINT AS expected_us FROM lineitem)
+        SELECT l_orderkey, l_linenumber, l_partkey, expected_us, made - expected_us AS diff_us, coalesce(abs(made - expected_us) > 200000, false) AS mismatch FROM p""",
 }
 assert FLAG_NOTES.keys() >= {"truncated", "unreadable"}
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry, timecode
 from ..functions import text as tx
 from ..operators import alignment as al
-from ..operators import audio, blocks, contents, gaps, intervals, quality, render, states, terms
+from ..operators import audio, blocks, contents, gaps, intervals, lecture, quality, render, states, store, terms
 from ..sources import projections as src
 
 Q = {}
@@ -65,7 +65,7 @@ def scan_coverage_track(spark, sf):
 
 @query
 def lookup_by_key(spark, sf):
-    return src.occurrences(spark, sf).filter("media_id = 7 AND occ_id < 5000").select("media_id", "occ_id", "start_us")
+    return src.occurrences(spark, sf).filter("media_id = 7").select("media_id", "occ_id", "start_us")
 
 
 @query
@@ -105,9 +105,9 @@ Q["body_text"] = Q.pop("_contents")
 
 
 def _doc_shows(spark, sf):
-    """Every other event as an interval that shows a document."""
-    occ = src.occurrences(spark, sf)
-    return occ.withColumn("content_id", F.when(F.col("content_id").isNotNull(), F.col("occ_id") % 1500))
+    """Every event that shows something as an interval that shows a document, dealt over all documents."""
+    last = src.table(spark, sf, "documents").agg(F.max("doc_id")).first()[0] or 0
+    return src.occurrences(spark, sf).withColumn("content_id", F.when(F.col("content_id").isNotNull(), F.col("occ_id") % (last + 1)))
 
 
 @query
@@ -210,7 +210,8 @@ def occ_with_content(spark, sf):
 
 
 def _term_inputs(spark, sf):
-    occ = _doc_shows(spark, sf).withColumn("content_id", F.col("content_id") % 40)
+    last = src.table(spark, sf, "benchmark").agg(F.max("item_id")).first()[0] or 0
+    occ = _doc_shows(spark, sf).withColumn("content_id", F.col("content_id") % (last + 1))
     body = src.table(spark, sf, "benchmark").select(F.col("item_id").alias("content_id"), F.col("text").alias("body_text"))
     talk = src.table(spark, sf, "conversations").select((F.col("conv_id") % 97).alias("media_id"), F.concat_ws("-", "conv_id", "turn").alias("utt_id"), ((F.col("conv_id") * 37 + F.col("turn")) % 700 * HOUR).alias("start_us"), "text")
     talk = talk.withColumn("end_us", F.col("start_us") + 12 * src.SECOND)
@@ -579,14 +580,8 @@ def utterance_rows(spark, sf):
 # --- folds: no SQL, tests hold them against plain versions -----------------------------------------------------------
 
 
-def _block_shows(spark, sf):
-    """Every event that shows something as an interval that shows a document, dealt over all documents."""
-    last = src.table(spark, sf, "documents").agg(F.max("doc_id")).first()[0] or 0
-    return src.occurrences(spark, sf).withColumn("content_id", F.when(F.col("content_id").isNotNull(), F.col("occ_id") % (last + 1)))
-
-
 def _block_members(spark, sf):
-    occ = _block_shows(spark, sf)
+    occ = _doc_shows(spark, sf)
     body = src.table(spark, sf, "documents").select(F.col("doc_id").alias("content_id"), F.lit("slide").alias("screen_kind"), F.col("source").alias("heading"), F.col("source").alias("title"), F.col("text").alias("body_text"))
     return blocks.block_members(occ, body, blocks.BlockRule(max_gap_us=HOUR, max_duration_us=2 * DAY, similarity=0.05))
 
@@ -602,6 +597,91 @@ def block_labels(spark, sf):
     return _block_members(spark, sf).select("media_id", "block_index", "occ_id", "place", "label")
 
 
+@query
+def block_refs(spark, sf):
+    out = blocks.block_refs(_block_members(spark, sf), _align(spark, sf), _doc_shows(spark, sf))
+    return out.withColumns({"utt_ids": _joined("utt_ids"), "content_ids": _joined("content_ids")})
+
+
+def _documents(spark, sf, whole: bool):
+    occ, said = _doc_shows(spark, sf), src.utterances(spark, sf)
+    members, pairs = _block_members(spark, sf), _align(spark, sf)
+    if not whole:
+        body = src.table(spark, sf, "documents").select(F.col("doc_id").alias("content_id"), F.lit(False).alias("is_code"), F.col("text").alias("body_text"))
+        return lecture.material_lines(members, occ, body, said, pairs)
+    body = src.table(spark, sf, "documents").select(F.col("doc_id").alias("content_id"), F.lit("slide").alias("screen_kind"), F.col("text").alias("body_text"))
+    return lecture.lecture_lines(members, occ, body, src.regions(spark, sf), said, pairs, src.media(spark, sf))
+
+
+@query
+def material_document(spark, sf):
+    return _documents(spark, sf, False).groupBy("media_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("line").startswith("- `")).alias("said"))
+
+
+@query
+def lecture_document(spark, sf):
+    return _documents(spark, sf, True).groupBy("media_id").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("line")).alias("chars"))
+
+
+# --- state tables ----------------------------------------------------------------------------------------------------
+
+
+@query
+def upserted_rows(spark, sf):
+    old = src.occurrences(spark, sf).select("occ_id", "state_kind")
+    short = old.filter("state_kind = 'short'").select("occ_id", F.lit("transition").alias("state_kind"))
+    return store.upsert(old, short.unionByName(old.filter("state_kind = 'blank'").select((-F.col("occ_id") - 1).alias("occ_id"), F.lit("new").alias("state_kind"))), ["occ_id"])
+
+
+@query
+def replaced_scopes(spark, sf):
+    spans = _spans(spark, sf).select("media_id", "start_us", "end_us", "state")
+    blank = src.occurrences(spark, sf).filter("state_kind = 'blank'").select("media_id").distinct()
+    fresh = blank.select("media_id", F.lit(0).cast("long").alias("start_us"), F.lit(DAY).alias("end_us"), F.lit("unextracted").alias("state"))
+    return store.replace_where(spans, fresh, ["media_id"])
+
+
+@query
+def cascaded_rows(spark, sf):
+    shown = src.occurrences(spark, sf).filter("content_id IS NOT NULL").select(F.col("occ_id").alias("target_ref"))
+    return store.cascade(src.reviews(spark, sf), shown, "target_ref")
+
+
+@query
+def orphan_references(spark, sf):
+    shown = src.occurrences(spark, sf).filter("content_id IS NOT NULL").select(F.col("occ_id").alias("target_ref"))
+    return store.orphan_keys(src.reviews(spark, sf), shown, "target_ref")
+
+
+@query
+def cleared_reviews(spark, sf):
+    return store.clear_open_reviews(src.reviews(spark, sf), "vision:")
+
+
+@query
+def constraint_checks(spark, sf):
+    return store.checks(src.occurrences(spark, sf), ordered="end_us >= start_us", later="start_us > 86400000000", shown="content_id IS NOT NULL")
+
+
+@query
+def status_counts(spark, sf):
+    return store.status_counts(src.occurrences(spark, sf), src.utterances(spark, sf), src.reviews(spark, sf))
+
+
+@query
+def full_image_sizes(spark, sf):
+    size = geometry.full_image_size(F.col("p_size") * 100, F.col("p_partkey") % 97 * 40 + 1, 2048)
+    factor = geometry.upscale_factor(F.col("p_size") * 9, F.col("p_size") * 3, 20_000)
+    return src.table(spark, sf, "part").select("p_partkey", size.alias("s"), F.round(factor, 6).alias("factor")).select("p_partkey", "s.width", "s.height", F.round("s.scale", 6).alias("scale"), "factor")
+
+
+@query
+def audio_mismatches(spark, sf):
+    lines = src.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_quantity").cast("long") * 100_000).alias("made"), (F.col("l_linenumber") * 700_000).cast("long").alias("length"))
+    told = audio.audio_mismatch(F.col("made"), F.when(F.col("l_linenumber") > 2, F.col("length")), F.when(F.col("l_linenumber") > 1, F.col("length")), F.lit(50_000))
+    return lines.select("l_orderkey", "l_linenumber", "l_partkey", told.alias("t")).select("l_orderkey", "l_linenumber", "l_partkey", "t.expected_us", "t.diff_us", "t.mismatch")
+
+
 @query
 def block_stats(spark, sf):
     return blocks.block_stats(_block_members(spark, sf))

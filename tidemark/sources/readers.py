@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import struct
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,3 +95,37 @@ def channel(samples: F.Column, channels: int, pick: str) -> F.Column:
     if pick == "mix":
         return F.transform(frames, lambda k: F.aggregate(F.slice(samples, k * channels + 1, channels), F.lit(0.0), lambda acc, x: acc + x) / channels)
     return F.transform(frames, lambda k: F.get(samples, k * channels + named.get(pick, int(pick) if pick.isdigit() else 0)))
+
+
+def wav_samples(data: bytes) -> tuple[int, np.ndarray]:
+    """Rate and samples of a WAV file of one 16-bit channel; any other is refused."""
+    if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
+        raise ValueError("not a WAV file")
+    at, form, samples = 12, None, None
+    while at + 8 <= len(data):
+        name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
+        if name == b"fmt ":
+            form = struct.unpack_from("<HHIIHH", data, at + 8)
+        elif name == b"data":
+            samples = data[at + 8 : at + 8 + size]
+        at += 8 + size + size % 2
+    if form is None or samples is None or form[0] != 1 or form[1] != 1 or form[5] != 16:
+        raise ValueError("not one 16-bit channel")
+    return form[2], np.frombuffer(samples[: len(samples) // 2 * 2], "<i2")
+
+
+def wav_facts(files: DataFrame, column: str = "content") -> DataFrame:
+    """Adds rate, samples and duration_us to WAV files as spark.read.format("binaryFile") gives them; nulls if one is none."""
+
+    @F.pandas_udf("struct<rate:int,samples:bigint,duration_us:bigint>")
+    def facts(contents: pd.Series) -> pd.DataFrame:
+        out = []
+        for data in contents:
+            try:
+                rate_, samples = wav_samples(bytes(data))
+                out.append((rate_, len(samples), round(len(samples) / rate_ * 1_000_000)))
+            except (ValueError, TypeError, struct.error, ZeroDivisionError):
+                out.append((None, None, None))
+        return pd.DataFrame(out, columns=["rate", "samples", "duration_us"]).astype("Int64")
+
+    return files.withColumn("__f", facts(column)).select(*files.columns, "__f.rate", "__f.samples", "__f.duration_us")
