@@ -55,9 +55,41 @@ def test_long_pages_take_linear_time():
     assert time.perf_counter() - began < 30
 
 
-def test_blocks_have_words_and_links():
-    got = [(b.text, b.words, b.linked, b.place, b.heading) for b in blocks_of("<nav><a>x y</a></nav><article><h2>T</h2>a <a>b c</a></article>")]
-    assert got == [("x y", 2, 2, -1, 0), ("T", 1, 0, 1, 1), ("a b c", 3, 2, 1, 0)]
+def test_blocks_have_words_links_and_signs():
+    got = [(b.text, b.words, b.linked, b.heading, b.article, round(b.article_share, 2), b.aside, round(b.aside_share, 2)) for b in blocks_of("<nav><a>x y</a></nav><article><h2>T</h2>a <a>b c</a><div class='ad-box social-history'>d</div></article>")]
+    assert got == [("x y", 2, 2, 0, 0, 0.71, 2.0, 0.29), ("T", 1, 0, 1, 1, 0.71, 0.0, 0.0), ("a b c", 3, 2, 0, 1, 0.71, 0.0, 0.0), ("d", 1, 0, 0, 1, 0.71, 1.0, 0.14)]
+
+
+def test_words_in_a_class_that_only_sound_like_something_else():
+    assert T1 in main_text(f"<article><h1>T</h1><section class='social-history'><p>{P1}</p><p>{P2}</p></section></article>")
+
+
+@pytest.mark.parametrize("tag", ["button", "select", "video", "svg"])
+def test_unclosed_elements_end_at_the_next_block(tag):
+    assert main_text(f"<article><h1>A title of it</h1><p>{P1} <{tag}>x</p><p>{P2}</p></article>") == f"A title of it\n{T1}\n{T2}"
+
+
+def test_formulas_are_text():
+    assert main_text(f"<article><p>{P1} So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>") == f"{T1} So x=2 holds."
+
+
+def test_a_teaser_in_an_article_element_is_not_the_page():
+    page = f"<div class='content'><h1>A title of it</h1><p>{P1} {P1}</p><p>{P2} {P1}</p><p>{P1} {P1} {P1}</p></div><article><p>More to read here <a href=x>on this and that</a></p></article>"
+    assert main_text(page) == f"A title of it\n{T1} {T1}\n{T2} {T1}\n{T1} {T1} {T1}"
+
+
+def test_the_tree_decides_where_no_element_does():
+    """Without article elements, hints and forms: blocks stay or go by words, links and neighbours, and a tree that is turned
+    round gives the rest of the page."""
+    from dataclasses import replace
+
+    from tidemark.llm.html_extract import FEATURES, trained
+
+    page = f"<div>{MENU}</div><div><h1>A title of it</h1><p>{P1}</p><p>{P2}</p><p>{P1}</p></div><div><a href=x>Next page</a></div><div>{MENU}</div>"
+    other = replace(trained(), value=1 - trained().value)
+    assert main_text(page) == f"A title of it\n{T1}\n{T2}\n{T1}" and main_text(page, other) == "Home\nNews\nAbout us\nNext page\nHome\nNews\nAbout us"
+    inner = trained().left != range(len(trained().left))
+    assert {"words", "links", "links_before", "words_before", "links_after"} <= {FEATURES[f] for f in trained().feature[inner]}
 
 
 def test_pages(spark):

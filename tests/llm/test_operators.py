@@ -1,4 +1,5 @@
 import hashlib
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -6,7 +7,8 @@ import pytest
 from tokenizers import Tokenizer
 
 from tidemark.llm import bpe, exact_dedup, line_dedup, minhash, mixing, quality_classifier, quality_rules, queries, substring_dedup, suffix_dedup, suffix_sort
-from tidemark.llm.kernels import Prefix, segments, stretch_codes
+from tidemark.llm.kernels import CHUNK, Prefix, mix, segments, stretch_codes
+from tidemark.llm.textstats import Stretch
 
 from . import brute
 
@@ -272,6 +274,58 @@ def test_mixing(docs, nothing):
     assert mixing.mix_report(nothing).count() == 0
 
 
+def test_words_taken_by_a_mix_one_by_one(spark, docs):
+    """taken, target and sizes recomputed plainly: every slot of every shard, word by word."""
+    block, by = 8, {}
+    for r in {(r[0], r[1], r[3]) for r in ROWS if r[0] is not None}:
+        by.setdefault(r[2], []).append((r[0], len(brute.words(r[1]))))
+    names = sorted(by, key=lambda x: (x is None, x or ""))
+    words_of = [[d for d, n in sorted(by[name]) for _ in range(n)] for name in names]
+    size, weight = [len(w) for w in words_of], [k % 3 + 1 for k in range(len(names))]
+    goal, full = [0.0] * len(names), set()
+    while len(full) < len(names):
+        rest = sum(size) - sum(3 * size[k] for k in full)
+        share = {k: rest * weight[k] / sum(weight[j] for j in range(len(names)) if j not in full) for k in range(len(names)) if k not in full}
+        over = {k for k, x in share.items() if x > 3 * size[k]}
+        if not over:
+            break
+        full |= over
+    for k in range(len(names)):
+        goal[k] = 3.0 * size[k] if k in full else share[k]
+    blocks = [-(-n // block) for n in size]
+    quota = np.array([min(round(g * b / n), 3 * b) if n else 0 for g, b, n in zip(goal, blocks, size, strict=True)])
+    plan, taken = mixing.Plan(quota, np.maximum(1, blocks), 1), {}
+    for _, first, count in plan.draws(np.arange(plan.shards)):
+        for s in range(len(names)):
+            for slot in range(int(first[s]), int(first[s] + count[s])):
+                epoch, i = divmod(slot, blocks[s])
+                key = mix(np.array([epoch * len(names) + s + 1], np.uint64))
+                at = int(mixing.permuted(np.array([i]), np.array([blocks[s]]), key)[0])
+                for d in words_of[s][at * block : (at + 1) * block]:
+                    taken[d] = taken.get(d, 0) + 1
+    told = {d: (n, size[k], round(goal[k], 6), taken.get(d, 0)) for k, name in enumerate(names) for d, n in by[name]}
+    rows_ = sorted({(r[0], r[1], r[3]) for r in ROWS if r[0] is not None}, key=repr)
+    got = mixing.mix_report(spark.createDataFrame(rows_, "doc_id long, text string, source string"), block=block).collect()
+    assert {r.doc_id: (r["size"], r.source_size, round(r.target, 6), r.taken) for r in got} == told
+
+
+def test_repeated_rows_of_a_mix_count_once(spark):
+    rows_ = [(k % 4, " ".join(f"w{k % 4}{i}" for i in range(30)), "a", k) for k in range(12)] + [(None, "x y z", None, 1), (None, "x y z", None, 2), (7, None, "a", 3)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, source string, th int")
+    one = df.dropDuplicates(["doc_id", "text", "source"])
+    assert rows(mixing.mix_documents(df, block=4), "doc_id", "text", "source") == rows(mixing.mix_documents(one, block=4), "doc_id", "text", "source")
+
+
+def test_multinomial_draws_stay_in_the_quota():
+    rng = np.random.default_rng(0)
+    quota = np.array([500, 3, 0, 90_000_000_000])
+    got = np.array([mixing.multinomial(rng, quota, 10_000) for _ in range(200)])
+    assert (got.sum(axis=1) == 10_000).all() and (got <= quota).all() and got[:, 3].min() > 9_990
+    even = np.array([mixing.multinomial(rng, np.array([10_000, 30_000]), 1000)[0] for _ in range(500)])
+    assert abs(even.mean() - 250) < 3 and 10 < even.std() < 18  # a multinomial's is 13.7
+    assert mixing.multinomial(rng, quota[:3], 503).tolist() == [500, 3, 0]
+
+
 def test_mixed_documents(docs, nothing):
     taken = {}
     for r in mixing.mix_report(docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), block=8).collect():
@@ -321,6 +375,47 @@ def test_quality_classifier(spark, docs, nothing):
     assert {r.score for r in quality_classifier.quality_scores(docs, none).collect()} == {0.5}
 
 
+def test_scores_are_those_of_a_walk_down_every_tree(spark):
+    """The query's scores, tree by tree and node by node, and labels with columns of clashing names."""
+    data = "/root/testdata/sf0.001"
+    documents, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    made = []
+    fit = quality_classifier.fit
+    quality_classifier.fit = lambda *a: made.append(fit(*a)) or made[-1]
+    try:
+        out = {r.doc_id: r for r in quality_classifier.quality_scores(documents, labels.selectExpr("*", "1 as x", "'t' as text", "2.0 as score", "3 as held_out")).collect()}
+    finally:
+        quality_classifier.fit = fit
+    forest = made[0]
+    assert len(out) == documents.count() and len(forest.leaf) > 10
+    for r in documents.collect():
+        raw = np.frombuffer((r.text or "").encode(), np.uint8)
+        x = quality_classifier.statistics(Stretch(raw, np.array([0, len(raw)])))[0]
+        margin = forest.start
+        for feature, threshold, leaf in zip(forest.feature, forest.threshold, forest.leaf, strict=True):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if x[feature[node]] > threshold[node] else 1)
+            margin += leaf[node - len(feature)]
+        assert abs(out[r.doc_id].score - 1 / (1 + np.exp(-margin))) < 1e-8 and out[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_documents_longer_than_a_stretch(spark):
+    """Texts of over a megabyte with repeats inside and across, held against the plain versions by parts that can be told."""
+    rng = np.random.default_rng(12)
+    unit = [" ".join(f"{x:05x}" for x in rng.integers(0, 1 << 20, 12)) for _ in range(15_000)]
+    long = "\n".join(unit)
+    rows_ = [(1, long), (2, "\n".join(unit[4000:4003]) + " tail of it"), (3, long + "\nlast one line of five"), (4, None), (5, "")]
+    assert len(long) > 2 * CHUNK
+    df = spark.createDataFrame(rows_, "doc_id long, text string")
+    assert rows(quality_rules.quality_rules(df), "doc_id", *quality_rules.MEASURES, "base_failed", "kept") == sorted((d, *brute.rules(t)) for d, t in rows_)
+    assert rows(substring_dedup.substring_dedup(df), "doc_id", "n_words", "n_removed", "kept_text") == sorted(brute.windows13(rows_))
+    assert rows(line_dedup.line_dedup(df, least=1), "doc_id", "n_removed") == [(1, 0), (2, 3), (3, 15_000), (4, 0), (5, 0)]
+    assert rows(minhash.near_duplicates(df), "doc_id", "component_id") == [(1, 1), (2, 2), (3, 1), (4, 4), (5, 5)]
+    size = len(long)
+    assert rows(suffix_dedup.suffix_dedup(df), "doc_id", "n_bytes", "n_removed") == [(1, size, size), (2, 226, 215), (3, size + 22, size), (4, 0, 0), (5, 0, 0)]
+
+
 def test_boosting_learns_an_interaction():
     rng = np.random.default_rng(1)
     x = rng.random((3000, 4))

@@ -196,7 +196,9 @@ def encode_documents(docs: DataFrame, tokenizer: str, text_bytes: int = TEXT_BYT
     """doc_id, ids ARRAY<INT>, decoded: every whole text encoded and decoded again (null: empty text, no ids).
 
     tokenizer: path of a byte-level BPE file in the tokenizers format, readable on every worker. One narrow pass:
-    nothing is shuffled, repeated rows are encoded as often as they occur, extra columns are not read.
+    nothing is shuffled, repeated rows are encoded as often as they occur, null doc_ids stay null, an empty table gives no
+    rows, extra columns are not read. A text is encoded whole, however long: the index then covers it alone. The index
+    runs over the pretokens of a stretch that have not been merged before, each once, up to MERGE_BYTES of them.
     """
 
     def run(batches):

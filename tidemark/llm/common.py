@@ -40,6 +40,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark, self.root, self.paths = spark, f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex[:12]}", {}
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)  # what the result still reads
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
         path, conf = f"{self.root}/{name}", self.spark.conf

@@ -97,16 +97,28 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def keep_unique(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns as they are, that stay; of rows that agree in doc_id and text too, one."""
-    found = exact_dedup(docs)
-    return keep_marked(docs, found)
+    """The rows of docs that stay, all columns as they are.
+
+    Null texts count as empty, so one document without text stays; a null doc_id loses to any other; of rows that agree
+    in doc_id (null too) and text, one stays whatever else they hold. An empty table gives none; extra columns go along,
+    those that begin with __ must not be there.
+    """
+    return keep_marked(docs, exact_dedup(docs))
 
 
 def keep_marked(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of docs whose (doc_id, th) `found` has as kept, once each. Only doc_ids and hashes of rows that go are
-    dealt beside the texts; texts are compared only if a kept (doc_id, th) occurs twice."""
-    gone = found.filter("NOT kept").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
+    """The rows of docs whose (doc_id, th) `found` has as kept, once each: of rows that agree in doc_id (null too) and text,
+    one stays. Only doc_ids and hashes of rows that go are dealt beside the texts; texts are compared only where a kept
+    (doc_id, th) occurs twice."""
     hashed = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]) & (hashed == gone["__th"]), "left_anti")
-    twice = found.filter("kept").groupBy("doc_id", "th").count().filter("count > 1 AND doc_id IS NOT NULL")
-    return left if twice.isEmpty() else left.dropDuplicates(["doc_id", "text"])
+
+    def of(keys: DataFrame, kind: str, df: DataFrame) -> DataFrame:
+        keys = keys.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
+        return df.join(keys, df["doc_id"].eqNullSafe(keys["__id"]) & (hashed == keys["__th"]), kind)
+
+    gone = found.filter("NOT kept").select("doc_id", "th").distinct()
+    left = of(gone, "left_anti", docs)
+    twice = found.filter("kept").groupBy("doc_id", "th").count().filter("count > 1")
+    if twice.isEmpty():
+        return left
+    return of(twice, "left_anti", left).unionByName(of(twice, "left_semi", left).dropDuplicates(["doc_id", "text"]))

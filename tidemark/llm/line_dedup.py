@@ -2,12 +2,16 @@
 
 A line is the set of its words. Words are ordered by rarity in the corpus (counts in a sketch of fixed size, so the
 order is total and the same everywhere); only the rarest words of a line, its prefix, are indexed. Lines that share a
-prefix word are held against the length filter, the positional filter and a bound from 128-bit word maps; what is
-left is verified on full sets. A line that matches an earlier one is removed.
+prefix word are held against the length filter, the positional filter and a bound from 128-bit parity maps of their
+words (the maps of two sets differ in no more bits than the sets in words); what is left is verified on full sets. A line
+that matches an earlier one is removed.
 
 Index entries travel as packed arrays, one row per stretch of text and bucket of words; equal sets collapse in the
-stretch and again in the bucket. A later line needs one earlier match, so an index list gives one candidate per line and
-not all its pairs. Lines whose candidates fail though their list had more get all the rest in a second round.
+stretch and again in the bucket. A later line needs one earlier match, so its two likeliest candidates of all its lists
+are verified and not all its pairs. Where both fail though there were more, a second round goes through the lists that
+had more, which the first one has written, and gives such lines all their candidates.
+
+A set is known by two 64-bit hashes of its words.
 
 Sets so small that they can be similar only to an equal set are not indexed: the grouping by set hash settles them.
 """
@@ -26,8 +30,8 @@ from .kernels import chunks, mix, word_codes, words
 #: Slots of the word-count sketch: 4 MB of counts, whatever the corpus.
 LOG_SLOTS, SLICES = 20, 16
 #: A line leaves an index list in the first round with this many candidates; one whose word map is at most half as far
-#: off as it may be counts as STRONG of them.
-TRIES, STRONG = 64, 32
+#: off as it may be counts as STRONG of them. BEST: candidates of a line that are verified in the first round.
+TRIES, STRONG, BEST = 64, 32, 2
 #: Bytes of index entries that are joined at once.
 BUCKET_BYTES = 16 << 20
 #: What an index entry is: word, set, place of the line, size of the set, rank of the word in it, word map.
@@ -66,8 +70,12 @@ class Lines:
         self.word, self.line = word[keep], line[keep]
         self.bounds = np.concatenate(([0], np.cumsum(np.bincount(self.line, minlength=len(self.doc)))))
         self.size = np.diff(self.bounds)
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(self.word ^ np.uint64(0x2545F4914F6CDD1D)))))
-        self.code = mix(sums[self.bounds[1:]] - sums[self.bounds[:-1]] + self.size.astype(np.uint64))
+        self.code, self.other = self.hashed(0x2545F4914F6CDD1D), self.hashed(0x9FB21C651E98DF25)
+
+    def hashed(self, salt: int) -> np.ndarray:
+        """A 64-bit hash of each set."""
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(self.word ^ np.uint64(salt)))))
+        return mix(sums[self.bounds[1:]] - sums[self.bounds[:-1]] + self.size.astype(np.uint64))
 
     def firsts(self, least: int) -> np.ndarray:
         """The first line of each set of at least `least` words."""
@@ -116,10 +124,12 @@ def prefix_entries(lines: Lines, first: np.ndarray, docs: np.ndarray, counts: np
     word, line = word[order], line[order]
     size, own = lines.size[line], lines.size[first]
     rank = np.arange(len(line)) - np.repeat(np.cumsum(own) - own, own)
-    maps, bit = np.zeros((2, len(lines.size)), np.uint64), mix(word) & np.uint64(127)
+    bit = mix(word) & np.uint64(127)
+    one, begin = np.uint64(1) << (bit & np.uint64(63)), (np.cumsum(own) - own)[own > 0]
+    maps = np.zeros((2, len(lines.size)), np.uint64)
     for half in (0, 1):
-        mine = (bit >> np.uint64(6)) == half
-        np.bitwise_or.at(maps[half], line[mine], np.uint64(1) << (bit[mine] & np.uint64(63)))
+        mine = np.where((bit >> np.uint64(6)) == half, one, np.uint64(0))
+        maps[half, first] = np.bitwise_xor.reduceat(mine, begin) if len(begin) else mine
     head = rank < size - -(-percent * size // 100) + 1
     line = line[head]
     values = (word[head], lines.code[line].view(np.int64), docs[lines.doc[line]], lines.number[line], size[head], rank[head], maps[0][line], maps[1][line])
@@ -156,58 +166,107 @@ def unpacked(rows: list[bytes]) -> dict[str, np.ndarray]:
     return {name: np.concatenate(parts) for name, parts in out.items()}
 
 
-def candidates(e: dict[str, np.ndarray], percent: int, probe=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """x (later), y (earlier), more: pairs of sets in one index list that the filters let through.
-
-    The nearest y of each x and list, two likely ones or up to TRIES, and whether the list has others before those; with
-    probe (a mask of sets by c), all y of the sets that it holds."""
-    order = np.lexsort((e["c"], e["line"], e["doc"], e["word"]))
+def listed(e: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Index entries by word, in order of their lines, the first line of each set in each list."""
+    order = np.lexsort((e["line"], e["doc"], e["word"]))
     same = mix(e["word"] ^ mix(e["c"].view(np.uint64)))[order]
-    order = order[np.sort(np.unique(same, return_index=True)[1])]  # the first line of each set in each list
-    e = {k: v[order] for k, v in e.items()}
-    fresh = np.concatenate(([True], e["word"][1:] != e["word"][:-1])) if len(order) else np.zeros(0, bool)
-    place = np.arange(len(order)) - np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0)) if len(order) else order
-    n, pos, m0, m1, c = e["n"].astype(np.int64), e["pos"].astype(np.int64), e["m0"], e["m1"], e["c"]
-    left, back, found = np.flatnonzero((place > 0) & (probe(c) if probe else True)), 1, []
-    tries = np.zeros(len(c), np.int16)
+    order = order[np.sort(np.unique(same, return_index=True)[1])]
+    return {k: v[order] for k, v in e.items()}
+
+
+def candidates(e: dict[str, np.ndarray], percent: int, probe=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """a (later), b (earlier), score, more: places of pairs in one index list that the filters let through.
+
+    The nearest b of each a and list, two likely ones or up to TRIES, and whether the list has others before those; with
+    probe (a mask of sets by c), all b of the sets that it holds. e: as `listed` gives it. The lower the score, the
+    likelier."""
+    fresh = np.concatenate(([True], e["word"][1:] != e["word"][:-1])) if len(e["word"]) else np.zeros(0, bool)
+    index = np.arange(len(fresh))
+    place = (index - np.maximum.accumulate(np.where(fresh, index, 0))).astype(np.int32) if len(fresh) else index
+    n, pos, m0, m1 = e["n"], e["pos"], e["m0"], e["m1"]
+    left, back, found = np.flatnonzero((place > 0) & (probe(e["c"]) if probe else True)), 1, []
+    tries = np.zeros(len(place), np.int16)
     while len(left):
-        a, b = left, left - back
-        need = overlap_needed(n[a], n[b], percent)
-        fit = np.minimum(n[a], n[b]) >= need
-        fit &= np.minimum(pos[a], pos[b]) + 1 + np.minimum(n[a] - pos[a], n[b] - pos[b]) - 1 >= need
-        apart, room = np.bitwise_count(m0[a] ^ m0[b]).astype(np.int64) + np.bitwise_count(m1[a] ^ m1[b]), n[a] + n[b] - 2 * need
-        fit &= apart <= room
-        more = place[a] > back
-        found.append((c[a[fit]], c[b[fit]], more[fit]))
-        tries[a[fit]] += np.where(2 * apart[fit] <= room[fit], STRONG, 1).astype(np.int16)
-        left = left[more] if probe else left[more & (tries[a] < TRIES)]
+        small, large = np.minimum(n[left], n[left - back]), np.maximum(n[left], n[left - back])
+        a = left[100 * small.astype(np.int64) >= percent * large.astype(np.int64)]
+        need = overlap_needed(n[a].astype(np.int64), n[a - back], percent)
+        fit = np.minimum(pos[a], pos[a - back]) + np.minimum(n[a] - pos[a], n[a - back] - pos[a - back]) >= need
+        a, need = a[fit], need[fit]
+        apart = np.bitwise_count(m0[a] ^ m0[a - back]).astype(np.int64) + np.bitwise_count(m1[a] ^ m1[a - back])
+        room = n[a].astype(np.int64) + n[a - back] - 2 * need
+        fit = apart <= room
+        a, apart, room = a[fit], apart[fit], room[fit]
+        found.append((a, a - back, 1000 * apart // np.maximum(room, 1), place[a] > back))
+        tries[a] += np.where(2 * apart <= room, STRONG, 1).astype(np.int16)
+        left = left[place[left] > back]
+        left = left if probe else left[tries[left] < TRIES]
         back += 1
     if not found:
-        return c[:0], c[:0], np.zeros(0, bool)
+        return index[:0], index[:0], index[:0], np.zeros(0, bool)
     return tuple(np.concatenate(p) for p in zip(*found, strict=True))
 
 
-def _join(percent: int, open_=None):
-    """Rows of packed entries, those of one bucket in one partition; gives x, y, more. open_: a broadcast Bloom filter
-    of the sets to look at."""
+JOINED = "x long, y long, score int, more boolean, entries binary"
+
+
+def _joined(x=None, y=None, score=None, more=None, entries=None) -> pa.RecordBatch:
+    n = len(x) if x is not None else len(entries)
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.nulls(n, t) if v is None else pa.array(v, t) for v, t in zip((x, y, score, more, entries), kinds, strict=True)], [c.split()[0] for c in JOINED.split(", ")])
+
+
+def _join(percent: int):
+    """Rows of packed entries, those of one bucket in a row; gives the BEST candidates of each set in each bucket, and packed
+    entries of the lists in which a set had more."""
+
+    def bucket(rows: list[bytes]):
+        e = listed(unpacked(rows))
+        a, b, score, more = candidates(e, percent)
+        order = np.lexsort((score, e["c"][a]))
+        a, b, score, more = a[order], b[order], score[order], more[order]
+        x, y = e["c"][a], e["c"][b]
+        fresh = np.concatenate(([True], x[1:] != x[:-1])) if len(x) else more
+        rank = np.arange(len(x)) - np.maximum.accumulate(np.where(fresh, np.arange(len(x)), 0)) if len(x) else a
+        best, left = rank < BEST, more | (rank >= BEST)
+        rest = np.maximum.reduceat(left, np.flatnonzero(fresh))[np.cumsum(fresh) - 1] if len(x) else left
+        yield _joined(x[best], y[best], score[best].astype(np.int32), rest[best])
+        lists = np.isin(e["word"], np.unique(e["word"][a[rest]]))
+        if lists.any():
+            yield _joined(entries=[b"".join(v[lists].tobytes() for v in e.values())])
+
+    def run(batches):
+        now, rows = None, []
+        for batch in batches:
+            for k, raw in zip(batch.column("bucket").to_pylist(), batch.column("entries").to_pylist(), strict=True):
+                if k != now and rows:
+                    yield from bucket(rows)
+                    rows = []
+                now = k
+                rows.append(raw)
+        if rows:
+            yield from bucket(rows)
+
+    return run
+
+
+def _all(percent: int, open_):
+    """x, y: all candidates of the open sets (a broadcast Bloom filter) in lists that _join has given."""
 
     def run(batches):
-        held: dict[int, list[bytes]] = {}
         for batch in batches:
-            for b, raw in zip(batch.column("bucket").to_pylist(), batch.column("entries").to_pylist(), strict=True):
-                held.setdefault(b, []).append(raw)
-        while held:
-            x, y, more = candidates(unpacked(held.popitem()[1]), percent, (lambda c: open_.value.might_hold(c.view(np.uint64))) if open_ else None)
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(more)], ["x", "y", "more"])
+            for raw in batch.column("entries").to_pylist():
+                e = unpacked([raw])
+                a, b, _, _ = candidates(e, percent, lambda c: open_.value.might_hold(c.view(np.uint64)))
+                yield pa.RecordBatch.from_arrays([pa.array(e["c"][a]), pa.array(e["c"][b])], ["x", "y"])
 
     return run
 
 
-SURVEY = "doc_id long, th long, line int, c long, slice int, counts binary"
+SURVEY = "doc_id long, th long, line int, c long, d long, slice int, counts binary"
 
 
 def _survey(least: int):
-    """One pass over the texts: doc_id, th, line, c of every line that is long enough, and slice, counts of words."""
+    """One pass over the texts: doc_id, th, line, c and d of every line that is long enough, and slice, counts of words."""
     names = [x.split()[0] for x in SURVEY.split(", ")]
 
     def run(batches):
@@ -218,17 +277,17 @@ def _survey(least: int):
                 held += np.bincount(_slot(lines.word), minlength=len(held))
                 fit = np.flatnonzero(lines.size >= least)
                 take = pa.array(lines.doc[fit] + start)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(lines.number[fit].astype(np.int32)), pa.array(lines.code[fit].view(np.int64)), pa.nulls(len(fit), pa.int32()), pa.nulls(len(fit), pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(lines.number[fit].astype(np.int32)), pa.array(lines.code[fit].view(np.int64)), pa.array(lines.other[fit].view(np.int64)), pa.nulls(len(fit), pa.int32()), pa.nulls(len(fit), pa.binary())], names)
         parts = held.reshape(SLICES, -1)
         for k in range(SLICES):
             if parts[k].any():
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64())), pa.array([k], pa.int32()), pa.array([parts[k].tobytes()], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())), pa.array([k], pa.int32()), pa.array([parts[k].tobytes()], pa.binary())], names)
 
     return run
 
 
 def _sets(wanted, standing, least: int):
-    """c, members of the wanted sets, from the documents in which such sets come first."""
+    """c, d, members of the wanted sets, from the documents in which such sets come first."""
 
     def run(batches):
         for batch in batches:
@@ -237,7 +296,7 @@ def _sets(wanted, standing, least: int):
                 lines = Lines(data, at)
                 first = lines.firsts(least)
                 first = first[wanted.value.might_hold(lines.code[first])]
-                yield pa.RecordBatch.from_arrays([pa.array(lines.code[first].view(np.int64)), pa.array([lines.word[lines.bounds[k] : lines.bounds[k + 1]].tobytes() for k in first.tolist()], pa.binary())], ["c", "members"])
+                yield pa.RecordBatch.from_arrays([pa.array(lines.code[first].view(np.int64)), pa.array(lines.other[first].view(np.int64)), pa.array([lines.word[lines.bounds[k] : lines.bounds[k + 1]].tobytes() for k in first.tolist()], pa.binary())], ["c", "d", "members"])
 
     return run
 
@@ -250,46 +309,48 @@ def _verify(percent: int):
                 x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
                 both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("x").filter(pa.array(keep, pa.bool_()))], ["x"])
+            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("d")], ["x", "d"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
 def matched_sets(scratch: Scratch, rows: DataFrame, told: np.ndarray, firsts: DataFrame, percent: int, least: int) -> DataFrame:
-    """x: the hash of every set that is similar to one that comes first earlier. told: word counts by slot. firsts: c,
+    """x, d: the hashes of every set that is similar to one that comes first earlier. told: word counts by slot. firsts: c,
     first (doc_id, line, th)."""
     spark, least = rows.sparkSession, least_indexed(percent, least)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(told.sum(dtype=np.int64)) * 3 * ENTRY_BYTES // (10 * BUCKET_BYTES)))
     counts = spark.sparkContext.broadcast(told)
-    # About three entries to ten words, so a bucket is about BUCKET_BYTES.
-    entries = rows.select("doc_id", "text").mapInArrow(_index(counts, percent, least, buckets), "bucket int, entries binary").repartition(buckets, "bucket")
-    kept = "x long, y long, more boolean"
+    # About three entries to ten words, so a bucket is about BUCKET_BYTES; a task holds one at a time.
+    entries = rows.select("doc_id", "text").mapInArrow(_index(counts, percent, least, buckets), "bucket int, entries binary")
+    joined = scratch.put("joined", entries.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_join(percent), JOINED))
+    scratch.sweep()
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         ends = pairs.select(F.col("x").alias("c")).union(pairs.select("y")).distinct().join(firsts, "c")
         ends = scratch.put(f"ends_{name}", ends.select("c", "first.doc_id", "first.th"))
         n = ends.count()
         blooms = [spark.sparkContext.broadcast(Bloom.build(keys.toDF("key"), n)) for keys in (ends.select("c"), ends.select(F.xxhash64("doc_id", "th")))]
-        sets = rows.select("text", F.xxhash64("doc_id", "th").alias("of")).mapInArrow(_sets(*blooms, least), "c long, members binary")
-        sets = sets.join(ends.select("c"), "c", "left_semi").dropDuplicates(["c"])
-        sets = scratch.put(f"sets_{name}", sets)
-        side = lambda c, m: sets.select(F.col("c").alias(c), F.col("members").alias(m))
-        hits = scratch.put(f"hits_{name}", pairs.join(side("x", "a"), "x").join(side("y", "b"), "y").mapInArrow(_verify(percent), "x long").distinct())
+        sets = rows.select("text", F.xxhash64("doc_id", "th").alias("of")).mapInArrow(_sets(*blooms, least), "c long, d long, members binary")
+        sets = scratch.put(f"sets_{name}", sets.join(ends.select("c").distinct(), "c", "left_semi").dropDuplicates(["c", "d"]))
+        x = sets.select(F.col("c").alias("x"), "d", F.col("members").alias("a"))
+        y = sets.select(F.col("c").alias("y"), F.col("members").alias("b"))
+        hits = scratch.put(f"hits_{name}", pairs.join(x, "x").join(y, "y").mapInArrow(_verify(percent), "x long, d long").distinct())
         scratch.drop(f"ends_{name}", f"sets_{name}")
         scratch.sweep()
         return hits
 
-    tried = entries.mapInArrow(_join(percent), kept).groupBy("x", "y").agg(F.max("more").alias("more"))
+    best = F.sort_array(F.collect_set(F.struct("score", "y")))
+    tried = joined.filter("x IS NOT NULL").groupBy("x").agg(best.alias("best"), F.max("more").alias("more"))
+    tried = tried.select("x", F.slice("best", 1, BEST).alias("best"), (F.col("more") | (F.size("best") > BEST)).alias("more"))
     tried = scratch.put("tried", tried)
-    scratch.sweep()
-    hits = verified(tried.select("x", "y"), "one")
-    open_ = scratch.put("open", tried.filter("more").select("x").distinct().join(hits, "x", "left_anti"))
+    hits = verified(tried.select("x", F.explode("best").alias("of")).select("x", "of.y"), "one")
+    open_ = scratch.put("open", tried.filter("more").select("x").join(hits, "x", "left_anti"))
     if not open_.isEmpty():
         bloom = spark.sparkContext.broadcast(Bloom.build(open_.select(F.col("x").alias("key")), open_.count()))
-        rest = entries.mapInArrow(_join(percent, bloom), kept).select("x", "y").distinct().join(open_, "x", "left_semi")
-        rest = scratch.put("rest", rest.join(tried.select("x", "y"), ["x", "y"], "left_anti"))
-        scratch.sweep()
-        hits = hits.union(verified(rest, "two")).distinct()
+        rest = joined.filter("entries IS NOT NULL").select("entries").mapInArrow(_all(percent, bloom), "x long, y long")
+        rest = rest.union(joined.filter("x IS NOT NULL").select("x", "y")).join(open_, "x", "left_semi").distinct()
+        hits = hits.union(verified(scratch.put("rest", rest), "two")).distinct()
+    scratch.drop("joined")
     return hits
 
 
@@ -306,14 +367,14 @@ def line_dedup(docs: DataFrame, percent: int = 80, least: int = 5) -> DataFrame:
     every = numbered(docs)
     rows = every.filter("doc_id IS NOT NULL AND text <> ''")
     survey = scratch.put("lines", rows.mapInArrow(_survey(least), SURVEY))
-    lines = survey.filter("slice IS NULL").select("doc_id", "th", "line", "c")
+    lines = survey.filter("slice IS NULL").select("doc_id", "th", "line", "c", "d")
     counts = word_counts(survey.filter("slice IS NOT NULL").select("slice", "counts"))
     order = F.struct("doc_id", "line", "th")
-    firsts = scratch.put("firsts", lines.groupBy("c").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("size")))
+    firsts = scratch.put("firsts", lines.groupBy("c", "d").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("size")))
     hits = scratch.put("hits", matched_sets(scratch, rows, counts, firsts.select("c", "first"), percent, least))
-    told = firsts.join(hits.select(F.col("x").alias("c"), F.lit(True).alias("hit")), "c", "left").filter("hit OR size > 1")
+    told = firsts.join(hits.select(F.col("x").alias("c"), "d", F.lit(True).alias("hit")), ["c", "d"], "left").filter("hit OR size > 1")
     told = scratch.put("told", told)
-    gone = lines.join(told, "c").filter(F.coalesce("hit", F.lit(False)) | (order != F.col("first")))
+    gone = lines.join(told, ["c", "d"]).filter(F.coalesce("hit", F.lit(False)) | (order != F.col("first")))
     spans = scratch.put("spans", spans_by_document(gone.select("doc_id", "th", F.col("line").alias("start"), F.lit(1).alias("length"))))
     scratch.drop("lines", "firsts", "told", "hits")
     scratch.sweep()

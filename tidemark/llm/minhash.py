@@ -25,8 +25,8 @@ from .kernels import chunks, mix, run_codes, window_codes, word_codes, words
 SHINGLE, BANDS, ROWS, BITS = 5, 30, 5, 2
 #: How far below the threshold an estimate may lie before a pair is discarded: five standard deviations.
 MARGIN = 0.2
-#: Members of a bucket that are compared in one task.
-BLOCK = 1000
+#: Members of a bucket that are compared in one task, a side; parts that a hot bucket is dealt in before that.
+BLOCK, SALTS = 1000, 16
 
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
@@ -157,6 +157,38 @@ def _likely(percent: int):
     return run
 
 
+def _standing_out(percent: int):
+    """Rows of one block pair of one bucket together, without sets: part and v of members whose signature is near that of a
+    member of another component. Only their sets are fetched."""
+
+    def near(rows: list[tuple]) -> list[int]:
+        sig, comp = np.stack([np.frombuffer(r[2], np.uint8) for r in rows]), np.array([r[1] for r in rows])
+        hit = np.zeros(len(rows), bool)
+        for i in range(1, len(rows)):
+            same = (estimate(sig[i], sig[:i]) >= percent / 100 - MARGIN) & (comp[:i] != comp[i])
+            if same.any():
+                hit[:i] |= same
+                hit[i] = True
+        return [r[0] for r, h in zip(rows, hit.tolist(), strict=True) if h]
+
+    def told(part: int, found: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part] * len(found), pa.int64()), pa.array(found, pa.int64())], ["part", "v"])
+
+    def run(batches):
+        part, rows = None, []
+        for batch in batches:
+            for key, *rest in zip(*(batch.column(c).to_pylist() for c in ("part", "v", "comp", "sig")), strict=True):
+                if key != part:
+                    if len(rows) > 1:
+                        yield told(part, near(rows))
+                    part, rows = key, []
+                rows.append(tuple(rest))
+        if len(rows) > 1:
+            yield told(part, near(rows))
+
+    return run
+
+
 def _across(percent: int):
     """Rows of one block pair of one bucket together: links between members of different components."""
 
@@ -246,15 +278,21 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = SHINGLE) ->
     member = connected_components(scratch, links, "first")
     placed = crowd.join(member, "v", "left").select("band", "v", "size", F.coalesce("root", "v").alias("comp"))
     split = placed.filter("size > 2").groupBy("band").agg((F.min("comp") < F.max("comp")).alias("split")).filter("split").select("band")
-    placed = placed.join(split, "band").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks").cast("long")).cast("int"))
+    # Dealt by a part of the member too, so that no task meets a whole hot bucket.
+    salted = split.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    placed = placed.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(salted, ["band", "salt"])
+    placed = placed.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("v", "band"), F.col("blocks").cast("long")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("v", "comp", F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other")).alias("part"))
-    placed = placed.join(classes.select("v", "n", "sig"), "v").join(sets, "v")
+    placed = scratch.put("placed", placed)
+    signed = placed.join(classes.select("v", "sig"), "v").repartition("part").sortWithinPartitions("part", "v")
+    out = scratch.put("out", signed.mapInArrow(_standing_out(percent), "part long, v long"))
+    placed = placed.join(out, ["part", "v"]).join(classes.select("v", "n", "sig"), "v").join(sets, "v")
     more = placed.repartition("part").sortWithinPartitions("part", F.col("n").desc(), "v").mapInArrow(_across(percent), "u long, w long")
     more = scratch.put("more", more)
     if not more.isEmpty():
         member = connected_components(scratch, links.union(more), "second")
-    scratch.drop("crowd", "sets", "links", "more")
+    scratch.drop("crowd", "sets", "links", "more", "placed", "out")
     scratch.sweep()
 
     labels = classes.select("v", "label").join(member, "v", "left").withColumn("root", F.coalesce("root", "v"))
@@ -267,5 +305,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = SHINGLE) ->
 
 
 def keep_representatives(docs: DataFrame, percent: int = 80, width: int = SHINGLE) -> DataFrame:
-    """The rows of docs, all columns as they are, that near_duplicates keeps; of equal rows, one."""
+    """The rows of docs, all columns as they are, that near_duplicates keeps.
+
+    Null and empty texts and rows with a null doc_id are linked with nothing and stay; of rows that agree in doc_id (null
+    too) and text, one stays. An empty table gives none; extra columns go along, those that begin with __ must not be
+    there."""
     return keep_marked(docs, near_duplicates(docs, percent, width))

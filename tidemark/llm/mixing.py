@@ -1,10 +1,11 @@
 """Mixing sources to target weights.
 
 Each source's documents, in order of doc_id, are packed end to end into blocks of a fixed number of words. The output is
-a run of shards of a fixed number of slots; multinomial draws without replacement (so that totals meet the targets) give
-each shard's slots per source, split down a binary tree whose nodes are seeded by place, so that any executor finds
-any shard's draws on its own. A source's slots run through pseudorandom permutations of its block numbers, one per
-epoch, and blocks are joined by number.
+a run of shards of a fixed number of slots. Multinomial draws give each shard's slots per source: they run down a binary
+tree over the shards, where a node draws how much of each source's quota goes to its left half, and its right half has
+the rest, so that totals meet the targets. Nodes are seeded by place, so any executor finds any shard's draws on its
+own. A source's slots run through pseudorandom permutations of its block numbers, one per epoch, and blocks are joined
+by number.
 """
 
 from __future__ import annotations
@@ -62,7 +63,7 @@ class Plan:
         middle = (low + high) // 2
         left = min(middle * SHARD, self.slots) - low * SHARD
         rng = np.random.Generator(np.random.PCG64([self.seed, low, high]))
-        return draw_without_replacement(rng, quota, left)
+        return multinomial(rng, quota, left)
 
     def draws(self, shards: np.ndarray):
         """(shard, first slot of each source, slots of each source) of every shard asked for."""
@@ -81,20 +82,15 @@ class Plan:
                     stack.append((a, b, q, f, own))
 
 
-def draw_without_replacement(rng: np.random.Generator, quota: np.ndarray, n: int) -> np.ndarray:
-    """Of n draws, how many fall to each source, out of `quota` slots each (normal approximation beyond 10**9)."""
-    out, rest, n = np.zeros_like(quota), int(quota.sum()), int(n)
-    for k, q in enumerate(quota.tolist()):
-        rest -= q
-        if n <= 0:
-            break
-        if q + rest < 10**9:
-            x = int(rng.hypergeometric(q, rest, n)) if q and rest else min(q, n)
-        else:
-            p = q / (q + rest)
-            x = round(rng.normal(n * p, (n * p * (1 - p) * max(0, 1 - n / (q + rest))) ** 0.5))
-        x = min(max(x, n - rest, 0), q, n)
-        out[k], n = x, n - x
+def multinomial(rng: np.random.Generator, quota: np.ndarray, n: int) -> np.ndarray:
+    """A multinomial draw of n slots by quota; what falls to a source beyond its quota is drawn again among the others."""
+    out, room, n = np.zeros_like(quota), quota.copy(), int(n)
+    while n > 0:
+        total = int(room.sum())
+        if n >= total:
+            return out + room
+        got = np.minimum(rng.multinomial(n, room / total), room)
+        out, room, n = out + got, room - got, n - int(got.sum())
     return out
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_extract, line_dedup, minhash, mixing, quality_classifier, quality_rules, substring_dedup, suffix_dedup
+from . import bpe, exact_dedup, html_extract, line_dedup, minhash, mixing, oracle, quality_classifier, quality_rules, substring_dedup, suffix_dedup
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -112,4 +112,8 @@ ORACLE_SQL = {
                     OR 5 * n_stutters > n_words OR 2 * n_dup_lines > n_lines OR 2 * word_chars < 5 * n_words OR word_chars > 12 * n_words) AS kept
         FROM b
     """,
+    "op6_suffix_dedup": oracle.STRINGS,
+    "op7_line_dedup": oracle.LINES,
+    "op9_minhash": oracle.NEAR,
+    "op10_substring_dedup": oracle.SUBSTRING,
 }

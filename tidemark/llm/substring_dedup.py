@@ -22,7 +22,7 @@ from .kernels import Prefix, covered, run_codes, segments, window_codes, word_co
 
 WINDOW, GRAM = 13, 4
 #: Windows of an anchor that one task indexes, at some 250 bytes each.
-ANCHOR_WINDOWS = 1 << 17
+ANCHOR_WINDOWS = 1 << 15
 
 
 def word_cutter(window: int = WINDOW, gram: int = GRAM):

@@ -37,10 +37,14 @@ class Stretch:
         self.data, self.at, self.n = data, at, len(at) - 1
 
     def take(self, rows: np.ndarray) -> "Stretch":
-        sizes = np.diff(self.at)[rows]
-        at = np.concatenate(([0], np.cumsum(sizes)))
-        index = np.repeat(self.at[:-1][rows] - at[:-1], sizes) + np.arange(at[-1])
-        return Stretch(self.data[index], at)
+        """Some of the documents: with the statistics that are known, and with bytes only once another one is asked for."""
+        return Part(self, rows)
+
+    def fresh(self) -> "Stretch":
+        """The same documents, with their words found and nothing else."""
+        out = Stretch(self.data, self.at)
+        out._words = self._words
+        return out
 
     def total(self, mask: np.ndarray) -> np.ndarray:
         """How many bytes of each document the mask marks."""
@@ -146,6 +150,26 @@ class Stretch:
         return self.each(doc[np.cumsum(delta[:-1]) > 0])
 
 
+class Part(Stretch):
+    """Documents of a stretch by row; bytes are copied when a statistic is not known of the whole stretch."""
+
+    def __init__(self, whole: Stretch, rows: np.ndarray) -> None:
+        self.n = len(rows)
+        self._whole, self._rows = whole, rows
+        for name, value in list(vars(whole).items()):
+            if name.startswith("n_") or name == "word_chars":
+                self.__dict__[name] = value[rows]
+
+    @cached_property
+    def at(self) -> np.ndarray:
+        return np.concatenate(([0], np.cumsum(np.diff(self._whole.at)[self._rows])))
+
+    @cached_property
+    def data(self) -> np.ndarray:
+        sizes = np.diff(self.at)
+        return self._whole.data[np.repeat(self._whole.at[:-1][self._rows] - self.at[:-1], sizes) + np.arange(self.at[-1])]
+
+
 def _again(code: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places whose (document, code) occurred before, and places whose (document, code) occurs twice or more."""
     key = mix(code + mix(doc.astype(np.uint64)))
