@@ -198,6 +198,14 @@ def test_line_dedup(docs, nothing):
     assert line_dedup.line_dedup(nothing).count() == 0
 
 
+def test_line_dedup_of_rows_in_any_order(spark):
+    """A set that comes first further down its stretch of rows."""
+    near = [" ".join(f"a{k}" if k != j else "z" for k in range(12)) for j in range(3)]
+    rows_ = [(9, near[0]), (5, near[1]), (3, near[0]), (7, near[2]), (4, near[2])]
+    out = line_dedup.line_dedup(spark.createDataFrame(rows_, "doc_id long, text string").coalesce(1))
+    assert rows(out, "doc_id", "n_lines", "n_removed", "kept_text") == sorted(brute.lines(rows_))
+
+
 def test_line_dedup_second_round(spark):
     """Lines whose best candidate fails while another one holds."""
     import random

@@ -91,13 +91,13 @@ def strings(column: pa.Array) -> list[str]:
 
 
 class Bloom:
-    """A Bloom filter of 64 slices over 64-bit keys, at most 2**MAX_LOG bits (16 MB) whatever the input.
+    """A Bloom filter of 64 slices over 64-bit keys, at most 2**MAX_LOG bits (64 MB) whatever the input.
 
     Beyond that size it fills up and prunes less; it never loses a key. Each slice is built in one partition
     from the keys that fall to it, so no bitmap is merged on the driver, which only lays 64 slices side by side.
     """
 
-    SLICES, MIN_LOG, MAX_LOG = 64, 16, 27
+    SLICES, MIN_LOG, MAX_LOG = 64, 16, 29
 
     def __init__(self, bits: np.ndarray) -> None:
         self.bits = bits
@@ -140,7 +140,7 @@ class Bloom:
 
         parts = keys.select("key", F.pmod("key", F.lit(slices)).alias("slice")).repartition(cls.tasks(log_bits), "slice").select("key").mapInArrow(fill, "slice int, bits binary")
         bits = np.zeros((slices, size), np.uint8)
-        for row in parts.collect():  # at most 16 MB
+        for row in parts.collect():  # at most 64 MB
             bits[row.slice] |= np.frombuffer(row.bits, np.uint8)
         return cls(bits)
 

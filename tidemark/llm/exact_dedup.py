@@ -62,7 +62,7 @@ def repeated_bits(hashes: DataFrame, log_bits: int) -> Bloom:
     keys = hashes.toDF("key").mapInArrow(distinct, "key long, twice boolean").withColumn("slice", F.pmod("key", F.lit(slices)))
     rows = keys.repartition(Bloom.tasks(log_bits), "slice").select("key", "twice").mapInArrow(fill, "slice int, bits binary")
     bits = np.zeros((slices, size), np.uint8)
-    for row in rows.collect():  # at most 16 MB
+    for row in rows.collect():  # at most 64 MB
         bits[row.slice] |= np.frombuffer(row.bits, np.uint8)
     return Bloom(bits)
 

@@ -136,15 +136,32 @@ def prefix_entries(lines: Lines, first: np.ndarray, docs: np.ndarray, counts: np
     return {name: v.astype(t) for (name, t), v in zip(ENTRY, values, strict=True)}
 
 
-def _index(counts, percent: int, least: int, buckets: int):
-    """Packed index entries: a row per stretch of text and bucket."""
+def place_keys(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return mix(doc.astype(np.int64).view(np.uint64) ^ mix(line.astype(np.uint64) + np.uint64(1)))
+
+
+def _places(batches):
+    for batch in batches:
+        doc, line = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "line"))
+        yield pa.RecordBatch.from_arrays([pa.array(place_keys(doc, line).view(np.int64))], ["key"])
+
+
+def _index(counts, percent: int, least: int, buckets: int, places):
+    """Packed index entries: a row per stretch of text and bucket. places: a broadcast Bloom filter of the lines in which
+    sets come first; copies of a set further on are left out (if the filter is full, they meet in the bucket)."""
 
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for start, stop, data, at in chunks(batch.column("text")):
                 lines = Lines(data, at)
-                entry = prefix_entries(lines, lines.firsts(least), ids[start:stop], counts.value, percent)
+                fit = np.flatnonzero(lines.size >= least)
+                doc, number = ids[start:stop][lines.doc[fit]], lines.number[fit]
+                stay = places.value.might_hold(place_keys(doc, number))
+                fit, doc, number = fit[stay], doc[stay], number[stay]
+                fit = fit[np.lexsort((number, doc))]  # rows of a stretch are in any order
+                first = np.sort(fit[np.unique(lines.code[fit], return_index=True)[1]])
+                entry = prefix_entries(lines, first, ids[start:stop], counts.value, percent)
                 bucket = (mix(entry["word"]) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -320,8 +337,9 @@ def matched_sets(scratch: Scratch, rows: DataFrame, told: np.ndarray, firsts: Da
     spark, least = rows.sparkSession, least_indexed(percent, least)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(told.sum(dtype=np.int64)) * 3 * ENTRY_BYTES // (10 * BUCKET_BYTES)))
     counts = spark.sparkContext.broadcast(told)
+    places = spark.sparkContext.broadcast(Bloom.build(firsts.select("first.doc_id", "first.line").mapInArrow(_places, "key long"), firsts.count()))
     # About three entries to ten words, so a bucket is about BUCKET_BYTES; a task holds one at a time.
-    entries = rows.select("doc_id", "text").mapInArrow(_index(counts, percent, least, buckets), "bucket int, entries binary")
+    entries = rows.select("doc_id", "text").mapInArrow(_index(counts, percent, least, buckets, places), "bucket int, entries binary")
     joined = scratch.put("joined", entries.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_join(percent), JOINED))
     scratch.sweep()
 

@@ -93,3 +93,18 @@ STRINGS = """
            sha256(unhex(coalesce(kept, ''))) AS kept_sha256
     FROM d LEFT JOIN m ON d.r = m.r LEFT JOIN e ON d.r = e.r
 """
+
+#: The text of the article element, as all pages of the tables have one, block by block, with the character references that
+#: they use. The query itself knows nothing of this: it judges blocks by their features.
+PAGES = r"""
+    WITH a AS (
+        SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '<!--.*?-->', '', 'gs') AS own FROM pages
+    ),
+    b AS (SELECT page_id, url, regexp_replace(regexp_replace(own, '<br\s*/?>', ' ', 'g'), '</?(?:p|h1|h2|h3|ul|li|div|table|tr|td|pre|blockquote)\b[^>]*>', chr(1), 'g') AS own FROM a),
+    c AS (
+        SELECT page_id, url, list_transform(string_split(regexp_replace(own, '<[^>]+>', '', 'g'), chr(1)),
+               lambda x: trim(regexp_replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))) AS own FROM b
+    ),
+    d AS (SELECT page_id, url, coalesce(array_to_string(list_filter(own, lambda x: x <> ''), chr(10)), '') AS text FROM c)
+    SELECT page_id, url, text, length(text) AS n_chars FROM d
+"""

@@ -112,6 +112,7 @@ ORACLE_SQL = {
                     OR 5 * n_stutters > n_words OR 2 * n_dup_lines > n_lines OR 2 * word_chars < 5 * n_words OR word_chars > 12 * n_words) AS kept
         FROM b
     """,
+    "op1_html_extract": oracle.PAGES,
     "op6_suffix_dedup": oracle.STRINGS,
     "op7_line_dedup": oracle.LINES,
     "op9_minhash": oracle.NEAR,

@@ -50,15 +50,22 @@ def byte_cutter(width: int = WIDTH, gram: int = GRAM):
 def likely(blocks: list[tuple[int, bytes]], width: int, gram: int) -> list[int]:
     """Which segments of one anchor (its place in each, the bytes) can share a string of the full width with another.
 
-    The string holds the anchor, and at least half of what is not the anchor on one side of it: so much is compared."""
-    half = (width - gram + 1) // 2
-    sides = [((0, raw[at - half : at + gram] if at >= half else b""), (1, raw[at : at + gram + half] if at + gram + half <= len(raw) else b"")) for at, raw in blocks]
+    The string holds the anchor and a few bytes less than the rest of its width around it, in one of eight ways of parting
+    them: so much is compared."""
+    whole = width - gram
+    step = max(1, whole // 8)
     seen: dict[tuple[int, bytes], int] = {}
-    for pair in sides:
-        for key in pair:
-            if key[1]:
-                seen[key] = seen.get(key, 0) + 1
-    return [k for k, pair in enumerate(sides) if any(seen.get(key, 0) > 1 for key in pair)]
+    sides = []
+    for at, raw in blocks:
+        keys = []
+        for left in range(0, max(1, whole - step + 1), step):
+            right = max(0, whole - step - left)
+            if at >= left and at + gram + right <= len(raw):
+                keys.append((left, raw[at - left : at + gram + right]))
+        for key in keys:
+            seen[key] = seen.get(key, 0) + 1
+        sides.append(keys)
+    return [k for k, keys in enumerate(sides) if any(seen[key] > 1 for key in keys)]
 
 
 def sort_shards(width: int, gram: int, shard_bytes: int, store_bytes: int):
