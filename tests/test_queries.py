@@ -52,6 +52,6 @@ def test_every_query_is_registered():
 def test_blocks_show_documents_of_the_whole_table(spark):
     data = "/root/testdata/sf0.1"
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id")
-    shown = timeline._block_shows(spark, data).join(docs.withColumnRenamed("doc_id", "content_id"), "content_id").select("content_id").distinct().count()
+    shown = timeline._doc_shows(spark, data).join(docs.withColumnRenamed("doc_id", "content_id"), "content_id").select("content_id").distinct().count()
     print("documents shown", shown, "of", docs.count())
     assert shown > 0.9 * docs.count()

@@ -124,3 +124,63 @@ def test_config_sections(tmp_path):
     with pytest.raises(ValueError):
         jobs.merged_config({"scan": {"intervall": 1}})
     assert jobs.quick_hash(3, b"a", b"b") != jobs.quick_hash(4, b"a", b"b") and jobs.input_hash(["a", "b"]) != jobs.input_hash(["ab"])
+
+
+def test_a_screen_is_read_whole_then_in_parts():
+    import json
+
+    from tidemark.sources.adapters import Reading, ScreenReader, ScriptedAdapter
+
+    class Scripted(ScriptedAdapter):
+        def read(self, request):
+            kind = request["kind"]
+            return super().read({"key": kind if kind != "tile" else (request["top"], request["bottom"])})
+
+    long = "a region with quite some words in it that was read twice by the model"
+    full = json.dumps({"screen_kind": "slide", "output_complete": True, "regions": [{"text": long, "bbox": [0, 0, 9, 9]}, {"text": long, "bbox": [0, 0, 9, 9]}, {"text": "un?ear", "bbox": [0, 9, 9, 20], "unreadable": ["?"]}]})
+    inner = Scripted({"full": Reading("ok", full), "crop": Reading("ok", json.dumps({"text": "unclear"}))})
+    got = json.loads(ScreenReader(inner).read({"height": 400}).payload)
+    assert [r["text"] for r in got["regions"]] == [long, "unclear"] and got["flags"] == ["duplicate_regions_removed", "unreadable"]
+    assert got["regions"][1]["flags"] == ["reread_differs_from_full_pass"] and inner.calls == 2
+    tile = lambda text: Reading("ok", json.dumps({"regions": [{"text": text, "bbox": [0, 1, 5, 6]}]}))
+    inner = Scripted({"full": Reading("error"), (0, 400): Reading("schema_invalid"), (0, 200): tile("up"), (200, 400): tile("down")})
+    got = json.loads(ScreenReader(inner, retries=0).read({"height": 400}).payload)
+    assert [(r["text"], r["bbox"][1]) for r in got["regions"]] == [("up", 1), ("down", 201)] and got["flags"] == ["fallback_split_read"]
+    assert ScreenReader(Scripted({}), retries=0).read({"height": 100}) == Reading("error", detail="not_extracted")
+
+
+def test_markers_chunks_and_areas():
+    import json
+
+    import numpy as np
+
+    from tidemark.sources.adapters import ChunkAdapter, MarkerAdapter, Reading, ScriptedAdapter, area_unchanged, marker
+
+    screen = np.full((20, 60), 90, np.uint8)
+    screen[:4, :48] = marker(1234)
+    assert MarkerAdapter({1234: Reading("ok", "{}")}).read({"pixels": screen.tolist()}) == Reading("ok", "{}")
+    sound = ChunkAdapter(lambda r: [(0, 5, "a"), (5, r["say"], "b")], "test")
+    assert json.loads(sound.read({"start_us": 100, "end_us": 110, "say": 10}).payload)[1] == {"start_us": 105, "end_us": 110, "text": "b"}
+    assert sound.read({"start_us": 100, "end_us": 110, "say": 11}).status == "schema_invalid"
+    area = ScriptedAdapter({1: Reading("ok", json.dumps({"lines": ["x "]})), 2: Reading("ok", json.dumps({"text": "x"})), 3: Reading("ok", json.dumps({"text": "y"}))})
+    same = lambda a, b: area_unchanged(area, {"key": a}, {"key": b}, str.strip)
+    assert (same(1, 2), same(1, 3), same(1, 4)) == (True, False, None)
+
+
+def test_reviews_of_a_run(spark):
+    from tidemark.operators import reviews
+
+    occ = spark.createDataFrame([(1, "c"), (2, "c"), (3, None)], "occ_id long, content_id string")
+    body = spark.createDataFrame([("c", ["truncated"])], "content_id string, flags array<string>")
+    region = spark.createDataFrame([("c", 0, ["unreadable", "crop_reread_empty", "crop_reread_failed"], ["q"]), ("c", 1, None, []), ("c", 2, ["x"], ["z"])], "content_id string, reading_order int, flags array<string>, unreadable array<string>")
+    got = sorted((r.target_ref, r.reason, r.detail) for r in reviews.reading_reviews(occ, body, region).collect() if r.target_ref[0] == "1")
+    assert got == [("1", "vision:truncated_output", ""), ("1:0", "vision:crop_reread_failed", ""), ("1:0", "vision:unreadable_text", '["q"]'), ("1:2", "vision:unreadable_text", '["z"]')]
+    checks = spark.createDataFrame([(1, 0, 2, 3)], "media_id long, missing int, non_monotonic int, gaps int")
+    media = spark.createDataFrame([(1, True), (2, None)], "media_id long, is_vfr boolean")
+    assert sorted(r.reason for r in reviews.timeline_reviews(checks, media).collect()) == ["timeline:non_monotonic_pts", "timeline:pts_gaps", "timeline:vfr_suspected"]
+    lengths = spark.createDataFrame([(1, True, -5), (2, False, 0)], "media_id long, mismatch boolean, diff_us long")
+    chunks = spark.createDataFrame([("a", "ok", None), ("b", "error", "gone")], "chunk_id string, status string, detail string")
+    silent = spark.createDataFrame([(7,)], "utt_id long")
+    assert sorted((r.target_ref, r.detail) for r in reviews.speech_reviews(lengths, chunks, silent).collect()) == [("1", "-5"), ("7", ""), ("b", "gone")]
+    terms = spark.createDataFrame([("t", 5), ("u", 4)], "term string, n long")
+    assert [(r.target_ref, r.detail) for r in reviews.term_reviews(terms).collect()] == [("t", "5")]

@@ -25,6 +25,18 @@ def bodies(regions: DataFrame) -> DataFrame:
     return packed.select("content_id", F.array_join(F.transform("parts", lambda p: p["text"]), "\n\n").alias("body_text"), "n_regions")
 
 
+#: Roles of regions by the list that they are shown in. Fixed values.
+ROLE_LISTS = {"body": ("material_body",), "context": ("material_context",), "other": ("application_ui", "other_screen_text"), "captions": ("burned_caption",)}
+
+
+def role_lists(regions: DataFrame) -> DataFrame:
+    """Per content the texts of its regions in reading order, by what they are for: body, context, other, captions."""
+    own = F.sort_array(F.collect_list(F.struct("reading_order", "role", "text")))
+    packed = regions.groupBy("content_id").agg(own.alias("own"))
+    texts = lambda roles: F.transform(F.filter("own", lambda r: r["role"].isin(*roles)), lambda r: r["text"])
+    return packed.select("content_id", *[texts(roles).alias(name) for name, roles in ROLE_LISTS.items()])
+
+
 def signatures(regions: DataFrame, key: Column) -> DataFrame:
     """Per content: text_hash over kinds and keys of body and context regions in reading order.
 

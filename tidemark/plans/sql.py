@@ -300,6 +300,18 @@ BODY = {
         UNION ALL SELECT 'shown', count(*) FILTER (content_id IS NULL) FROM pa""",
     "status_counts": """SELECT (SELECT count(*) FROM pa) AS occurrences, (SELECT count(content_id) FROM pa) AS extracted, (SELECT count(*) FROM pb) AS utterances,
         (SELECT count(*) FROM ph WHERE review_status = 'open') AS open_reviews""",
+    "role_lists": """SELECT content_id, sha256(coalesce(string_agg(text, chr(10) ORDER BY reading_order) FILTER (role = 'material_body'), '')) AS body_sha,
+        sha256(coalesce(string_agg(text, chr(10) ORDER BY reading_order) FILTER (role = 'material_context'), '')) AS context_sha,
+        sha256(coalesce(string_agg(text, chr(10) ORDER BY reading_order) FILTER (role = 'application_ui'), '')) AS other_sha, sha256('') AS captions_sha FROM pf GROUP BY 1""",
+    "shown_metrics": """
+        WITH m AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey) AS stage, 'price' AS name, l_extendedprice::DOUBLE AS value, 'x' AS unit FROM lineitem
+                   UNION ALL SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey), 'count', l_quantity::DOUBLE, '' FROM lineitem)
+        SELECT stage, name, CASE WHEN abs(value - trunc(value)) <= 1e-9 THEN trunc(value)::BIGINT::VARCHAR ELSE printf('%.3f', value) END || unit AS shown FROM m""",
+    "change_kinds": "SELECT occ_id, CASE WHEN value < 5 THEN 'repeat' WHEN value < 20 THEN 'modified' WHEN content_id IS NULL THEN 'unextracted' ELSE 'first' END AS kind FROM pa",
+    "attempts_of_frame": "SELECT frame_id, created_us, status, model FROM pi WHERE frame_id = 7",
+    "contained_spans": "SELECT pd.occ_id, count(*) AS inside FROM pd JOIN pa ON pd.media_id = pa.media_id AND pa.start_us >= pd.start_us AND pa.end_us <= pd.end_us GROUP BY 1",
+    "utterances_or_none": """SELECT pa.occ_id, utt_id, CASE WHEN utt_id IS NOT NULL THEN least(pa.end_us, pb.end_us) - greatest(pa.start_us, pb.start_us) END AS overlap_us
+        FROM pa LEFT JOIN pb ON pa.media_id = pb.media_id AND least(pa.end_us, pb.end_us) > greatest(pa.start_us, pb.start_us)""",
     "full_image_sizes": """
         WITH p AS (SELECT p_partkey, p_size * 100 AS w, p_partkey % 97 * 40 + 1 AS h, p_size * 9 AS cw, p_size * 3 AS ch FROM part),
         q AS (SELECT *, CASE WHEN greatest(w, h) <= 2048 THEN 1.0::DOUBLE ELSE 2048.0::DOUBLE / greatest(w, h) END AS k,

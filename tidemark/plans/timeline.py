@@ -668,6 +668,43 @@ def status_counts(spark, sf):
     return store.status_counts(src.occurrences(spark, sf), src.utterances(spark, sf), src.reviews(spark, sf))
 
 
+@query
+def role_lists(spark, sf):
+    out = contents.role_lists(src.regions(spark, sf))
+    return out.select("content_id", *[F.sha2(F.array_join(name, "\n"), 256).alias(f"{name}_sha") for name in contents.ROLE_LISTS])
+
+
+@query
+def shown_metrics(spark, sf):
+    lines = src.table(spark, sf, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("stage"), F.lit("price").alias("name"), F.col("l_extendedprice").cast("double").alias("value"), F.lit("x").alias("unit"))
+    whole = src.table(spark, sf, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("stage"), F.lit("count").alias("name"), F.col("l_quantity").cast("double").alias("value"), F.lit("").alias("unit"))
+    return store.shown_metrics(lines.unionByName(whole))
+
+
+@query
+def change_kinds(spark, sf):
+    flags = F.when(F.col("value") < 5, F.array(F.lit("change:repeat"))).when(F.col("value") < 20, F.array(F.lit("x"), F.lit("change:modified"), F.lit("change:repeat"))).otherwise(F.array().cast("array<string>"))
+    return src.occurrences(spark, sf).select("occ_id", states.change_kind(flags, F.col("content_id")).alias("kind"))
+
+
+@query
+def attempts_of_frame(spark, sf):
+    return src.attempts(spark, sf).filter("frame_id = 7").select("frame_id", "created_us", "status", "model")
+
+
+@query
+def contained_spans(spark, sf):
+    pairs = intervals.containment_join(src.order_spans(spark, sf), src.occurrences(spark, sf).select("media_id", F.col("occ_id").alias("event_id"), "start_us", "end_us"))
+    return pairs.groupBy("occ_id").agg(F.count(F.lit(1)).alias("inside"))
+
+
+@query
+def utterances_or_none(spark, sf):
+    """Every display interval with what is said in it, or with nulls: the left join."""
+    occ, said = src.occurrences(spark, sf).select("media_id", "occ_id", "start_us", "end_us"), src.utterances(spark, sf).select("media_id", "utt_id", "start_us", "end_us")
+    return intervals.overlap_join(occ, said, "left").select("occ_id", "utt_id", "overlap_us")
+
+
 @query
 def full_image_sizes(spark, sf):
     size = geometry.full_image_size(F.col("p_size") * 100, F.col("p_partkey") % 97 * 40 + 1, 2048)

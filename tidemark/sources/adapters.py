@@ -6,16 +6,19 @@ a truncated one; only good readings are cached.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 from typing import Protocol
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.quality import cache_key
+from ..operators.regions import kept_regions
 
 
 @dataclass(frozen=True)
@@ -55,6 +58,123 @@ class ScriptedAdapter:
     def close(self) -> None: ...
 
 
+MARKER_BITS = 12
+
+
+def marker(number: int, cell: int = 4) -> np.ndarray:
+    """A strip of light and dark cells that writes a number, for screens of tests."""
+    return np.kron([[255 * (number >> k & 1) for k in range(MARKER_BITS)]], np.ones((cell, cell))).astype(np.uint8)
+
+
+class MarkerAdapter(ScriptedAdapter):
+    """Knows screens by the marker in their top left corner (request: pixels, rows of gray values)."""
+
+    def __init__(self, script: Mapping, cell: int = 4) -> None:
+        super().__init__(script, "marker", "marker")
+        self.cell = cell
+
+    def read(self, request: Mapping) -> Reading:
+        strip = np.asarray(request["pixels"])[: self.cell, : self.cell * MARKER_BITS]
+        bits = strip.reshape(self.cell, MARKER_BITS, self.cell).mean(axis=(0, 2)) > 127
+        return super().read({"marker": int((bits << np.arange(MARKER_BITS)).sum())})
+
+
+class ChunkAdapter:
+    """Sound by the chunk: `transcribe(request)` gives segments (start_us, end_us, text) from the chunk's own beginning; a
+    segment that does not lie in the chunk is an error, not something to be moved."""
+
+    def __init__(self, transcribe: Callable[[Mapping], Iterable[tuple[int, int, str]]], identity: str) -> None:
+        self.transcribe, self.identity = transcribe, identity
+
+    def read(self, request: Mapping) -> Reading:
+        length, out = request["end_us"] - request["start_us"], []
+        try:
+            for start, end, text in self.transcribe(request):
+                if not 0 <= start <= end <= length:
+                    return Reading("schema_invalid", detail=f"a segment at {start} to {end} of {length}")
+                out.append({"start_us": request["start_us"] + start, "end_us": request["start_us"] + end, "text": text})
+        except OSError as e:
+            return Reading("error", detail=str(e))
+        return Reading("ok", json.dumps(out, ensure_ascii=False))
+
+    def recover(self) -> None: ...
+
+    def close(self) -> None: ...
+
+
+class ScreenReader:
+    """One screen through several readings: the whole of it first, halves where that fails, then uncertain regions again at
+    full size, the uncertain before the large, a bounded number of them. Requests go to `inner` with kind full, tile or
+    crop; rereading keeps the second text and says so where both differ."""
+
+    def __init__(self, inner: Adapter, most_rereads: int = 4, retries: int = 2) -> None:
+        self.inner, self.most, self.retries, self.identity = inner, most_rereads, retries, f"screen({inner.identity},{most_rereads})"
+
+    def _ask(self, request: Mapping, **more) -> Reading:
+        return ask(self.inner, {**request, **more}, self.retries)[0]
+
+    def read(self, request: Mapping) -> Reading:
+        full = self._ask(request, kind="full")
+        if full.payload is None:
+            return self._in_halves(request)
+        screen = json.loads(full.payload)
+        flags = ["truncated"] if full.status == "truncated" else []
+        regions = screen.get("regions", [])
+        kept, _ = kept_regions([r.get("text") or "" for r in regions])
+        if len(kept) < len(regions):
+            flags.append("duplicate_regions_removed")
+            regions = [regions[k] for k in kept]
+        doubtful = lambda r: bool(r.get("unreadable")) or "unreadable" in r.get("flags", [])
+        area = lambda b: (b[2] - b[0]) * (b[3] - b[1]) if b else 0
+        again = sorted((r for r in regions if doubtful(r) or request.get("downscaled") and r.get("role", "material_body") == "material_body"), key=lambda r: (not doubtful(r), -area(r.get("bbox"))))
+        for r in again[: self.most]:
+            self._reread(request, r)
+        if any(map(doubtful, regions)):
+            flags.append("unreadable")
+        return Reading(full.status, json.dumps({**screen, "regions": regions, "flags": sorted(flags)}, ensure_ascii=False), full.detail)
+
+    def _reread(self, request: Mapping, region: dict) -> None:
+        near = self._ask(request, kind="crop", bbox=region.get("bbox"))
+        said = json.loads(near.payload).get("text", "") if near.status == "ok" and near.payload else None
+        if said:
+            if said.strip() != (region.get("text") or "").strip():
+                region["flags"] = sorted({*region.get("flags", []), "reread_differs_from_full_pass"})
+            region["text"] = said
+        else:
+            region["flags"] = sorted({*region.get("flags", []), "crop_reread_failed" if said is None else "crop_reread_empty"})
+
+    def _in_halves(self, request: Mapping) -> Reading:
+        parts = split_read(lambda top, bottom: self._ask(request, kind="tile", top=top, bottom=bottom), request["height"])
+        regions = []
+        for top, _, reading in parts:
+            for r in json.loads(reading.payload).get("regions", []) if reading.payload else []:
+                box = r.get("bbox")
+                regions.append(r | ({"bbox": [box[0], box[1] + top, box[2], box[3] + top]} if box else {}))
+        if not regions:
+            return Reading("error", detail="not_extracted")
+        flags = ["fallback_split_read"] + ["not_extracted"] * any(r.payload is None for _, _, r in parts)
+        return Reading("ok", json.dumps({"screen_kind": "other", "output_complete": True, "regions": regions, "flags": sorted(flags)}, ensure_ascii=False))
+
+    def recover(self) -> None:
+        self.inner.recover()
+
+    def close(self) -> None:
+        self.inner.close()
+
+
+def area_unchanged(adapter: Adapter, before: Mapping, now: Mapping, key: Callable[[str], str]) -> bool | None:
+    """Whether the changed area reads the same in both frames by its comparison key; None if either cannot be read, and then
+    the whole screen is. Equal areas let a display inherit the content before it."""
+    told = []
+    for request in (before, now):
+        reading, _ = ask(adapter, {**request, "kind": "crop"})
+        if reading.status != "ok" or not reading.payload:
+            return None
+        found = json.loads(reading.payload)
+        told.append(key("\n".join(found.get("lines") or [found.get("text") or ""])))
+    return told[0] == told[1]
+
+
 def loopback(url: str) -> str:
     """The url, if it names this machine; models are never asked elsewhere."""
     if urlsplit(url).hostname not in ("127.0.0.1", "localhost", "::1"):
