@@ -605,7 +605,7 @@ def block_refs(spark, sf):
 
 def _documents(spark, sf, whole: bool):
     occ, said = _doc_shows(spark, sf), src.utterances(spark, sf)
-    members, pairs = _block_members(spark, sf), _align(spark, sf)
+    members, pairs = _block_members(spark, sf).persist(), _align(spark, sf)  # read by every part of a document
     if not whole:
         body = src.table(spark, sf, "documents").select(F.col("doc_id").alias("content_id"), F.lit(False).alias("is_code"), F.col("text").alias("body_text"))
         return lecture.material_lines(members, occ, body, said, pairs)
