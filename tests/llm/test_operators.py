@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -133,6 +134,40 @@ def test_suffix_order_and_common_prefixes(monkeypatch, scan):
         assert shared[1:] == [common(a, b) for a, b in zip(heads, heads[1:], strict=False)]
 
 
+def test_suffix_sort_scans_runs_and_block_ends_together(monkeypatch):
+    """op6_suffix_dedup: neither a round of a long run of one symbol nor the end of a block takes a scan of its own."""
+    rng = np.random.default_rng(6)
+    phrase = rng.integers(97, 123, 230).astype(np.uint8).tobytes()
+    runs = [bytes([97 + k]) * (300 + 40 * k) + phrase[: 20 * k] for k in range(6)]
+    blocks = runs + [rng.integers(97, 123, 5).astype(np.uint8).tobytes() + phrase for _ in range(300)] + [phrase[:1]] * 900
+    scans, scan = [], suffix_sort.Inducer.scan
+    monkeypatch.setattr(suffix_sort.Inducer, "scan", lambda self, at, *more: scans.append(len(at)) or scan(self, at, *more))
+    block, off = suffix_sort.repeated_starts(blocks, 200)
+    seen = {}
+    for k, b in enumerate(blocks):
+        for i in range(len(b) - 199):
+            seen.setdefault(b[i : i + 200], []).append((k, i))
+    assert list(zip(block.tolist(), off.tolist(), strict=True)) == sorted(x for xs in seen.values() if len(xs) > 1 for x in xs)
+    assert len(scans) < 600
+
+
+@pytest.mark.parametrize(("width", "gram"), [(200, 32), (50, 8), (60, 60), (41, 40)])
+def test_suffix_dedup_sorts_what_segments_can_share(monkeypatch, width, gram):
+    """op6_suffix_dedup: strings that end with the anchor, begin with it, and lie anywhere between; all else is cut off."""
+    rng = np.random.default_rng(width)
+    some = lambda k: rng.integers(0, 256, k).astype(np.uint8).tobytes()
+    whole, sorted_bytes, sort = width - gram, [], suffix_dedup.repeated_starts
+    monkeypatch.setattr(suffix_dedup, "repeated_starts", lambda blocks, *more: sorted_bytes.append(sum(map(len, blocks))) or sort(blocks, *more))
+    for left in range(whole + 1):
+        shared = some(width)
+        raw = [some(whole - left) + shared + (b"\0" + some(left))[:left], shared + (b"\1" + some(left))[:left], some(whole + width)]
+        payload = [at.to_bytes(2, "little") + x for at, x in zip((whole, left, whole), raw, strict=True)]
+        batch = pa.RecordBatch.from_pydict({"a": [7] * 3, "s": [1, 2, 3], "payload": payload})
+        (out,) = suffix_dedup.sort_shards(width, gram, 1 << 20, 1 << 20)([batch])
+        assert [tuple(r.values()) for r in out.to_pylist()] == [(7, 1, whole - left, 1), (7, 2, 0, 1)]
+        assert sorted_bytes[-1] <= 2 * (width + whole // 5 + 2)
+
+
 def test_suffix_sort_of_a_shard_far_larger_than_its_memory():
     """The store has a twentieth of the shard; nearly all of the tuples, text and tables go through files."""
     rng = np.random.default_rng(4)

@@ -47,38 +47,45 @@ def byte_cutter(width: int = WIDTH, gram: int = GRAM):
     return cut
 
 
-def likely(blocks: list[tuple[int, bytes]], width: int, gram: int) -> list[int]:
-    """Which segments of one anchor (its place in each, the bytes) can share a string of the full width with another.
+def likely(blocks: list[tuple[int, bytes]], width: int, gram: int) -> list[tuple[int, int, int]]:
+    """Which segments of one anchor (its place in each, the bytes) can share a string of the full width with another, and
+    from where to where in them.
 
-    The string holds the anchor and a few bytes less than the rest of its width around it, in one of eight ways of parting
-    them: so much is compared."""
+    The string holds the anchor and a few bytes less than the rest of its width around it, in one of twelve ways of parting
+    them (or a few more): so much is compared. What none of the ways met twice reaches is cut off."""
     whole = width - gram
-    step = max(1, whole // 8)
+    step = max(1, whole // 12)
     seen: dict[tuple[int, bytes], int] = {}
     sides = []
     for at, raw in blocks:
         keys = []
-        for left in range(0, max(1, whole - step + 1), step):
+        for left in range(0, max(1, whole), step):
             right = max(0, whole - step - left)
             if at >= left and at + gram + right <= len(raw):
                 keys.append((left, raw[at - left : at + gram + right]))
         for key in keys:
             seen[key] = seen.get(key, 0) + 1
         sides.append(keys)
-    return [k for k, keys in enumerate(sides) if any(seen[key] > 1 for key in keys)]
+    out = []
+    for k, ((at, raw), keys) in enumerate(zip(blocks, sides, strict=True)):
+        if met := [key[0] for key in keys if seen[key] > 1]:
+            first, end = max(0, at - met[-1] - step), min(len(raw), at + width - met[0])
+            if end - first >= width:
+                out.append((k, first, end))
+    return out
 
 
 def sort_shards(width: int, gram: int, shard_bytes: int, store_bytes: int):
     """Rows a, s, payload with equal a together; gives a, s, off, n: runs of starts of strings that occur again."""
 
-    def runs(keys: list[tuple[int, int]], blocks: list[bytes]) -> pa.RecordBatch:
+    def runs(keys: list[tuple[int, int, int]], blocks: list[bytes]) -> pa.RecordBatch:
         block, at = repeated_starts(blocks, width, Store(store_bytes))
         fresh = np.ones(len(at), bool)
         fresh[1:] = (block[1:] != block[:-1]) | (at[1:] != at[:-1] + 1)
         first = np.flatnonzero(fresh)
         n = np.diff(np.append(first, len(at)))
-        a, s = np.array(keys, np.int64).reshape(-1, 2)[block[first]].T
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(s), pa.array(at[first].astype(np.int32)), pa.array(n.astype(np.int32))], ["a", "s", "off", "n"])
+        a, s, cut = np.array(keys, np.int64).reshape(-1, 3)[block[first]].T
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(s), pa.array((at[first] + cut).astype(np.int32)), pa.array(n.astype(np.int32))], ["a", "s", "off", "n"])
 
     def run(batches):
         keys, blocks, size = [], [], 0
@@ -86,9 +93,9 @@ def sort_shards(width: int, gram: int, shard_bytes: int, store_bytes: int):
 
         def take() -> int:
             mine = likely([(at, raw) for _, at, raw in group], width, gram)
-            keys.extend((anchor, group[k][0]) for k in mine)
-            blocks.extend(group[k][2] for k in mine)
-            return sum(len(group[k][2]) for k in mine)
+            keys.extend((anchor, group[k][0], first) for k, first, _ in mine)
+            blocks.extend(group[k][2][first:end] for k, first, end in mine)
+            return sum(end - first for _, first, end in mine)
 
         for batch in batches:
             for a, s, payload in zip(*(batch.column(c).to_pylist() for c in ("a", "s", "payload")), strict=True):

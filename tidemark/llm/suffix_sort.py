@@ -44,10 +44,16 @@ class Store:
             return np.zeros(size, kind)
         self.spilled += wanted
         with tempfile.TemporaryFile() as file:
-            return np.memmap(file, kind, "w+", shape=(size,))
+            return np.asarray(np.memmap(file, kind, "w+", shape=(size,)))  # as a plain array, of which slices cost less
 
     def free(self, *arrays: np.ndarray) -> None:
-        self.held -= sum(a.nbytes for a in arrays if not isinstance(a, np.memmap))
+        self.held -= sum(a.nbytes for a in arrays if not in_file(a))
+
+
+def in_file(array: np.ndarray | None) -> bool:
+    while isinstance(array, np.ndarray) and not isinstance(array, np.memmap):
+        array = array.base
+    return isinstance(array, np.memmap)
 
 
 def stretches(size: int, step: int = STRETCH) -> Iterator[tuple[int, int]]:
@@ -78,6 +84,37 @@ class BucketQueue:
         self.tuples[(tail - first).repeat(count) + np.arange(n)] = (positions << 16) | prefix
         self.tail[own] = tail + count
 
+    def close(self, symbol: int, text: np.ndarray, cap: int) -> bool:
+        """Pushes what the tuples under a symbol induce under that symbol itself, and what that induces, in rounds: in the
+        order and with the common prefixes that scanning would give, without a scan a round. Whether it did so: not
+        where the first round is too large to be worked on at once.
+
+        Suffixes of round k begin with the symbol k + 1 times, so the first of a round shares k with the one before it."""
+        low, high = int(self.starts[symbol]), int(self.tail[symbol])
+        if not low < high < self.ends[symbol] or high - low > SCAN:
+            return False
+        part = np.array(self.tuples[low:high])
+        position, prefix, shared = part >> 16, part & 0xFFFF, 0
+        held, size = [], 0
+        while True:
+            take = ((text[position - 1] == symbol) & (position > 0)).nonzero()[0]
+            if not len(take):
+                break
+            if len(take) < len(position):
+                prefix = np.minimum.reduceat(prefix[: take[-1] + 1], np.concatenate(([0], take[:-1] + 1)))
+                position = position[take]
+            position, prefix, shared = position - 1, prefix + (prefix < cap), min(shared + 1, cap)
+            prefix[0] = shared
+            held.append((position << 16) | prefix)
+            size += len(position)
+            if size > SCAN:
+                self.tuples[high : high + size] = np.concatenate(held)
+                held, size, high = [], 0, high + size
+        if held:
+            self.tuples[high : high + size] = np.concatenate(held)
+        self.tail[symbol] = high + size
+        return True
+
     def pop(self, symbol: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Positions and common prefixes under one symbol, those that arrive meanwhile too."""
         at = self.starts[symbol]
@@ -221,6 +258,8 @@ def induce(text: np.ndarray, rising: np.ndarray, symbols: int, seeds: np.ndarray
     inducer, c = Inducer(text, symbols, falling, cap), 0
     while c < symbols:
         stop = complete(falling, bounds, c, 1)
+        if stop == c and falling.close(c, text, cap):
+            stop = complete(falling, bounds, c, 1)
         if stop > c:
             position, prefix, symbol = falling.region(c, stop)
             a, b = bounds[c], bounds[stop]
@@ -234,12 +273,12 @@ def induce(text: np.ndarray, rising: np.ndarray, symbols: int, seeds: np.ndarray
                 prefix[first] = 0
                 seams(text, position, prefix, first[(first > 0) & (symbol[first - 1] == symbol[first])], cap)
             if len(position):
-                inducer.scan(position, prefix, lambda s: s >= symbol)  # noqa: B023
+                inducer.scan(position, prefix, lambda s: s > symbol)  # noqa: B023
             c = stop
             continue
-        last = None
+        last, least = None, c + int(falling.tail[c] == falling.ends[c])  # a complete region takes no more
         for position, prefix in falling.pop(c):
-            inducer.scan(position, prefix, lambda s: s >= c)  # noqa: B023
+            inducer.scan(position, prefix, lambda s: s >= least)  # noqa: B023
             last = position[-1:]
         for a, b in stretches(int(bounds[c + 1] - bounds[c]), SCAN):
             position, prefix = np.array(seeds[bounds[c] + a : bounds[c] + b]), np.array(seed_prefix[bounds[c] + a : bounds[c] + b])
@@ -253,6 +292,8 @@ def induce(text: np.ndarray, rising: np.ndarray, symbols: int, seeds: np.ndarray
     above = np.concatenate(([0], falling.ends))
     while c >= 0:
         stop = complete(queue, above, c, -1)
+        if stop == c and queue.close(c, text, cap):
+            stop = complete(queue, above, c, -1)
         if stop < c:
             position, prefix, symbol = queue.region(stop + 1, c + 1)
             more, shared, own = (x[::-1] for x in falling.region(stop + 1, c + 1))
@@ -264,15 +305,14 @@ def induce(text: np.ndarray, rising: np.ndarray, symbols: int, seeds: np.ndarray
             first = np.flatnonzero((kind & 1 == 1) & np.concatenate(([True], kind[1:] != kind[:-1])))
             prefix[first] = 0
             seams(text, position, prefix, first[(first > 0) & (symbol[first - 1] == symbol[first])], cap)
-            edge = symbol + 1 - (kind & 1)  # falling ones have predecessors below their symbol only
             if len(position):
-                inducer.scan(position, prefix, lambda s: s < edge)  # noqa: B023
+                inducer.scan(position, prefix, lambda s: s < symbol)  # noqa: B023
                 emit(position, prefix)
             c = stop
             continue
-        last = None
+        last, most = None, c - int(queue.tail[c] == queue.ends[c])
         for position, prefix in queue.pop(c):
-            inducer.scan(position, prefix, lambda s: s <= c)  # noqa: B023
+            inducer.scan(position, prefix, lambda s: s <= most)  # noqa: B023
             emit(position, prefix)
             last = position[-1:]
         for position, prefix in falling.downward(c):
@@ -419,6 +459,9 @@ def by_names(lms: np.ndarray, by_name: np.ndarray, prefix: np.ndarray, distinct:
 
     by_name: LMS positions in order of substrings; prefix: of each and the one before, EQUAL where they have one name."""
     size, last = len(lms), 0
+    number = store.array(int(lms[-1] >> 1) + 1, np.uint32 if size <= 1 << 32 else np.int64)  # no two are neighbours
+    for a, b in stretches(size):
+        number[lms[a:b] >> 1] = np.arange(a, b)
     name, between = store.array(size, np.uint16 if distinct < 1 << 16 else np.uint32), store.array(distinct, np.uint16)
     for a, b in stretches(size):
         fresh = np.array(prefix[a:b]) != EQUAL
@@ -426,8 +469,10 @@ def by_names(lms: np.ndarray, by_name: np.ndarray, prefix: np.ndarray, distinct:
             fresh[0] = False
         own = last + np.cumsum(fresh)
         between[own[fresh]] = prefix[a:b][fresh]
-        name[np.searchsorted(lms, by_name[a:b])] = own
+        name[number[by_name[a:b] >> 1]] = own
         last = int(own[-1])
+    store.free(number)
+    del number
     found = Kept(store, size)
     suffixes(name, distinct, cap // 2 + 1, store, lambda at, common: found.add(at, common, np.ones(len(at), bool)))
     order, common = found.ascending()
@@ -452,13 +497,20 @@ def by_names(lms: np.ndarray, by_name: np.ndarray, prefix: np.ndarray, distinct:
 
 def repeated_starts(blocks: list[bytes], window: int, store: Store | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Block and offset of every `window` bytes that also start elsewhere in the blocks: suffixes whose common prefix with
-    a neighbour is the window at least. Bytes are shifted by one; 0 ends a block, and a window never runs past it."""
+    a neighbour is the window at least. A symbol of its own, less than all bytes, ends each block, so that nothing is compared
+    beyond it; their order is that of the blocks' numbers with bits reversed, as one that rises with the text (or its names)
+    would be induced one by one."""
     store = store or Store()
     lengths = np.array([len(b) for b in blocks], np.int64)
     ends = np.cumsum(lengths + 1) - 1
-    text = store.array(int(ends[-1]) + 1 if len(ends) else 0, np.uint16)
-    for block, end in zip(blocks, ends.tolist(), strict=True):
-        text[end - len(block) : end] = np.frombuffer(block, np.uint8).astype(np.uint16) + 1
+    symbols = len(blocks) + 256
+    reversed_bits = sum(((np.arange(len(blocks)) >> k) & 1) << (30 - k) for k in range(31))
+    end_symbols = np.argsort(np.argsort(reversed_bits)).tolist()
+    text = store.array(int(ends[-1]) + 1 if len(ends) else 0, np.uint16 if symbols <= 1 << 16 else np.uint32)
+    for block, end, end_symbol in zip(blocks, ends.tolist(), end_symbols, strict=True):
+        text[end - len(block) : end] = np.frombuffer(block, np.uint8)
+        text[end - len(block) : end] += text.dtype.type(len(blocks))
+        text[end] = end_symbol
     hit = store.array(len(text), bool)
     last = [0]
 
@@ -469,7 +521,7 @@ def repeated_starts(blocks: list[bytes], window: int, store: Store | None = None
         last[0] = position[-1]
 
     if len(text):
-        suffixes(text, 257, window, store, note)
+        suffixes(text, symbols, window, store, note)
     at = np.concatenate([a + np.flatnonzero(hit[a:b]) for a, b in stretches(len(text))] or [np.zeros(0, np.int64)])
     block = np.searchsorted(ends, at)
     inside = ends[block] - at >= window
