@@ -266,6 +266,64 @@ def test_line_dedup_query_takes_lines_of_any_length(spark, tmp_path):
     assert rows(queries.op7_line_dedup(spark, str(tmp_path)), "doc_id", "n_lines", "n_removed", "kept_sha256") == sorted(want, key=repr)
 
 
+class Places:
+    """Stands for a broadcast Bloom filter that holds just these keys."""
+
+    def __init__(self, keys):
+        self.value, self.keys = self, keys
+
+    def might_hold(self, keys):
+        return np.isin(keys, self.keys)
+
+
+def test_only_lines_asked_for_are_hashed(monkeypatch):
+    """The index and the fetched sets take one line of a hundred; the words of the others are not hashed or sorted."""
+    texts = ["\n".join(" ".join(f"w{d}x{j}x{k}" for k in range(10)) for j in range(50)) for d in (4, 7)]
+    texts = [texts[0], None, "", " \n", texts[1]]
+    ids = [4, 5, 6, 8, 7]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts), pa.array([1, 1, 1, 1, 1])], ["doc_id", "text", "of"])
+    places, hashed = Places(line_dedup.place_keys(np.array([7]), np.array([31]))), []
+    monkeypatch.setattr(line_dedup, "word_codes", lambda data, begin, end: hashed.append(len(begin)) or stretch_codes(data, begin, end))
+    counts = Places(None)
+    counts.value = np.ones(1 << line_dedup.LOG_SLOTS, np.uint32)
+    entries = line_dedup.unpacked([raw for out in line_dedup._index(counts, 80, 4, 1, places)([batch]) for raw in out.column("entries").to_pylist()])
+    assert hashed == [10] and set(zip(entries["doc"].tolist(), entries["line"].tolist())) == {(7, 31)} and len(entries["pos"]) == 3
+    sets = [row for out in line_dedup._sets(places, Places(np.array([1], np.uint64)), 4)([batch]) for row in out.to_pylist()]
+    assert hashed == [10, 10] and len(sets) == 1 and sets[0]["c"] == entries["c"][0] and len(sets[0]["members"]) == 80
+
+
+def test_words_of_one_slot_need_no_second_sort(monkeypatch):
+    """Words whose counts differ by slot only: rarest first by one packed sort, though some share a slot."""
+    data = np.frombuffer(" ".join(f"word{k}" for k in range(6000)).encode(), np.uint8)
+    counts = np.random.default_rng(8).permutation(1 << line_dedup.LOG_SLOTS).astype(np.uint32)
+    calls, sort = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: calls.append(len(keys)) or sort(keys))
+    lines = line_dedup.Lines(data, np.array([0, len(data)]), counts)
+    slot = line_dedup._slot(lines.word)
+    assert not calls and len(lines.word) == 6000 > len(np.unique(slot))
+    assert (np.diff(counts[slot].astype(np.int64)) >= 0).all()
+
+
+def test_order_of_index_lists():
+    rng = np.random.default_rng(9)
+    word = rng.integers(0, 1 << 63, 40, dtype=np.uint64)[rng.integers(0, 40, 500)]
+    for doc in (rng.integers(-9, 9, 500), rng.integers(-(1 << 62), 1 << 62, 500)):
+        line = rng.integers(0, 1 << 31, 500).astype(np.int32)
+        for w in (word, word >> np.uint64(58)):  # the latter differ in lower bits only
+            assert (line_dedup.listed_order(w, doc, line) == np.lexsort((line, doc, w))).all()
+    empty = np.zeros(0, np.int64)
+    assert len(line_dedup.listed_order(empty.view(np.uint64), empty, empty.astype(np.int32))) == 0
+
+
+def test_shared_words():
+    rng = np.random.default_rng(10)
+    sets = [[set(rng.integers(0, 30, rng.integers(1, 25)).tolist()) for _ in range(200)] for _ in "ab"]
+    a, b = (pa.array([np.array(sorted(x), np.uint64).tobytes() for x in side]) for side in sets)
+    want = [(len(x), len(y), len(x & y)) for x, y in zip(*sets, strict=True)]
+    assert list(zip(*(v.tolist() for v in line_dedup.shared(a, b)), strict=True)) == want
+    assert [len(v) for v in line_dedup.shared(a[:0], b[:0])] == [0, 0, 0]
+
+
 @pytest.mark.parametrize("percent", [80, 85])
 def test_near_duplicates(docs, nothing, percent):
     out = minhash.near_duplicates(docs, percent)

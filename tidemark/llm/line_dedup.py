@@ -18,8 +18,11 @@ Sets so small that they can be similar only to an equal set are not indexed: the
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,30 +55,45 @@ def sorted_within(line: np.ndarray, rank: np.ndarray, word: np.ndarray) -> np.nd
 
 
 class Lines:
-    """Lines of a stretch of documents as sets of words: for each its document, number, and distinct word hashes."""
+    """Lines of a stretch of documents as sets of words: for each its document, number, and distinct word hashes, in order of
+    the hashes, or rarest first if the counts of the sketch's slots are given. where: a mask of the lines to take, by
+    document and number."""
 
-    def __init__(self, data: np.ndarray, at: np.ndarray) -> None:
+    def __init__(self, data: np.ndarray, at: np.ndarray, counts: np.ndarray | None = None, where=None) -> None:
         begin, end, doc = words(data, at)
-        breaks = np.concatenate(([0], np.cumsum(data == 0x0A)))
-        number = breaks[begin] - breaks[at[doc]] if len(begin) else begin
-        fresh = np.ones(len(begin), bool)
-        fresh[1:] = (doc[1:] != doc[:-1]) | (number[1:] != number[:-1])
-        line = np.cumsum(fresh) - 1
-        self.doc, self.number = doc[fresh], number[fresh]
+        breaks = np.flatnonzero(data == 0x0A)
+        start = np.unique(np.searchsorted(begin, np.concatenate((breaks, at[:-1]))))
+        start = start[start < len(begin)]
+        self.doc = doc[start]
+        self.number = np.searchsorted(breaks, begin[start]) - np.searchsorted(breaks, at[self.doc])
+        held = np.diff(np.append(start, len(begin)))
+        if where:
+            mine = where(self.doc, self.number)
+            inside = np.repeat(mine, held)
+            begin, end, held, self.doc, self.number = begin[inside], end[inside], held[mine], self.doc[mine], self.number[mine]
+            start = np.cumsum(held) - held
+        line = np.repeat(np.arange(len(start)), held)
         word = word_codes(data, begin, end)
-        order = sorted_within(line, word >> np.uint64(20), word)
-        word, line = word[order], line[order]
+        word = word[sorted_within(line, word >> np.uint64(20) if counts is None else rareness(word, counts), word)]
         keep = np.ones(len(word), bool)
-        keep[1:] = (word[1:] != word[:-1]) | (line[1:] != line[:-1])
+        keep[1:] = word[1:] != word[:-1]
+        keep[start] = True
         self.word, self.line = word[keep], line[keep]
-        self.bounds = np.concatenate(([0], np.cumsum(np.bincount(self.line, minlength=len(self.doc)))))
-        self.size = np.diff(self.bounds)
-        self.code, self.other = self.hashed(0x2545F4914F6CDD1D), self.hashed(0x9FB21C651E98DF25)
+        self.size = np.bincount(self.line, minlength=len(start))
+        self.bounds = np.concatenate(([0], np.cumsum(self.size)))
+
+    @cached_property
+    def code(self) -> np.ndarray:
+        return self.hashed(0x2545F4914F6CDD1D)
+
+    @cached_property
+    def other(self) -> np.ndarray:
+        return self.hashed(0x9FB21C651E98DF25)
 
     def hashed(self, salt: int) -> np.ndarray:
         """A 64-bit hash of each set."""
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(self.word ^ np.uint64(salt)))))
-        return mix(sums[self.bounds[1:]] - sums[self.bounds[:-1]] + self.size.astype(np.uint64))
+        sums = np.add.reduceat(mix(self.word ^ np.uint64(salt)), self.bounds[:-1]) if len(self.size) else self.word
+        return mix(sums + self.size.astype(np.uint64))
 
     def firsts(self, least: int) -> np.ndarray:
         """The first line of each set of at least `least` words."""
@@ -87,6 +105,13 @@ def _slot(word: np.ndarray) -> np.ndarray:
     return (word >> np.uint64(64 - LOG_SLOTS)).astype(np.int64)
 
 
+def rareness(word: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Rank of words under 2**44, the rarest first. Words of one slot differ in the bits that follow the count, for these are
+    not the slot's."""
+    rarity = np.minimum(counts[_slot(word)], (1 << 24) - 1).astype(np.uint64)
+    return (rarity << np.uint64(20)) | (word & np.uint64((1 << 20) - 1))
+
+
 def word_counts(parts: DataFrame) -> np.ndarray:
     """Lines in which the words of each slot occur, over all rows. parts: slice, counts, as _survey gives them."""
 
@@ -113,26 +138,17 @@ def least_indexed(percent: int, least: int) -> int:
     return max(least, -(-percent // (100 - percent)) if percent < 100 else 2**31 - 1)
 
 
-def prefix_entries(lines: Lines, first: np.ndarray, docs: np.ndarray, counts: np.ndarray, percent: int) -> dict[str, np.ndarray]:
-    """Index entries of the chosen lines, as arrays by name of ENTRY. docs: doc_id of each row of the stretch."""
-    chosen = np.zeros(len(lines.size), bool)
-    chosen[first] = True
-    inside = chosen[lines.line]
-    word, line = lines.word[inside], lines.line[inside]
-    rarity = np.minimum(counts[_slot(word)], (1 << 24) - 1).astype(np.uint64)
-    order = sorted_within(line, (rarity << np.uint64(20)) | (word >> np.uint64(44)), word)
-    word, line = word[order], line[order]
-    size, own = lines.size[line], lines.size[first]
-    rank = np.arange(len(line)) - np.repeat(np.cumsum(own) - own, own)
-    bit = mix(word) & np.uint64(127)
-    one, begin = np.uint64(1) << (bit & np.uint64(63)), (np.cumsum(own) - own)[own > 0]
-    maps = np.zeros((2, len(lines.size)), np.uint64)
-    for half in (0, 1):
-        mine = np.where((bit >> np.uint64(6)) == half, one, np.uint64(0))
-        maps[half, first] = np.bitwise_xor.reduceat(mine, begin) if len(begin) else mine
-    head = rank < size - -(-percent * size // 100) + 1
-    line = line[head]
-    values = (word[head], lines.code[line].view(np.int64), docs[lines.doc[line]], lines.number[line], size[head], rank[head], maps[0][line], maps[1][line])
+def prefix_entries(lines: Lines, first: np.ndarray, docs: np.ndarray, percent: int) -> dict[str, np.ndarray]:
+    """Index entries of the chosen lines, as arrays by name of ENTRY. lines: rarest words first. docs: doc_id of each row of
+    the stretch."""
+    size, begin = lines.size, lines.bounds[:-1]
+    bit = (lines.word >> np.uint64(24)) & np.uint64(127)
+    one, upper = np.uint64(1) << (bit & np.uint64(63)), bit >> np.uint64(6)
+    maps = [np.bitwise_xor.reduceat(one * mine, begin) if len(begin) else one for mine in (upper ^ np.uint64(1), upper)]
+    heads = (size - -(-percent * size // 100) + 1)[first]
+    line = np.repeat(first, heads)
+    rank = np.arange(len(line)) - np.repeat(np.cumsum(heads) - heads, heads)
+    values = (lines.word[begin[line] + rank], lines.code[line].view(np.int64), docs[lines.doc[line]], lines.number[line], size[line], rank, maps[0][line], maps[1][line])
     return {name: v.astype(t) for (name, t), v in zip(ENTRY, values, strict=True)}
 
 
@@ -140,6 +156,11 @@ def place_keys(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
     return mix(doc.astype(np.int64).view(np.uint64) ^ mix(line.astype(np.uint64) + np.uint64(1)))
 
 
+def standing_at(places, ids: np.ndarray):
+    """For Lines: the lines whose places a Bloom filter holds. ids: doc_id of each row of the stretch."""
+    return lambda doc, number: places.might_hold(place_keys(ids[doc], number))
+
+
 def _places(batches):
     for batch in batches:
         doc, line = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "line"))
@@ -154,14 +175,11 @@ def _index(counts, percent: int, least: int, buckets: int, places):
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for start, stop, data, at in chunks(batch.column("text")):
-                lines = Lines(data, at)
+                lines = Lines(data, at, counts.value, standing_at(places.value, ids[start:stop]))
                 fit = np.flatnonzero(lines.size >= least)
-                doc, number = ids[start:stop][lines.doc[fit]], lines.number[fit]
-                stay = places.value.might_hold(place_keys(doc, number))
-                fit, doc, number = fit[stay], doc[stay], number[stay]
-                fit = fit[np.lexsort((number, doc))]  # rows of a stretch are in any order
+                fit = fit[np.lexsort((lines.number[fit], ids[start:stop][lines.doc[fit]]))]  # rows of a stretch are in any order
                 first = np.sort(fit[np.unique(lines.code[fit], return_index=True)[1]])
-                entry = prefix_entries(lines, first, ids[start:stop], counts.value, percent)
+                entry = prefix_entries(lines, first, ids[start:stop], percent)
                 bucket = (mix(entry["word"]) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -185,12 +203,26 @@ def unpacked(rows: list[bytes]) -> dict[str, np.ndarray]:
 
 def listed(e: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """Index entries by word, in order of their lines, the first line of each set in each list."""
-    order = np.lexsort((e["line"], e["doc"], e["word"]))
+    order = listed_order(e["word"], e["doc"], e["line"])
     same = mix(e["word"] ^ mix(e["c"].view(np.uint64)))[order]
-    order = order[np.sort(np.unique(same, return_index=True)[1])]
+    told = np.sort(same)
+    if (told[1:] == told[:-1]).any():
+        order = order[np.sort(np.unique(same, return_index=True)[1])]
     return {k: v[order] for k, v in e.items()}
 
 
+def listed_order(word: np.ndarray, doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Order by word, doc, line: by the word's upper bits and the place among the entries, packed, if these tell words apart."""
+    if len(word) and int(doc.max()) - int(doc.min()) < 1 << 32:
+        by_place = np.argsort(((doc - doc.min()).view(np.uint64) << np.uint64(32)) | line.astype(np.uint64), kind="stable")
+        low = np.uint64((1 << len(word).bit_length()) - 1)
+        key = np.sort((word[by_place] & ~low) | np.arange(len(word), dtype=np.uint64))
+        order = by_place[(key & low).view(np.int64)]
+        if (((key[1:] ^ key[:-1]) > low) | (word[order[1:]] == word[order[:-1]])).all():
+            return order
+    return np.lexsort((line, doc, word))
+
+
 def candidates(e: dict[str, np.ndarray], percent: int, probe=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """a (later), b (earlier), score, more: places of pairs in one index list that the filters let through.
 
@@ -291,7 +323,7 @@ def _survey(least: int):
         for batch in batches:
             for start, _, data, at in chunks(batch.column("text")):
                 lines = Lines(data, at)
-                held += np.bincount(_slot(lines.word), minlength=len(held))
+                np.add.at(held, _slot(lines.word), 1)
                 fit = np.flatnonzero(lines.size >= least)
                 take = pa.array(lines.doc[fit] + start)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(lines.number[fit].astype(np.int32)), pa.array(lines.code[fit].view(np.int64)), pa.array(lines.other[fit].view(np.int64)), pa.nulls(len(fit), pa.int32()), pa.nulls(len(fit), pa.binary())], names)
@@ -303,30 +335,39 @@ def _survey(least: int):
     return run
 
 
-def _sets(wanted, standing, least: int):
-    """c, d, members of the wanted sets, from the documents in which such sets come first."""
+def _sets(places, standing, least: int):
+    """c, d, members of the sets at these places (a broadcast Bloom filter of the lines in which wanted sets come first, and one
+    of their documents)."""
 
     def run(batches):
         for batch in batches:
             batch = batch.filter(pa.array(standing.value.might_hold(batch.column("of").to_numpy(zero_copy_only=False).view(np.uint64))))
-            for _, _, data, at in chunks(batch.column("text")):
-                lines = Lines(data, at)
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            for start, stop, data, at in chunks(batch.column("text")):
+                lines = Lines(data, at, where=standing_at(places.value, ids[start:stop]))
                 first = lines.firsts(least)
-                first = first[wanted.value.might_hold(lines.code[first])]
                 yield pa.RecordBatch.from_arrays([pa.array(lines.code[first].view(np.int64)), pa.array(lines.other[first].view(np.int64)), pa.array([lines.word[lines.bounds[k] : lines.bounds[k + 1]].tobytes() for k in first.tolist()], pa.binary())], ["c", "d", "members"])
 
     return run
 
 
+def shared(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of the sets of each row (packed word hashes), and how many words they share."""
+    n, m = (pc.binary_length(x).to_numpy(zero_copy_only=False).astype(np.int64) // 8 for x in (a, b))
+    row = np.arange(len(n))
+    row = np.concatenate((np.repeat(row, n), np.repeat(row, m)))
+    word = np.frombuffer(b"".join(a.to_pylist() + b.to_pylist()), np.uint64)
+    order = sorted_within(row, word >> np.uint64(20), word)
+    row, word = row[order], word[order]
+    both = (row[1:] == row[:-1]) & (word[1:] == word[:-1])
+    return n, m, np.bincount(row[1:][both], minlength=len(n))
+
+
 def _verify(percent: int):
     def run(batches):
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("d")], ["x", "d"]).filter(pa.array(keep, pa.bool_()))
+            n, m, both = shared(batch.column("a"), batch.column("b"))
+            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("d")], ["x", "d"]).filter(pa.array(100 * both >= percent * (n + m - both)))
 
     return run
 
@@ -345,10 +386,11 @@ def matched_sets(scratch: Scratch, rows: DataFrame, told: np.ndarray, firsts: Da
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         ends = pairs.select(F.col("x").alias("c")).union(pairs.select("y")).distinct().join(firsts, "c")
-        ends = scratch.put(f"ends_{name}", ends.select("c", "first.doc_id", "first.th"))
+        ends = scratch.put(f"ends_{name}", ends.select("c", "first.doc_id", "first.line", "first.th"))
         n = ends.count()
-        blooms = [spark.sparkContext.broadcast(Bloom.build(keys.toDF("key"), n)) for keys in (ends.select("c"), ends.select(F.xxhash64("doc_id", "th")))]
-        sets = rows.select("text", F.xxhash64("doc_id", "th").alias("of")).mapInArrow(_sets(*blooms, least), "c long, d long, members binary")
+        keys = ends.select("doc_id", "line").mapInArrow(_places, "key long"), ends.select(F.xxhash64("doc_id", "th").alias("key"))
+        blooms = [spark.sparkContext.broadcast(Bloom.build(k, n)) for k in keys]
+        sets = rows.select("doc_id", "text", F.xxhash64("doc_id", "th").alias("of")).mapInArrow(_sets(*blooms, least), "c long, d long, members binary")
         sets = scratch.put(f"sets_{name}", sets.join(ends.select("c").distinct(), "c", "left_semi").dropDuplicates(["c", "d"]))
         x = sets.select(F.col("c").alias("x"), "d", F.col("members").alias("a"))
         y = sets.select(F.col("c").alias("y"), F.col("members").alias("b"))
