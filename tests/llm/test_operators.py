@@ -315,6 +315,108 @@ def test_order_of_index_lists():
     assert len(line_dedup.listed_order(empty.view(np.uint64), empty, empty.astype(np.int32))) == 0
 
 
+def index_of(texts, percent):
+    """Packed index entries of one bucket."""
+    counts, every = Places(None), Places(None)
+    counts.value, every.might_hold = np.ones(1 << line_dedup.LOG_SLOTS, np.uint32), lambda keys: np.ones(len(keys), bool)
+    index = line_dedup._index(counts, percent, 2, 1, every)
+    batches = (pa.RecordBatch.from_arrays([pa.array([k]), pa.array([t])], ["doc_id", "text"]) for k, t in enumerate(texts))
+    return [raw for out in index(batches) for raw in out.column("entries").to_pylist()]
+
+
+def join_of(rows_, percent):
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * len(rows_)), pa.array(rows_)], ["bucket", "entries"])
+    out = [row for part in line_dedup._join(percent)([batch]) for row in part.to_pylist()]
+    return [r for r in out if r["x"] is not None], [r for r in out if r["x"] is None]
+
+
+def test_lists_seen_to_the_end_are_not_written():
+    """A line that has held all earlier ones of its lists has no more candidates, whatever stands before the one it found."""
+    data = np.frombuffer(" ".join(f"w{k:02}" for k in range(40)).encode(), np.uint8)
+    code = stretch_codes(data, np.arange(0, 160, 4), np.arange(3, 163, 4))
+    rare, *other = [f"w{k:02}" for k in np.argsort(code & np.uint64((1 << 20) - 1))]  # rarest first where all counts are the same
+    texts = [" ".join([rare, *other[k : k + 4]]) for k in range(0, 32, 4)] + [" ".join([rare, *other[32:35]]), " ".join([rare, *other[32:36]])]
+    pairs, rest = join_of(index_of(texts, 80), 80)
+    assert len(pairs) == 1 and not pairs[0]["more"] and not rest
+
+
+def test_index_entries_are_gathered_before_they_are_packed():
+    """Many small stretches of text make one row for each bucket, not one each."""
+    texts = [" ".join(f"w{k}x{j}" for j in range(9)) for k in range(50)]
+    (raw,) = index_of(texts, 80)
+    e = line_dedup.unpacked([raw])
+    assert len(e["word"]) == 100 and set(e["doc"].tolist()) == set(range(50)) and set(e["n"].tolist()) == {9}
+    half = {k: v[:50] for k, v in e.items()}, {k: v[50:] for k, v in e.items()}
+    out = line_dedup.packed(list(half), 7)
+    assert len(out) == 7 and out.column("bucket").to_pylist() == list(range(7))
+    for bucket, raw in zip(*(c.to_pylist() for c in out.columns), strict=True):
+        own = mix(e["word"]) % np.uint64(7) == bucket
+        assert all((line_dedup.unpacked([raw])[k] == v[own]).all() for k, v in e.items())
+
+
+def test_first_lines_of_sets(spark):
+    """Copies in one stretch do not travel; of what does, the first place of a set is told over borders of batches, and rows
+    that are repeated as a whole are no copies."""
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in ([3, 1, 3, 2], ["a b c d\ne f g h", "e f g h\nb a c d\nd c b a", "a b c d\ne f g h", "i j k l"], [30, 10, 30, 20])], ["doc_id", "text", "th"])
+    told = [r for out in line_dedup._survey(1)([batch]) for r in out.to_pylist() if r["slice"] is None]
+    travel = [(r["doc_id"], r["line"]) for r in told if r["c"] is not None]
+    assert sorted(travel) == [(1, 0), (1, 1), (2, 0)] and len(told) == 8
+    rows_ = [(5, 6, 1, 0, 1), (5, 6, 1, 0, 1), (5, 6, 2, 0, 1), (5, 7, 1, 0, 1), (5, 7, 1, 0, 2), (5, 7, 1, 3, 1), (8, 7, 1, 0, 1), (8, 7, 1, 0, 1)]
+    names = ["c", "d", "doc_id", "line", "th"]
+    for step in (1, 2, 3, 8):
+        batches = (pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows_[k : k + step], strict=True)], names) for k in range(0, 8, step))
+        out = [tuple(r[k] for k in [*names, "first"]) for b in line_dedup._mark(batches) for r in b.to_pylist()]
+        assert out == [(5, 6, 1, 0, 1, True), (5, 6, 2, 0, 1, False), (5, 7, 1, 0, 1, True), (5, 7, 1, 0, 2, False), (5, 7, 1, 3, 1, False), (8, 7, 1, 0, 1, True)]
+    texts = [(2, "a b c d\nx y z w"), (1, "x y z w"), (2, "a b c d\nx y z w"), (3, "a b c d")]
+    for parts in (1, 4):
+        out = line_dedup.line_dedup(spark.createDataFrame(texts, "doc_id long, text string").repartition(parts), least=1)
+        assert rows(out, "doc_id", "n_lines", "n_removed", "kept_text") == sorted(brute.lines(texts, least=1))
+
+
+def plain_candidates(e, percent):
+    """All pairs of a list, one at a time; those of a later line end with the two likely ones or TRIES."""
+    out, cut = [], set()
+    maps = [a | b << 64 for a, b in zip(e["m0"].tolist(), e["m1"].tolist(), strict=True)]
+    word, n, pos = (e[k].tolist() for k in ("word", "n", "pos"))
+    for a in range(len(word)):
+        tries, b = 0, a - 1
+        while b >= 0 and word[b] == word[a] and tries < line_dedup.TRIES:
+            need = -(-percent * (n[a] + n[b]) // (100 + percent))
+            apart, room = (maps[a] ^ maps[b]).bit_count(), n[a] + n[b] - 2 * need
+            if 100 * min(n[a], n[b]) >= percent * max(n[a], n[b]) and min(pos[a], pos[b]) + min(n[a] - pos[a], n[b] - pos[b]) >= need and apart <= room:
+                out.append((a, b, 1000 * apart // max(room, 1)))
+                tries += line_dedup.STRONG if 2 * apart <= room else 1
+            b -= 1
+        if tries >= line_dedup.TRIES and b >= 0 and word[b] == word[a]:
+            cut.add(a)
+    return sorted(out), cut
+
+
+@pytest.mark.parametrize("percent", [60, 80, 100])
+def test_candidates_of_long_and_short_lists(percent):
+    """Whole lists at a time and, once most lines have left, single places give what one pair at a time gives."""
+    rng = np.random.default_rng(11)
+    base = [f"k{k}" for k in range(30)]
+    texts = [" ".join(rng.choice(base, rng.integers(2, 14), replace=False)) for _ in range(300)]
+    texts += [" ".join([*base[:20], *(f"c{x}" for x in rng.integers(0, 9, 2))]) for _ in range(200)]
+    rows_ = index_of(texts, percent)
+    e = line_dedup.listed(line_dedup.unpacked(rows_))
+    a, b, score, cut = line_dedup.candidates(e, percent)
+    want, early = plain_candidates(e, percent)
+    assert sorted(zip(a.tolist(), b.tolist(), score.tolist(), strict=True)) == want and set(np.flatnonzero(cut).tolist()) == early
+    assert bool(early) == (percent < 100)
+    every = Places(None)
+    every.value, every.might_hold = every, lambda keys: np.ones(len(keys), bool)
+    pairs, rest = join_of(rows_, percent)
+    batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rest], pa.binary()) for k in ("entries", "pairs")], ["entries", "pairs"])
+    given = {(r["x"], r["y"]) for r in pairs} | {(r["x"], r["y"]) for out in line_dedup._all(percent, every)([batch]) for r in out.to_pylist()}
+    a, b, _, _ = line_dedup.candidates(e, percent, every.might_hold)
+    assert given == set(zip(e["c"][a].tolist(), e["c"][b].tolist(), strict=True))
+    one = e["c"][len(e["c"]) // 2]
+    a1, b1, _, _ = line_dedup.candidates(e, percent, lambda c: c == one)
+    assert sorted(zip(a1.tolist(), b1.tolist(), strict=True)) == sorted((x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True) if e["c"][x] == one)
+
+
 def test_shared_words():
     rng = np.random.default_rng(10)
     sets = [[set(rng.integers(0, 30, rng.integers(1, 25)).tolist()) for _ in range(200)] for _ in "ab"]

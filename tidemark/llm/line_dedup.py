@@ -6,12 +6,13 @@ prefix word are held against the length filter, the positional filter and a boun
 words (the maps of two sets differ in no more bits than the sets in words); what is left is verified on full sets. A line
 that matches an earlier one is removed.
 
-Index entries travel as packed arrays, one row per stretch of text and bucket of words; equal sets collapse in the
+Index entries travel as packed arrays, one row per some megabytes of them and bucket of words; equal sets collapse in the
 stretch and again in the bucket. A later line needs one earlier match, so its two likeliest candidates of all its lists
-are verified and not all its pairs. Where both fail though there were more, a second round goes through the lists that
-had more, which the first one has written, and gives such lines all their candidates.
+are verified and not all its pairs. Where both fail though there were more, a second round gives such lines all their
+candidates, from what the first one has written: its further pairs, and whole lists where a line left one early.
 
-A set is known by two 64-bit hashes of its words.
+A set is known by two 64-bit hashes of its words. Its lines meet once, sorted, which tells the first one; a line with an
+equal one before it in its stretch of text is known to be a copy and does not travel.
 
 Sets so small that they can be similar only to an equal set are not indexed: the grouping by set hash settles them.
 """
@@ -26,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchored import numbered, spans_by_document, unpack
+from .anchored import numbered, spans_by_document
 from .common import Bloom, Scratch, strings
 from .kernels import chunks, mix, word_codes, words
 
@@ -35,8 +36,8 @@ LOG_SLOTS, SLICES = 20, 16
 #: A line leaves an index list in the first round with this many candidates; one whose word map is at most half as far
 #: off as it may be counts as STRONG of them. BEST: candidates of a line that are verified in the first round.
 TRIES, STRONG, BEST = 64, 32, 2
-#: Bytes of index entries that are joined at once.
-BUCKET_BYTES = 16 << 20
+#: Bytes of index entries that are joined at once, and that a task gathers before it packs them.
+BUCKET_BYTES = PACK_BYTES = 16 << 20
 #: What an index entry is: word, set, place of the line, size of the set, rank of the word in it, word map.
 ENTRY = (("word", np.uint64), ("c", np.int64), ("doc", np.int64), ("line", np.int32), ("n", np.int32), ("pos", np.int32), ("m0", np.uint64), ("m1", np.uint64))
 ENTRY_BYTES = sum(np.dtype(t).itemsize for _, t in ENTRY)
@@ -167,11 +168,24 @@ def _places(batches):
         yield pa.RecordBatch.from_arrays([pa.array(place_keys(doc, line).view(np.int64))], ["key"])
 
 
+def packed(held: list[dict[str, np.ndarray]], buckets: int) -> pa.RecordBatch:
+    """Index entries as a row per bucket that has any: its arrays, one after the other."""
+    entry = {name: np.concatenate([x[name] for x in held]) for name, _ in ENTRY}
+    bucket = (mix(entry["word"]) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+    order = np.argsort(bucket, kind="stable")
+    full, held_in = np.unique(bucket[order], return_counts=True)
+    stops = np.cumsum(held_in)
+    arrays = [(v.itemsize, v[order].tobytes()) for v in entry.values()]
+    rows = [b"".join([raw[width * i : width * j] for width, raw in arrays]) for i, j in zip((stops - held_in).tolist(), stops.tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(rows, pa.binary())], ["bucket", "entries"])
+
+
 def _index(counts, percent: int, least: int, buckets: int, places):
-    """Packed index entries: a row per stretch of text and bucket. places: a broadcast Bloom filter of the lines in which
+    """Packed index entries: a row per PACK_BYTES of entries and bucket. places: a broadcast Bloom filter of the lines in which
     sets come first; copies of a set further on are left out (if the filter is full, they meet in the bucket)."""
 
     def run(batches):
+        held, size = [], 0
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for start, stop, data, at in chunks(batch.column("text")):
@@ -179,38 +193,47 @@ def _index(counts, percent: int, least: int, buckets: int, places):
                 fit = np.flatnonzero(lines.size >= least)
                 fit = fit[np.lexsort((lines.number[fit], ids[start:stop][lines.doc[fit]]))]  # rows of a stretch are in any order
                 first = np.sort(fit[np.unique(lines.code[fit], return_index=True)[1]])
-                entry = prefix_entries(lines, first, ids[start:stop], percent)
-                bucket = (mix(entry["word"]) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                full = np.flatnonzero(np.diff(cuts))
-                entry = {k: v[order] for k, v in entry.items()}
-                packed = [b"".join(v[cuts[b] : cuts[b + 1]].tobytes() for v in entry.values()) for b in full.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(packed, pa.binary())], ["bucket", "entries"])
+                held.append(prefix_entries(lines, first, ids[start:stop], percent))
+                size += len(held[-1]["word"]) * ENTRY_BYTES
+                if size >= PACK_BYTES:
+                    yield packed(held, buckets)
+                    held, size = [], 0
+        if size:
+            yield packed(held, buckets)
 
     return run
 
 
 def unpacked(rows: list[bytes]) -> dict[str, np.ndarray]:
-    out: dict[str, list[np.ndarray]] = {name: [] for name, _ in ENTRY}
-    for raw in rows:
-        n, at = len(raw) // ENTRY_BYTES, 0
-        for name, t in ENTRY:
-            out[name].append(np.frombuffer(raw, t, n, at))
-            at += n * np.dtype(t).itemsize
-    return {name: np.concatenate(parts) for name, parts in out.items()}
+    out, at, held = {}, 0, [len(raw) // ENTRY_BYTES for raw in rows]
+    for name, t in ENTRY:
+        width = np.dtype(t).itemsize
+        out[name] = np.frombuffer(b"".join([raw[n * at : n * (at + width)] for raw, n in zip(rows, held, strict=True)]), t)
+        at += width
+    return out
 
 
 def listed(e: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Index entries by word, in order of their lines, the first line of each set in each list."""
+    """Index entries by word, in order of their lines, the first line of each set in each list; lists of several lines only,
+    the longest first."""
     order = listed_order(e["word"], e["doc"], e["line"])
     same = mix(e["word"] ^ mix(e["c"].view(np.uint64)))[order]
     told = np.sort(same)
     if (told[1:] == told[:-1]).any():
         order = order[np.sort(np.unique(same, return_index=True)[1])]
+    start, size = lists_of(e["word"][order])
+    turn = np.argsort(-size, kind="stable")[: np.count_nonzero(size > 1)]
+    start, size = start[turn], size[turn]
+    order = order[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
     return {k: v[order] for k, v in e.items()}
 
 
+def lists_of(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and size of each run of one word."""
+    start = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))) if len(word) else np.zeros(0, np.int64)
+    return start, np.diff(np.append(start, len(word)))
+
+
 def listed_order(word: np.ndarray, doc: np.ndarray, line: np.ndarray) -> np.ndarray:
     """Order by word, doc, line: by the word's upper bits and the place among the entries, packed, if these tell words apart."""
     if len(word) and int(doc.max()) - int(doc.min()) < 1 << 32:
@@ -224,64 +247,87 @@ def listed_order(word: np.ndarray, doc: np.ndarray, line: np.ndarray) -> np.ndar
 
 
 def candidates(e: dict[str, np.ndarray], percent: int, probe=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """a (later), b (earlier), score, more: places of pairs in one index list that the filters let through.
-
-    The nearest b of each a and list, two likely ones or up to TRIES, and whether the list has others before those; with
-    probe (a mask of sets by c), all b of the sets that it holds. e: as `listed` gives it. The lower the score, the
-    likelier."""
-    fresh = np.concatenate(([True], e["word"][1:] != e["word"][:-1])) if len(e["word"]) else np.zeros(0, bool)
-    index = np.arange(len(fresh))
-    place = (index - np.maximum.accumulate(np.where(fresh, index, 0))).astype(np.int32) if len(fresh) else index
+    """a (later), b (earlier), score: places of pairs in one index list that the filters let through. cut: a mask of the
+    places that left their list early, with others before.
+
+    The nearest b of each a and list, two likely ones or up to TRIES; with probe (a mask of sets by c), all b of the sets
+    that it holds. e: as `listed` gives it. The lower the score, the likelier."""
+    start, size = lists_of(e["word"])
     n, pos, m0, m1 = e["n"], e["pos"], e["m0"], e["m1"]
-    left, back, found = np.flatnonzero((place > 0) & (probe(e["c"]) if probe else True)), 1, []
-    tries = np.zeros(len(place), np.int16)
-    while len(left):
-        small, large = np.minimum(n[left], n[left - back]), np.maximum(n[left], n[left - back])
-        a = left[100 * small.astype(np.int64) >= percent * large.astype(np.int64)]
-        need = overlap_needed(n[a].astype(np.int64), n[a - back], percent)
+    place = (np.arange(len(n)) - np.repeat(start, size)).astype(np.int32)
+    wide, top = n.astype(np.int64), np.iinfo(np.int32).max
+    high = 100 * wide // percent
+    room = np.minimum((100 - percent) * (wide + high) // (100 + percent), 64).astype(np.uint8)  # of any b; a map has 64 bits
+    low, high = (-(-percent * wide // 100)).astype(np.int32), np.minimum(high, top).astype(np.int32)
+    if probe:
+        low[~probe(e["c"])] = top  # such places and those that have left their list take no b
+    tries, cut = np.zeros(len(n), np.int16), np.zeros(len(n), bool)
+    stops = np.append(start, len(n))[np.searchsorted(-size, -np.arange(size[0] + 1 if len(size) else 1))]  # of lists longer than so much
+    found, left = [(place[:0].astype(np.int64),) * 3], None
+    for back in range(1, len(stops) - 1):
+        if back % 16 == 1 and left is None:
+            own = np.flatnonzero((place[: stops[back]] >= back) & (low[: stops[back]] < top))
+            left = own if 8 * len(own) < stops[back] else None
+        if left is None:  # every place of the lists that are long enough, against the one so far before it
+            ours, theirs = slice(back, stops[back]), slice(0, stops[back] - back)
+            fit = n[theirs] >= low[ours]
+            fit &= n[theirs] <= high[ours]
+            fit &= place[ours] >= back
+            fit &= np.bitwise_count(m0[ours] ^ m0[theirs]) <= room[ours]
+            a = np.flatnonzero(fit) + back
+        else:
+            left = left[(place[left] >= back) & (low[left] < top)]
+            if not len(left):
+                break
+            a = left[(n[left - back] >= low[left]) & (n[left - back] <= high[left])]
+        need = overlap_needed(wide[a], wide[a - back], percent)
         fit = np.minimum(pos[a], pos[a - back]) + np.minimum(n[a] - pos[a], n[a - back] - pos[a - back]) >= need
         a, need = a[fit], need[fit]
         apart = np.bitwise_count(m0[a] ^ m0[a - back]).astype(np.int64) + np.bitwise_count(m1[a] ^ m1[a - back])
-        room = n[a].astype(np.int64) + n[a - back] - 2 * need
-        fit = apart <= room
-        a, apart, room = a[fit], apart[fit], room[fit]
-        found.append((a, a - back, 1000 * apart // np.maximum(room, 1), place[a] > back))
-        tries[a] += np.where(2 * apart <= room, STRONG, 1).astype(np.int16)
-        left = left[place[left] > back]
-        left = left if probe else left[tries[left] < TRIES]
-        back += 1
-    if not found:
-        return index[:0], index[:0], index[:0], np.zeros(0, bool)
-    return tuple(np.concatenate(p) for p in zip(*found, strict=True))
+        most = wide[a] + wide[a - back] - 2 * need
+        fit = apart <= most
+        a, apart, most = a[fit], apart[fit], most[fit]
+        found.append((a, a - back, 1000 * apart // np.maximum(most, 1)))
+        if not probe:
+            tries[a] += np.where(2 * apart <= most, STRONG, 1).astype(np.int16)
+            done = a[tries[a] >= TRIES]
+            low[done], cut[done] = top, place[done] > back
+    return *(np.concatenate(p) for p in zip(*found, strict=True)), cut
 
 
-JOINED = "x long, y long, score int, more boolean, entries binary"
+JOINED = "x long, y long, score int, more boolean, entries binary, pairs binary"
 
 
-def _joined(x=None, y=None, score=None, more=None, entries=None) -> pa.RecordBatch:
-    n = len(x) if x is not None else len(entries)
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.nulls(n, t) if v is None else pa.array(v, t) for v, t in zip((x, y, score, more, entries), kinds, strict=True)], [c.split()[0] for c in JOINED.split(", ")])
+def _joined(x=None, y=None, score=None, more=None, entries=None, pairs=None) -> pa.RecordBatch:
+    n = len(x) if x is not None else 1
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.nulls(n, t) if v is None else pa.array(v, t) for v, t in zip((x, y, score, more, entries, pairs), kinds, strict=True)], [c.split()[0] for c in JOINED.split(", ")])
 
 
 def _join(percent: int):
-    """Rows of packed entries, those of one bucket in a row; gives the BEST candidates of each set in each bucket, and packed
-    entries of the lists in which a set had more."""
+    """Rows of packed entries, those of one bucket in a row; gives the BEST candidates of each set in each bucket and whether it
+    had more; packed entries of the lists that a set left early or whose further pairs take more bytes than the list; and
+    x, y of the further pairs of all others, packed."""
 
     def bucket(rows: list[bytes]):
         e = listed(unpacked(rows))
-        a, b, score, more = candidates(e, percent)
+        a, b, score, cut = candidates(e, percent)
         order = np.lexsort((score, e["c"][a]))
-        a, b, score, more = a[order], b[order], score[order], more[order]
+        a, b, score = a[order], b[order], score[order]
         x, y = e["c"][a], e["c"][b]
-        fresh = np.concatenate(([True], x[1:] != x[:-1])) if len(x) else more
-        rank = np.arange(len(x)) - np.maximum.accumulate(np.where(fresh, np.arange(len(x)), 0)) if len(x) else a
-        best, left = rank < BEST, more | (rank >= BEST)
-        rest = np.maximum.reduceat(left, np.flatnonzero(fresh))[np.cumsum(fresh) - 1] if len(x) else left
-        yield _joined(x[best], y[best], score[best].astype(np.int32), rest[best])
-        lists = np.isin(e["word"], np.unique(e["word"][a[rest]]))
-        if lists.any():
-            yield _joined(entries=[b"".join(v[lists].tobytes() for v in e.values())])
+        start, held = lists_of(x)
+        further = np.arange(len(x)) - np.repeat(start, held) >= BEST
+        more = np.repeat(np.maximum.reduceat(cut[a] | further, start), held) if len(x) else further
+        yield _joined(x[~further], y[~further], score[~further].astype(np.int32), more[~further])
+        size = lists_of(e["word"])[1]
+        of = np.repeat(np.arange(len(size)), size)
+        whole = 2 * x.itemsize * np.bincount(of[a[further]], minlength=len(size)) > ENTRY_BYTES * size
+        whole[of[cut]] = True
+        if whole.any():
+            yield _joined(entries=[b"".join(v[whole[of]].tobytes() for v in e.values())])
+        further &= ~whole[of[a]]
+        if further.any():
+            yield _joined(pairs=[x[further].tobytes() + y[further].tobytes()])
 
     def run(batches):
         now, rows = None, []
@@ -299,14 +345,23 @@ def _join(percent: int):
 
 
 def _all(percent: int, open_):
-    """x, y: all candidates of the open sets (a broadcast Bloom filter) in lists that _join has given."""
+    """x, y: the candidates of the open sets (a broadcast Bloom filter) in lists and further pairs that _join has given."""
+
+    def held(c):
+        return open_.value.might_hold(c.view(np.uint64))
 
     def run(batches):
         for batch in batches:
-            for raw in batch.column("entries").to_pylist():
-                e = unpacked([raw])
-                a, b, _, _ = candidates(e, percent, lambda c: open_.value.might_hold(c.view(np.uint64)))
-                yield pa.RecordBatch.from_arrays([pa.array(e["c"][a]), pa.array(e["c"][b])], ["x", "y"])
+            for entries, pairs in zip(batch.column("entries").to_pylist(), batch.column("pairs").to_pylist(), strict=True):
+                if entries is not None:
+                    e = unpacked([entries])
+                    a, b, _, _ = candidates(e, percent, held)
+                    x, y = e["c"][a], e["c"][b]
+                else:
+                    x, y = np.frombuffer(pairs, np.int64).reshape(2, -1)
+                    mine = held(x)
+                    x, y = x[mine], y[mine]
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
 
     return run
 
@@ -314,19 +369,38 @@ def _all(percent: int, open_):
 SURVEY = "doc_id long, th long, line int, c long, d long, slice int, counts binary"
 
 
+LINES = "doc_id long, th long, line int, c long, d long, first boolean"
+
+
+def copies(c: np.ndarray, d: np.ndarray, *place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of lines in order of sets, then of places: masks of those at another place than the first of their run of one set, and
+    of those at its very place (of a repeated row)."""
+    fresh = np.concatenate(([True], (c[1:] != c[:-1]) | (d[1:] != d[:-1]))) if len(c) else np.zeros(0, bool)
+    head = np.maximum.accumulate(np.where(fresh, np.arange(len(c)), 0)) if len(c) else np.zeros(0, np.int64)
+    there = np.logical_and.reduce([x == x[head] for x in place])
+    return ~there, there & ~fresh
+
+
 def _survey(least: int):
-    """One pass over the texts: doc_id, th, line, c and d of every line that is long enough, and slice, counts of words."""
+    """One pass over the texts: doc_id, th, line, c and d of every line that is long enough (no c and d: its set comes earlier
+    in the stretch of text), and slice, counts of words."""
     names = [x.split()[0] for x in SURVEY.split(", ")]
 
     def run(batches):
         held = np.zeros(1 << LOG_SLOTS, np.int64)
         for batch in batches:
-            for start, _, data, at in chunks(batch.column("text")):
+            ids, hashes = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("doc_id", "th"))
+            for start, stop, data, at in chunks(batch.column("text")):
                 lines = Lines(data, at)
                 np.add.at(held, _slot(lines.word), 1)
                 fit = np.flatnonzero(lines.size >= least)
-                take = pa.array(lines.doc[fit] + start)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(lines.number[fit].astype(np.int32)), pa.array(lines.code[fit].view(np.int64)), pa.array(lines.other[fit].view(np.int64)), pa.nulls(len(fit), pa.int32()), pa.nulls(len(fit), pa.binary())], names)
+                if (np.diff(ids[start:stop]) <= 0).any():  # rows of a stretch are in any order
+                    row = lines.doc[fit] + start
+                    fit = fit[np.lexsort((hashes[row], lines.number[fit], ids[row]))]
+                fit = fit[np.argsort(lines.code[fit], kind="stable")]
+                row, line, c, d = lines.doc[fit] + start, lines.number[fit].astype(np.int32), lines.code[fit].view(np.int64), lines.other[fit].view(np.int64)
+                known = copies(c, d, ids[row], line, hashes[row])[0]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(hashes[row]), pa.array(line), pa.array(c, mask=known), pa.array(d, mask=known), pa.nulls(len(fit), pa.int32()), pa.nulls(len(fit), pa.binary())], names)
         parts = held.reshape(SLICES, -1)
         for k in range(SLICES):
             if parts[k].any():
@@ -335,6 +409,22 @@ def _survey(least: int):
     return run
 
 
+def _mark(batches):
+    """Lines in order of c, d, doc_id, line, th; tells which ones are the first of their sets, and leaves out repeated rows."""
+    names = [x.split()[0] for x in LINES.split(", ")]
+    last = [np.zeros(0, np.int64)] * 5
+    for batch in batches:
+        own = [batch.column(k).to_numpy(zero_copy_only=False) for k in ("c", "d", "doc_id", "line", "th")]
+        if not len(batch):
+            continue
+        c, d, *place = (np.concatenate(x) for x in zip(last, own, strict=True))
+        copy, twin = copies(c, d, *place)
+        skip = len(c) - len(batch)
+        head = len(c) - 1 - int(np.argmax(~(copy | twin)[::-1]))  # a row that starts a set: the first of all, at least
+        last = [x[head : head + 1] for x in (c, d, *place)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names[:-1]), pa.array(~copy[skip:])], names).filter(pa.array(~twin[skip:]))
+
+
 def _sets(places, standing, least: int):
     """c, d, members of the sets at these places (a broadcast Bloom filter of the lines in which wanted sets come first, and one
     of their documents)."""
@@ -407,7 +497,7 @@ def matched_sets(scratch: Scratch, rows: DataFrame, told: np.ndarray, firsts: Da
     open_ = scratch.put("open", tried.filter("more").select("x").join(hits, "x", "left_anti"))
     if not open_.isEmpty():
         bloom = spark.sparkContext.broadcast(Bloom.build(open_.select(F.col("x").alias("key")), open_.count()))
-        rest = joined.filter("entries IS NOT NULL").select("entries").mapInArrow(_all(percent, bloom), "x long, y long")
+        rest = joined.filter("x IS NULL").select("entries", "pairs").mapInArrow(_all(percent, bloom), "x long, y long")
         rest = rest.union(joined.filter("x IS NOT NULL").select("x", "y")).join(open_, "x", "left_semi").distinct()
         hits = hits.union(verified(scratch.put("rest", rest), "two")).distinct()
     scratch.drop("joined")
@@ -427,26 +517,32 @@ def line_dedup(docs: DataFrame, percent: int = 80, least: int = 5) -> DataFrame:
     every = numbered(docs)
     rows = every.filter("doc_id IS NOT NULL AND text <> ''")
     survey = scratch.put("lines", rows.mapInArrow(_survey(least), SURVEY))
-    lines = survey.filter("slice IS NULL").select("doc_id", "th", "line", "c", "d")
     counts = word_counts(survey.filter("slice IS NOT NULL").select("slice", "counts"))
-    order = F.struct("doc_id", "line", "th")
-    firsts = scratch.put("firsts", lines.groupBy("c", "d").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("size")))
-    hits = scratch.put("hits", matched_sets(scratch, rows, counts, firsts.select("c", "first"), percent, least))
-    told = firsts.join(hits.select(F.col("x").alias("c"), "d", F.lit(True).alias("hit")), ["c", "d"], "left").filter("hit OR size > 1")
-    told = scratch.put("told", told)
-    gone = lines.join(told, ["c", "d"]).filter(F.coalesce("hit", F.lit(False)) | (order != F.col("first")))
+    lines = survey.filter("c IS NOT NULL").select("doc_id", "th", "line", "c", "d").repartition("c")
+    lines = scratch.put("marked", lines.sortWithinPartitions("c", "d", "doc_id", "line", "th").mapInArrow(_mark, LINES))
+    firsts = lines.filter("first").select("c", F.struct("doc_id", "line", "th").alias("first"))
+    hits = scratch.put("hits", matched_sets(scratch, rows, counts, firsts, percent, least))
+    gone = survey.filter("slice IS NULL AND c IS NULL").select("doc_id", "th", "line").union(lines.filter("NOT first").select("doc_id", "th", "line"))
+    gone = gone.union(lines.filter("first").join(hits.withColumnRenamed("x", "c"), ["c", "d"], "left_semi").select("doc_id", "th", "line"))
     spans = scratch.put("spans", spans_by_document(gone.select("doc_id", "th", F.col("line").alias("start"), F.lit(1).alias("length"))))
-    scratch.drop("lines", "firsts", "told", "hits")
+    scratch.drop("lines", "marked", "hits")
     scratch.sweep()
 
     def keep(batches):
         for batch in batches:
             total, removed, kept, spans = [], [], [], batch.column("spans")
-            for k, text in enumerate(strings(batch.column("text"))):
-                own, gone = text.split("\n"), set(unpack(spans, k)[0].tolist())
+            held = np.cumsum(spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)).tolist()
+            number = (spans.flatten().to_numpy(zero_copy_only=False) >> 32).tolist()
+            for text, start, stop in zip(strings(batch.column("text")), [0, *held[:-1]], held, strict=True):
+                if start == stop:
+                    total.append(text.count("\n") + 1)
+                    removed.append(0)
+                    kept.append(text)
+                    continue
+                own, gone = text.split("\n"), set(number[start:stop])
                 total.append(len(own))
                 removed.append(len(gone))
-                kept.append("\n".join(x for j, x in enumerate(own) if j not in gone) if gone else text)
+                kept.append("\n".join(x for j, x in enumerate(own) if j not in gone))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_lines", "n_removed", "kept_text"])
 
     met = every.join(spans, ["doc_id", "th"], "left").select("doc_id", "text", "spans")
