@@ -49,7 +49,7 @@ def levels(samples: DataFrame) -> DataFrame:
 def silence(levels_: DataFrame, offset_us: int = 0, window_us: int = US // 50, quiet: float = QUIET_DBFS, least_us: int = SILENCE_US) -> DataFrame:
     """Maximal runs of quiet windows (media_id, window, dbfs), at least least_us long."""
     w = Window.partitionBy("media_id").orderBy("window")
-    hushed = levels_.filter(F.col("dbfs") < quiet)
+    hushed = levels_.filter(F.col("dbfs") < quiet).withColumn("window", F.col("window").cast("long"))  # 36 minutes in µs are beyond an int
     runs = islands(hushed, ["media_id"], ["window"], F.col("window") != F.lag("window").over(w) + 1)
     spans = runs.groupBy("media_id", "island").agg((F.min("window") * window_us + offset_us).alias("start_us"), ((F.max("window") + 1) * window_us + offset_us).alias("end_us"))
     return spans.filter(F.col("end_us") - F.col("start_us") >= least_us).drop("island")
