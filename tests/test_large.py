@@ -1,6 +1,24 @@
 """Queries where tables are large: sums beyond 64 bits, long timelines, what is shuffled."""
 
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
 from tidemark.operators import audio
+from tidemark.plans import timeline
+
+
+@pytest.mark.parametrize("name", ["align_large", "align_large_bucketed"])
+def test_overlap_sums_beyond_64_bits(spark, tmp_path, name):
+    orders = spark.createDataFrame([(1, 7, "O", datetime(2024, 1, 1)), (2, 7, "F", datetime(9000, 1, 1))], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp_ntz")
+    lines = spark.range(60).select(F.lit(1).cast("long").alias("l_orderkey"), F.col("id").cast("int").alias("l_linenumber"), F.lit(1).cast("long").alias("l_partkey"), F.lit(1).cast("long").alias("l_suppkey"), F.lit(2_500_000.0).alias("l_quantity"), F.expr("TIMESTAMP_NTZ'2024-01-01'").alias("l_shipdate"))
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    span = (datetime(9000, 1, 1) - datetime(2024, 1, 1)).days
+    got = {r.content_id: tuple(r) for r in timeline.Q[name](spark, str(tmp_path)).collect()}
+    assert got["O"] == ("O", 60, 60 * min(span, 2_500_000) * timeline.DAY, 60) and got["O"][2] > 2**63
+    assert dict(timeline.Q[name](spark, "/root/testdata/sf0.001").dtypes)["overlap_us"] == "bigint"
 
 
 def test_silence_late_in_a_long_recording(spark):

@@ -163,16 +163,23 @@ def align_primary(spark, sf):
     return _align(spark, sf).filter("is_primary").select("utt_id", "occ_id", "overlap_us")
 
 
+def _overlap_sums(spark, sf, pairs):
+    """Pairs, overlap and utterances per content. Orders of a customer do not overlap, so what the lines last in all bounds
+    the overlap: a BIGINT where that fits, as in the SQL, and beyond it DECIMAL(38, 0)."""
+    days = F.sum(F.greatest(F.lit(0.0), "l_quantity"))
+    fits = (src.table(spark, sf, "lineitem").agg(days).first()[0] or 0) * DAY < 2**63 * 0.999
+    total = F.sum(F.col("overlap_us").cast("decimal(20,0)"))
+    return pairs.groupBy("content_id").agg(F.count(F.lit(1)).alias("pairs"), total.cast("bigint" if fits else "decimal(38,0)").alias("overlap_us"), F.count_distinct("utt_id").alias("utterances"))
+
+
 @query
 def align_large(spark, sf):
-    pairs = intervals.overlap_join(src.order_spans(spark, sf), src.line_spans(spark, sf))
-    return pairs.groupBy("content_id").agg(F.count(F.lit(1)).alias("pairs"), F.sum("overlap_us").alias("overlap_us"), F.count_distinct("utt_id").alias("utterances"))
+    return _overlap_sums(spark, sf, intervals.overlap_join(src.order_spans(spark, sf), src.line_spans(spark, sf)))
 
 
 @query
 def align_large_bucketed(spark, sf):
-    pairs = intervals.overlap_join(src.order_spans(spark, sf), src.line_spans(spark, sf), bucket_us=120 * DAY)
-    return pairs.groupBy("content_id").agg(F.count(F.lit(1)).alias("pairs"), F.sum("overlap_us").alias("overlap_us"), F.count_distinct("utt_id").alias("utterances"))
+    return _overlap_sums(spark, sf, intervals.overlap_join(src.order_spans(spark, sf), src.line_spans(spark, sf), bucket_us=120 * DAY))
 
 
 @query
