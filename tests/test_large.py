@@ -1,11 +1,12 @@
 """Queries where tables are large: sums beyond 64 bits, long timelines, what is shuffled."""
 
+import random
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import audio
+from tidemark.operators import audio, blocks
 from tidemark.plans import timeline
 
 
@@ -24,3 +25,34 @@ def test_overlap_sums_beyond_64_bits(spark, tmp_path, name):
 def test_silence_late_in_a_long_recording(spark):
     levels = spark.createDataFrame([(1, w, -60.0) for w in range(200_000, 200_005)], "media_id long, window int, dbfs double")
     assert [tuple(r) for r in audio.silence(levels, least_us=60_000).select("start_us", "end_us").collect()] == [(4_000_000_000, 4_000_100_000)]
+
+
+def shows(spark, seed):
+    rng = random.Random(seed)
+    lines = [f"line {k}" for k in range(12)]
+    bodies = {k: "\n".join(rng.choice([x, f" {x}\t", ""]) for x in rng.choices(lines, k=rng.randint(0, 6))) for k in range(15)}
+    about = {k: rng.choice(["x", "y", None]) for k in bodies}
+    occ, at = [], 0
+    for k in range(120):
+        start = at + rng.choice([0, 0, 0, 5, 40])
+        at = start + rng.choice([0, 1, 10])
+        occ.append((1, k, start, at, rng.choice([None, 99, *bodies, *bodies]), rng.choice(["stable", "short"])))
+    body = spark.createDataFrame([(k, "slide", about[k], "t", b) for k, b in bodies.items()], "content_id long, screen_kind string, heading string, title string, body_text string")
+    return occ, spark.createDataFrame(occ, "media_id long, occ_id long, start_us long, end_us long, content_id long, state_kind string"), bodies, about, body
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_blocks_by_line_hashes_equal_blocks_by_whole_lines(spark, seed):
+    occ, table, bodies, about, body = shows(spark, seed)
+    rule = blocks.BlockRule(max_gap_us=20, max_duration_us=300, similarity=0.3)
+    whole = lambda c: blocks.Lines(len(x := blocks.body_lines(bodies.get(c, ""))), frozenset(x))
+    timeline_ = [blocks.Shown(o, s, e, kind, c, whole(c), ("slide", about[c]) if c in about else (None, None), "t") for _, o, s, e, c, kind in sorted(occ, key=lambda r: (r[2], r[3], r[1]))]
+    want = [(x.occ, index, label, x.kind, x.content) for index, (_, members) in enumerate(blocks.fold(timeline_, rule)) for x, label in members]
+    got = blocks.block_members(table, body, rule).orderBy("occ_id").select("occ_id", "block_index", "label", "state_kind", "content_id").collect()
+    assert [tuple(r) for r in got] == sorted(want) and {"repeat", "modified"} <= {r.label for r in got}
+
+
+def test_bodies_are_not_shuffled_with_the_intervals(spark):
+    _, table, _, _, body = shows(spark, 0)
+    plan = blocks.block_members(table, body)._jdf.queryExecution().optimizedPlan().toString()
+    assert "body_text" not in plan.split("RepartitionByExpression")[1].splitlines()[1]

@@ -3,17 +3,20 @@
 A unit grows while the next interval follows closely, the unit stays short enough, and the interval shows a content
 the unit has had (repeat) or a near version of its last body under one heading (modified). Intervals without content
 that are short, blank or in transition wait for the next accepted one. The rule is a fold, but it never reaches over a
-wide gap unless both sides lack content, so timelines are first cut there and pieces are folded apart.
+wide gap unless both sides lack content, so timelines are first cut there and pieces are folded apart. Bodies do not travel
+with the intervals that show them: of each only the number of its lines and the hashes of those that another body has.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .intervals import islands
 from .states import ORDER
@@ -27,6 +30,14 @@ class BlockRule:
     passing: tuple[str, ...] = ("short", "transition", "blank")
 
 
+@dataclass(frozen=True)
+class Lines:
+    """Distinct lines of a body: how many, and which of them other bodies under the same heading have too."""
+
+    n: int = 0
+    shared: frozenset = frozenset()
+
+
 @dataclass
 class Shown:
     """An interval with what it shows; content is None if it has not been read."""
@@ -36,7 +47,7 @@ class Shown:
     end: int
     kind: str
     content: object
-    body: str
+    body: Lines
     context: tuple
     title: str
 
@@ -45,7 +56,7 @@ class Shown:
 class Unit:
     members: list[tuple[Shown, str]]
     contents: set = field(default_factory=set)
-    anchor: str = ""
+    anchor: Lines = Lines()
     edited: bool = False
 
 
@@ -53,9 +64,10 @@ def body_lines(body: str) -> set[str]:
     return {x for x in map(str.strip, body.split("\n")) if x}
 
 
-def similarity(a: str, b: str) -> float:
-    la, lb = body_lines(a), body_lines(b)
-    return len(la & lb) / len(la | lb) if la and lb else 0.0
+def similarity(a: Lines, b: Lines) -> float:
+    """Of two different contents under one heading."""
+    both = len(a.shared & b.shared)
+    return both / (a.n + b.n - both) if a.n and b.n else 0.0
 
 
 def verdict(unit: Unit, before: Shown, new: Shown, rule: BlockRule) -> str:
@@ -101,50 +113,73 @@ def fold(timeline: list[Shown], rule: BlockRule) -> Iterator[tuple[str, list[tup
         at = taken
 
 
-MEMBERS = "media_id long, piece long, part int, kind string, title string, occ_id long, place int, label string, start_us long, end_us long"
+MEMBERS = "media_id long, piece long, part int, kind string, title string, occ_id long, place int, label string, start_us long, end_us long, state_kind string"
+
+
+def _hashed(batches):
+    """content_id, n, keys: the distinct lines of a body, each with its screen kind and heading as a hash of 128 bits."""
+    for batch in batches:
+        sizes, keys = [], []
+        for r in batch.select(["screen_kind", "heading", "body_text"]).to_pylist():
+            lines, under = body_lines(r["body_text"] or ""), hashlib.blake2b(repr((r["screen_kind"], r["heading"])).encode(), digest_size=16).digest()
+            sizes.append(len(lines))
+            keys.append([hashlib.blake2b(x.encode(), digest_size=16, key=under).digest() for x in lines])
+        yield pa.RecordBatch.from_arrays([batch.column("content_id"), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.binary()))], ["content_id", "n", "keys"])
+
+
+def line_sets(contents: DataFrame) -> DataFrame:
+    """content_id, n, shared: Lines of each body. A line that no other content has adds to nothing but n."""
+    own = contents.select("content_id", "screen_kind", "heading", "body_text")
+    kind = T.StructType([contents.schema["content_id"], *T.StructType.fromDDL("n int, keys array<binary>").fields])
+    each = own.mapInArrow(_hashed, kind).select("content_id", "n", F.explode_outer("keys").alias("key"))
+    common = each.filter("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("__k")).filter("__k > 1").select("key", F.lit(True).alias("__hit"))
+    return each.join(common, "key", "left").groupBy("content_id").agg(F.max("n").alias("n"), F.collect_list(F.when(F.col("__hit"), F.col("key"))).alias("shared"))
 
 
 def _folded(rule: BlockRule):
-    names = [x.split()[0] for x in MEMBERS.split(", ")]
+    names = [*[x.split()[0] for x in MEMBERS.split(", ")], "content_id"]
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
     types = [kinds[x.split()[1]] for x in MEMBERS.split(", ")]
 
     def emit(key: tuple, rows: list[Shown], out: list[tuple]) -> None:
         for part, (kind, members) in enumerate(fold(rows, rule)):
             title = "" if kind == "unextracted" else members[0][0].title or members[-1][0].title
-            out += [(*key, part, kind, title, x.occ, place, label, x.start, x.end) for place, (x, label) in enumerate(members)]
+            out += [(*key, part, kind, title, x.occ, place, label, x.start, x.end, x.kind, x.content) for place, (x, label) in enumerate(members)]
 
     def run(batches):
-        key, held = None, []
+        key, held, each = None, [], types
         for batch in batches:
+            each = [*types, batch.column("content_id").type]
             out: list[tuple] = []
             for r in batch.to_pylist():
                 own = (r["media_id"], r["piece"])
                 if own != key:
                     emit(key, held, out) if held else None
                     key, held = own, []
-                held.append(Shown(r["occ_id"], r["start_us"], r["end_us"], r["state_kind"], r["content_id"], r["body_text"] or "", (r["screen_kind"], r["heading"]), r["title"] or ""))
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(types)], names)
+                held.append(Shown(r["occ_id"], r["start_us"], r["end_us"], r["state_kind"], r["content_id"], Lines(r["n"] or 0, frozenset(r["shared"] or ())), (r["screen_kind"], r["heading"]), r["title"] or ""))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(each)], names)
         if held:
             out = []
             emit(key, held, out)
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(types)], names)
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(each)], names)
 
     return run
 
 
 def block_members(occurrences: DataFrame, contents: DataFrame, rule: BlockRule = BlockRule()) -> DataFrame:
-    """media_id, block_index, kind, title, occ_id, place (in the block), label, start_us, end_us of every interval.
+    """media_id, block_index, kind, title, occ_id, place (in the block), label, start_us, end_us, state_kind, content_id of
+    every interval.
 
     occurrences: content_id is the text hash. contents: content_id, screen_kind, heading, title, body_text."""
     w = Window.partitionBy("media_id").orderBy(*ORDER)
     lone = F.col("content_id").isNull() & F.lag("content_id").over(w).isNull() & F.lag("occ_id").over(w).isNotNull()
     wide = F.col("start_us") - F.lag("end_us").over(w) > rule.max_gap_us
-    cut = islands(occurrences, ["media_id"], ORDER, wide & ~lone, "piece")
-    told = cut.join(contents.select("content_id", "screen_kind", "heading", "title", "body_text"), "content_id", "left")
+    cut = islands(occurrences, ["media_id"], ORDER, wide & ~lone, "piece").select("media_id", "piece", "occ_id", "start_us", "end_us", "state_kind", "content_id")
+    about = contents.select("content_id", "screen_kind", "heading", "title").join(line_sets(contents), "content_id", "left")
+    told = cut.join(about, "content_id", "left")
     dealt = told.repartition("media_id", "piece").sortWithinPartitions("media_id", "piece", *ORDER)
-    needed = dealt.select("media_id", "piece", "occ_id", "start_us", "end_us", "state_kind", "content_id", "screen_kind", "heading", "title", "body_text")
-    parts = needed.mapInArrow(_folded(rule), MEMBERS)
+    needed = dealt.select("media_id", "piece", "occ_id", "start_us", "end_us", "state_kind", "content_id", "screen_kind", "heading", "title", "n", "shared")
+    parts = needed.mapInArrow(_folded(rule), T.StructType([*T.StructType.fromDDL(MEMBERS).fields, T.StructField("content_id", occurrences.schema["content_id"].dataType)]))
     index = F.dense_rank().over(Window.partitionBy("media_id").orderBy("piece", "part")) - 1
     return parts.withColumn("block_index", index).drop("piece", "part")
 
@@ -166,11 +201,11 @@ def block_stats(members: DataFrame) -> DataFrame:
 
 
 def block_refs(members: DataFrame, alignment: DataFrame, occurrences: DataFrame) -> DataFrame:
-    """Per block its utterances and contents, each once, in order of first appearance."""
+    """Per block its utterances and contents, each once, in order of first appearance. Contents are those of the members."""
     key = ["media_id", "block_index"]
     said = members.join(alignment.select("occ_id", "utt_id"), "occ_id").groupBy(*key, "utt_id").agg(F.min("place").alias("first"))
     said = said.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct("first", "utt_id"))), lambda x: x["utt_id"]).alias("utt_ids"))
-    shown = members.join(occurrences.select("occ_id", "content_id"), "occ_id").filter("content_id IS NOT NULL").groupBy(*key, "content_id").agg(F.min("place").alias("first"))
+    shown = members.filter("content_id IS NOT NULL").groupBy(*key, "content_id").agg(F.min("place").alias("first"))
     shown = shown.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct("first", "content_id"))), lambda x: x["content_id"]).alias("content_ids"))
     return blocks(members).select(*key).join(said, key, "left").join(shown, key, "left")
 
