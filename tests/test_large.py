@@ -7,7 +7,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import audio, blocks
+from tidemark.operators import audio, blocks, terms
 from tidemark.plans import timeline
 
 
@@ -65,3 +65,22 @@ def test_documents_share_their_tables(spark, whole):
     joins = len(re.findall(r"(?m)^[\s:+|-]*Join (?:Inner|Left|Cross)", plan))
     print("joins", joins)
     assert joins <= (8 if not whole else 20)
+
+
+def test_terms_meet_by_time_before_their_words(spark):
+    rng, m = random.Random(3), 60_000_000
+    bodies = {k: [f"term_{x}" for x in rng.sample(range(12), 4)] for k in range(6)}
+    occ = [(rng.randint(1, 3), k, s := rng.randint(0, 40) * m, s + rng.choice([0, m, 3 * m]), rng.choice([None, *bodies])) for k in range(40)]
+    utt = [(rng.randint(1, 4), k, s := rng.randint(0, 40) * m, s + 12_000_000, f"term_{rng.randint(0, 13)} plain") for k in range(60)]
+    shows = spark.createDataFrame(occ, "media_id long, occ_id long, start_us long, end_us long, content_id long")
+    body = spark.createDataFrame([(k, " ".join(v)) for k, v in bodies.items()], "content_id long, body_text string")
+    want = []
+    for media, k, start, end, text in utt:
+        term = text.split()[0]
+        spans = [(s, e) for m_, _, s, e, c in occ if m_ == media and c is not None and term in bodies[c]]
+        near = any(min(e, end + 2 * m) - max(s, start - 2 * m) > 0 for s, e in spans)
+        want.append((k, term, "confirmed" if near else "elsewhere" if spans else "not_found"))
+    out = terms.match_shown(spark.createDataFrame(utt, "media_id long, utt_id long, start_us long, end_us long, text string"), shows, body).select("utt_id", "term", "verdict")
+    assert sorted(tuple(r) for r in out.collect()) == sorted(want) and len({w[2] for w in want}) == 3
+    spread = out._jdf.queryExecution().optimizedPlan().toString().split("explode(sequence(")[1].splitlines()
+    assert "term" not in spread[1]

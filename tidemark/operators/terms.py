@@ -25,15 +25,34 @@ def spoken(utterances: DataFrame) -> DataFrame:
     return found.groupBy("media_id", "utt_id", "start_us", "end_us", "term").agg(F.max(F.col("form").rlike(TECHNICAL)).alias("technical"))
 
 
+def near_contents(shows: DataFrame, utterances: DataFrame) -> DataFrame:
+    """media_id, utt_id, content_id: what a screen shows within two minutes of an utterance, each once. Intervals meet by
+    time before their words are looked up, so each travels once and not once a word."""
+    pairs = overlap_join(shows.select("media_id", "content_id", "start_us", "end_us"), utterances.select("media_id", "utt_id", "start_us", "end_us"), pad_us=NEARBY_US)
+    return pairs.select("media_id", "utt_id", "content_id").distinct()
+
+
+def match_shown(utterances: DataFrame, occurrences: DataFrame, contents: DataFrame) -> DataFrame:
+    """match_terms of the words of contents (content_id, body_text) that the occurrences show."""
+    words = contents.select("content_id", F.explode(shown_words(F.col("body_text"))).alias("term"))
+    return _matched(utterances, occurrences.filter("content_id IS NOT NULL"), words)
+
+
 def match_terms(utterances: DataFrame, shown: DataFrame) -> DataFrame:
     """media_id, utt_id, term, verdict: confirmed (on screen within two minutes), elsewhere (on screen at other times
     of the media), or not_found. Only technical terms and words that the screen has are matched."""
-    vocabulary = shown.select("media_id", "term", F.lit(True).alias("known")).distinct()
-    said = spoken(utterances).join(vocabulary, ["media_id", "term"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
-    said = said.filter("technical OR known")
-    pairs = overlap_join(shown.withColumnRenamed("term", "shown_term"), said.filter("known").select("media_id", "utt_id", "term", "start_us", "end_us"), pad_us=NEARBY_US)
-    close = pairs.filter("shown_term = term").select("media_id", "utt_id", "term", F.lit(True).alias("close")).distinct()
-    told = said.join(close, ["media_id", "utt_id", "term"], "left")
+    return _matched(utterances, shown.withColumnRenamed("term", "content_id"), shown.select(F.col("term").alias("content_id"), "term").distinct())
+
+
+def _matched(utterances: DataFrame, shows: DataFrame, words: DataFrame) -> DataFrame:
+    said = spoken(utterances)
+    talk = said.select("media_id", "utt_id", "start_us", "end_us").distinct()
+    words = words.join(said.select("term").distinct(), "term", "left_semi")
+    there = shows.select("media_id", "content_id").distinct().join(talk.select("media_id").distinct(), "media_id", "left_semi")
+    vocabulary = there.join(words, "content_id").select("media_id", "term", F.lit(True).alias("known")).distinct()
+    close = near_contents(shows, talk).join(words, "content_id").select("media_id", "utt_id", "term", F.lit(True).alias("close")).distinct()
+    told = said.join(vocabulary, ["media_id", "term"], "left").join(close, ["media_id", "utt_id", "term"], "left")
+    told = told.withColumn("known", F.coalesce("known", F.lit(False))).filter("technical OR known")
     return told.select("media_id", "utt_id", "term", F.when(F.col("close"), "confirmed").when(F.col("known"), "elsewhere").otherwise("not_found").alias("verdict"))
 
 

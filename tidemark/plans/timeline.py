@@ -228,21 +228,21 @@ def _term_inputs(spark, sf):
 @query
 def nearby_terms(spark, sf):
     occ, body, talk = _term_inputs(spark, sf)
-    shown = terms.screen_terms(occ, body)
-    pairs = intervals.overlap_join(shown, talk.select("media_id", "utt_id", "start_us", "end_us"), pad_us=terms.NEARBY_US)
-    return pairs.groupBy("utt_id").agg(F.count_distinct("term").alias("terms"))
+    words = body.select("content_id", F.explode(tx.shown_words(F.col("body_text"))).alias("term"))
+    near = terms.near_contents(occ.filter("content_id IS NOT NULL"), talk).join(words, "content_id")
+    return near.groupBy("utt_id").agg(F.count_distinct("term").alias("terms"))
 
 
 @query
 def term_match(spark, sf):
     occ, body, talk = _term_inputs(spark, sf)
-    return terms.match_terms(talk, terms.screen_terms(occ, body)).select("utt_id", "term", "verdict")
+    return terms.match_shown(talk, occ, body).select("utt_id", "term", "verdict")
 
 
 @query
 def unverified_terms(spark, sf):
     occ, body, talk = _term_inputs(spark, sf)
-    return terms.unverified_terms(terms.match_terms(talk, terms.screen_terms(occ, body)), least=2)
+    return terms.unverified_terms(terms.match_shown(talk, occ, body), least=2)
 
 
 @query
